@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslake.functions.text import as_col, index_tokens
+from corpuslake.functions.text import as_col, index_tokens, let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,8 +28,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    return let(
+        a,
+        lambda v: let(
+            norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+        ),
+    )
 
 
 def hashed_bag_encoder(dim: int = 64, token_of=index_tokens):
@@ -43,11 +47,14 @@ def hashed_bag_encoder(dim: int = 64, token_of=index_tokens):
     def encode(text: Column) -> Column:
         cells = F.transform(
             token_of(text),
-            lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dim),
+            lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dim,
         )
-        counts = F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"),
+        counts = let(
+            cells,
+            lambda cs: F.transform(
+                F.sequence(F.lit(0), F.lit(dim - 1)),
+                lambda i: F.size(F.filter(cs, lambda c: c == i)).cast("double"),
+            ),
         )
         return l2_normalise(counts)
 
