@@ -159,7 +159,7 @@ def query_terms(queries: DataFrame, id_cols: list[str], text_col: str = "text")
 def top_k(df: DataFrame, id_cols: list[str], k, order: list[Column], rank: str = "rank") -> DataFrame:
     """Rank within id columns and keep ``rank <= k`` (int, or a column of ``df``)."""
     w = Window.partitionBy(*id_cols).orderBy(*order)
-    limit = F.lit(k) if isinstance(k, int) else k
+    limit = F.lit(k) if isinstance(k, int) else k  # an int lets Spark plan a partial group limit
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
 
 
@@ -171,7 +171,7 @@ def bm25_score(tf: Column, doc_len: Column, avg_len: Column, weight: Column) ->
 def bm25(
     index: KeywordIndex,
     queries: DataFrame,
-    k: int,
+    k: int | DataFrame,
     partial: bool = False,
     id_cols: list[str] | None = None,
     small: bool | None = None,
@@ -211,7 +211,17 @@ def bm25(
         .agg(F.sum("_s").alias("score"))
         .where(F.col("score") > 0)
     )
-    return top_k(scored, id_cols, k, [F.round("score", 9).desc(), F.col("doc_id")])
+    return _cut(scored, id_cols, k, [F.round("score", 9).desc(), F.col("doc_id")])
+
+
+def _cut(scored: DataFrame, id_cols: list[str], k: int | DataFrame, order: list[Column]) -> DataFrame:
+    """Top ``k`` rows; ``k`` may be a table (query_id, fetch_k)."""
+    if isinstance(k, int):
+        return top_k(scored, id_cols, k, order)
+    most = int(k.agg(F.max("fetch_k")).first()[0] or 1)
+    first = top_k(scored, id_cols, most, order)  # partial limit by the largest depth
+    depth = broadcast_if_small(k.select("query_id", "fetch_k"))
+    return first.join(depth, "query_id").where("rank <= fetch_k").drop("fetch_k")
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -244,7 +254,7 @@ def _partial_postings(index: KeywordIndex, terms_in_queries: DataFrame) -> DataF
 
 
 def bm25_multi(
-    index: KeywordIndex, variants: DataFrame, docs: DataFrame, k: int, partial: bool = False
+    index: KeywordIndex, variants: DataFrame, docs: DataFrame, k: int | DataFrame, partial: bool = False
 ) -> DataFrame:
     """Several variants per query merged by best score per distinct text.
 
@@ -263,7 +273,7 @@ def bm25_multi(
         ).alias("b")
     )
     flat = best.select("query_id", "b.doc_id", "b.score")
-    return top_k(flat, ["query_id"], k, [F.round("score", 9).desc(), F.col("doc_id")])
+    return _cut(flat, ["query_id"], k, [F.round("score", 9).desc(), F.col("doc_id")])
 
 
 # ---------------------------------------------------------------- keywords
@@ -363,12 +373,7 @@ def filename_search(docs: DataFrame, keywords: DataFrame, limit) -> DataFrame:
     )
     ranked = counted.withColumn("tier", tier).where("tier is not null")
     order = [F.col("tier"), F.col("doc_id")]
-    if isinstance(limit, DataFrame):
-        ranked = ranked.join(broadcast_if_small(limit), "query_id")
-        out = top_k(ranked, ["query_id"], F.col("fetch_k"), order)
-    else:
-        out = top_k(ranked, ["query_id"], limit, order)
-    return out.select("query_id", "doc_id", "tier", "rank")
+    return _cut(ranked, ["query_id"], limit, order).select("query_id", "doc_id", "tier", "rank")
 
 
 def _keyword_hits(docs: DataFrame, keywords: DataFrame) -> DataFrame:

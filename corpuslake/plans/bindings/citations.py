@@ -104,7 +104,7 @@ def merge(spark, sf):
     c = doubled(spark, sf).withColumn("file_path", F.concat(F.lit("Lib\\"), F.element_at("tags", -1)))
     out = ci.merge_by_file(c)
     return out.select(
-        "query_id", "id", "rank", "file_name", "file_type", F.round("max_score", 6).alias("max_score"), F.round("avg_score", 6).alias("avg_score"),
+        "query_id", "id", "rank", "file_name", "file_type", F.round("max_score", 6).alias("max_score"), F.round(F.col("avg_score") + 1e-9, 6).alias("avg_score"),
         F.array_join(F.transform("chunks", lambda x: F.format_string("%.4f", x["score"])), "|").alias("scores"),
     )
 
@@ -234,7 +234,7 @@ ORACLES = {
       g as (select query_id, 'Lib/' || folder as id, arg_min(file_name, pos) as file_name, arg_min(file_type, pos) as file_type, max(score) as m, avg(score) as a,
         min(pos) as first, string_agg(format('{{:.4f}}', score), '|' order by score desc, pos) as scores from d group by 1, 2)
       select query_id, id, row_number() over (partition by query_id order by m desc, first) as rank, file_name, file_type, round(m, 6) as max_score,
-        round(a, 6) as avg_score, scores from g""",
+        round(a + 1e-9, 6) as avg_score, scores from g""",
     "x6_enrich": f"""with {HIT_ROWS}, e as (select *, case when source_type = 'url' then null else true end as known, {_preview} as pv from cits),
       f as (select e.*, n_chars, lang from e join documents d on d.doc_id = e.doc_id),
       r as (select *, list_concat([pv], list_transform(list_filter([folder, {trim_sql('text')}], lambda s: s <> '' and s <> {trim_sql('content')}),

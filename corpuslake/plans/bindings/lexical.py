@@ -51,7 +51,7 @@ def bm25_sql(name: str, query_cte: str, ids: str, k: int, partial: bool = False)
       join doc_len d on d.doc_id = t.doc_id, stats
       group by {ids}, t.doc_id),
     {name} as (select * from (select *, row_number() over (partition by {ids}
-        order by round(score, 9) desc, doc_id) as rank from {name}_s where score > 0) where rank <= {k})"""
+        order by round(score, 9) desc, doc_id) as rank from {name}_s where score > 0) z where rank <= {k})"""
 
 
 def keywords_sql(expr: str) -> str:
@@ -98,7 +98,7 @@ def filename_sql(name: str, limit: str, kw: str = "kw") -> str:
       from {name}_h h join {name}_n n on n.query_id = h.query_id),
     {name} as (select query_id, doc_id, cast(tier as integer) as tier, rank from (select *, row_number() over
         (partition by query_id order by tier, doc_id) as rank from {name}_t where tier is not null)
-      where rank <= {limit})"""
+      z where rank <= {limit})"""
 
 
 VARIANTS_SQL = f"""{keywords_cte('queries')},

@@ -12,9 +12,10 @@ from corpuslake.plans.bindings.inputs import (
     CORPUS, QUERIES_CTE, USER_QUERIES_CTE, corpus, queries, sql_str, table, user_queries,
 )
 from corpuslake.plans.bindings.lexical import (
-    INDEX, bm25_sql, filename_sql, hits, keywords_cte, keywords_sql,
+    INDEX, VARIANTS_SQL, bm25_sql, filename_sql, hits, keywords_cte,
 )
 from corpuslake.plans.bindings.vectors import vector_list, vector_list_sql
+from corpuslake.plans.search import SearchConfig, search
 
 N = 20
 
@@ -171,6 +172,52 @@ def variants(spark, sf):
     return rk.query_variants(all_queries(spark, sf))
 
 
+def search_lexical(spark, sf):
+    cfg = SearchConfig(vector=False, partial=False)
+    return search(corpus(spark, sf), queries(spark, sf), cfg).withColumn("score", F.round("score", 6))
+
+
+def search_full(spark, sf):
+    return search(corpus(spark, sf), queries(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+def search_scoped(spark, sf):
+    """Every query limited to the files of one folder (or, for a missing folder, to nothing: global)."""
+    s = materialise(scopes(spark, sf).withColumn("path", F.substring("path", 10, 1000)), "scopes")
+    cfg = SearchConfig(partial=False)
+    return search(corpus(spark, sf), queries(spark, sf), cfg, s).withColumn("score", F.round("score", 6))
+
+
+def search_sql(vector: bool, partial: bool) -> str:
+    deep = "(select fetch_k from plan p where p.query_id = z.query_id)"
+    vec_cte = f"{vector_list_sql('vl', deep)}," if vector else ""
+    vec_list = "select query_id, 'vector' as list, 0 as prio, doc_id as key, rank, distance from vl union all" if vector else ""
+    return f"""with {INDEX}, {plan_sql('queries', '(select n from stats)')}, {VARIANTS_SQL}, {bm25_sql('h', 'variants', 'query_id, ord', deep, partial)},
+      best as (select query_id, md5(text) as tk, arg_max({{'d': h.doc_id, 's': score}}, (round(score, 9), -ord, -rank)) as b
+        from h join corpus c on c.doc_id = h.doc_id group by 1, 2),
+      bl as (select query_id, b.d as doc_id, b.s as score, rank from (select *, row_number() over
+        (partition by query_id order by round(b.s, 9) desc, b.d) as rank from best) z where rank <= {deep}),
+      {filename_sql('fn', deep)}, {vec_cte}
+      lists as ({vec_list} select query_id, 'bm25' as list, 1 as prio, doc_id as key, rank, 1 / (score + 1) as distance from bl
+        union all select query_id, 'filename', 2, doc_id, rank, 0.0 from fn),
+      f as (select query_id, key, sum((case list when 'filename' then 2.0 else 1.0 end) / (50 + rank)) as s,
+        min(prio * 1000000 + rank) as seen, min(distance) as own from lists group by 1, 2),
+      g as (select query_id, sum(distinct case list when 'filename' then 20 when 'bm25' then 1 else 1.5 end) as kinds from lists group by 1),
+      m as (select f.*, max(s) over (partition by f.query_id) as hi, min(s) over (partition by f.query_id) as lo, kinds
+        from f join g on g.query_id = f.query_id),
+      d as (select query_id, key, seen, case when kinds in (1, 1.5) then own
+        else (1 - (s - lo) / (case when hi = lo then 1.0 else hi - lo end)) * 0.8 end as distance from m),
+      r as (select query_id, key, 1 / (1 + distance) as score, row_number() over (partition by query_id order by round(distance, 9), seen, key) as rank from d),
+      z1 as (select z.*, p.k as adaptive_k, case when intent in ('summary', 'comparison') then 0.6 else 0.7 end as lam
+        from r z join plan p on p.query_id = z.query_id where rank <= p.fetch_k),
+      th0 as (select *, count(*) filter (score >= 0.25) over (partition by query_id) as hi3, count(*) filter (score >= 0.05) over (partition by query_id) as lo3,
+        count(*) over (partition by query_id) as n3, row_number() over (partition by query_id order by round(score, 9) desc, rank) as r3 from z1),
+      th as (select query_id, key as doc_id, score, rank, adaptive_k, lam, text from th0 join corpus on corpus.doc_id = key
+        where case when hi3 >= 3 then score >= 0.25 when lo3 >= 2 then score >= 0.05 else r3 <= greatest(5, ceil(n3 * 0.3)) end),
+      {mmr_sql('mm', 'th', fv.DEFAULT_K, 'lam', 'adaptive_k')}
+      select query_id, doc_id, round(score, 6) as score, cast(mmr_rank as bigint) as rank from mm where mmr_rank <= {fv.DEFAULT_K}"""
+
+
 QUERIES = {
     "r1_rrf": rrf,
     "r2_fuse_scores": fuse,
@@ -182,6 +229,9 @@ QUERIES = {
     "r8_rerank": rerank,
     "r9_query_plan": plan,
     "r10_query_variants": variants,
+    "r11_search_lexical": search_lexical,
+    "r11_search": search_full,
+    "r11_search_scoped": search_scoped,
 }
 
 ORACLES = {
@@ -237,4 +287,6 @@ ORACLES = {
       v as (select query_id, list_concat([text], case when length(text) < 10 then
         [text || ' 管理', text || ' 系统', text || ' 方案'] else [] end) as vs from user_queries)
       select query_id, cast(generate_subscripts(vs, 1) - 1 as integer) as ord, unnest(vs) as variant from v""",
+    "r11_search_lexical": search_sql(vector=False, partial=False),
+    "r11_search": search_sql(vector=True, partial=True),
 }

@@ -71,7 +71,7 @@ def vector_list_sql(name: str, k: str) -> str:
     {name}_p as (select query_id, doc_id, round(1 - sum(q.v * d.v), 9) as distance
       from {name}_q q join {name}_d d on d.cell = q.cell group by 1, 2),
     {name} as (select * from (select *, row_number() over (partition by query_id order by distance, doc_id) as rank
-      from {name}_p) where rank <= {k})"""
+      from {name}_p) z where rank <= {k})"""
 
 
 def vector_list(spark, sf, k):
