@@ -49,6 +49,16 @@ USER_QUERIES_CTE = (
 )
 
 
+NTZ_MICROS = (
+    "cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) * 1000000 as bigint)"
+)
+
+
+def events(spark, sf_dir):
+    """Events with ``ts`` as an instant (the stored wall time read as UTC, whatever the session zone)."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.timestamp_micros(F.expr(NTZ_MICROS)))
+
+
 def files(spark, sf_dir):
     """File records: one per document."""
     return corpus(spark, sf_dir).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions.scale import shared_dir
 from corpuslake.operators import chunking as ck
 from corpuslake.sources import tables as st
-from corpuslake.plans.bindings.inputs import CORPUS, FILES, INVENTORY, corpus, files, inventory, table
+from corpuslake.plans.bindings.inputs import CORPUS, FILES, INVENTORY, corpus, events, files, inventory, table
 from corpuslake.plans.bindings.pages import trim_sql
 
 
@@ -132,7 +132,7 @@ def upsert(spark, sf):
 
 
 def log_rows(spark, sf):
-    e = table(spark, sf, "events")
+    e = events(spark, sf)
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "DEBUG").otherwise("INFO")
     return e.select(
         level.alias("level"), F.concat(F.col("event_type"), F.lit(" "), "event_id").alias("message"), F.unix_micros("ts").alias("timestamp"),
