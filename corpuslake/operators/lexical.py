@@ -260,7 +260,8 @@ def bm25_multi(
 
     ``variants``: query_id, ord, text. ``docs`` supplies the text of the hits.
     """
-    hits = bm25(index, variants, k, partial, id_cols=["query_id", "ord"])
+    # written once: the row-count check and the join below both read it
+    hits = materialise(bm25(index, variants, k, partial, id_cols=["query_id", "ord"]), "variant_hits")
     keyed = (
         docs.select("doc_id", "text")
         .join(broadcast_if_small(hits), "doc_id")

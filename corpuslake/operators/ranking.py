@@ -157,6 +157,9 @@ def mmr(
     partitioning, so the whole chain costs one shuffle and no Python.
     """
     lam_c = F.col(lam) if isinstance(lam, str) else F.lit(lam)
+    # little data, much work per row: keep one task per shuffle partition
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(parts, "query_id")
     need = F.col(min_rows) if min_rows else F.lit(k)
     df = (
         df.withColumn("_words", word_set(F.col("text")))

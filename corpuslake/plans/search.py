@@ -39,9 +39,11 @@ def search(
     """
     plan = _plan(docs, queries, cfg, scopes)
     wide = plan.where("is_global").select("query_id", "text", "fetch_k")
-    lists = _bm25_list(docs, wide, cfg).unionByName(_name_list(docs, wide))
+    kw = materialise(lx.expand_keywords(wide), "keywords")
+    lists = _bm25_list(docs, wide, kw, cfg).unionByName(_name_list(docs, wide, kw))
     if cfg.vector:
         lists = lists.unionByName(_vector_list(docs, plan, cfg, scopes))
+    lists = materialise(lists, "lists")
     fused = rk.fuse_scores(_by_content(docs, lists), rrf_k=cfg.rrf_k, limit=plan)
     hits = _with_text(docs, materialise(fused, "fused"))
     if scopes is not None:
@@ -63,8 +65,8 @@ def _plan(docs, queries, cfg, scopes) -> DataFrame:
     return materialise(plan, "plan")
 
 
-def _bm25_list(docs, queries, cfg) -> DataFrame:
-    kw = lx.expand_keywords(queries).where("ord < 3")
+def _bm25_list(docs, queries, kw, cfg) -> DataFrame:
+    kw = kw.where("ord < 3")
     variants = materialise(
         queries.select("query_id", F.lit(0).alias("ord"), "text", "fetch_k").unionByName(
             kw.join(queries.select("query_id", "fetch_k"), "query_id").select(
@@ -82,8 +84,7 @@ def _bm25_list(docs, queries, cfg) -> DataFrame:
     )
 
 
-def _name_list(docs, queries) -> DataFrame:
-    kw = materialise(lx.expand_keywords(queries), "keywords")
+def _name_list(docs, queries, kw) -> DataFrame:
     hits = lx.filename_search(docs, kw, queries.select("query_id", "fetch_k"))
     return hits.select("query_id", F.lit("filename").alias("list"), "doc_id", "rank", F.lit(0.0).alias("distance"))
 
