@@ -104,19 +104,15 @@ def script_of(c: Column | str) -> Column:
 def cjk_grams(segments: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """All n-grams of each CJK run, then the whole run (runs of 2 or more)."""
 
+    def of_size(seg: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(seg) - (n - 1))
+        return F.when(
+            F.length(seg) >= n, F.transform(starts, lambda i: F.substring(seg, i, F.lit(n)))
+        ).otherwise(F.array().cast("array<string>"))
+
     def grams(seg: Column) -> Column:
-        parts = [
-            F.when(
-                F.length(seg) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.length(seg) - (n - 1)),
-                    lambda i, n=n: F.substring(seg, i, F.lit(n)),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in sizes
-        ]
         whole = F.when(F.length(seg) >= 2, F.array(seg)).otherwise(F.array().cast("array<string>"))
-        return F.concat(*parts, whole)
+        return F.concat(*[of_size(seg, n) for n in sizes], whole)
 
     return F.flatten(F.transform(segments, grams))
 

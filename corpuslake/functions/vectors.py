@@ -53,7 +53,7 @@ def hashed_bag_encoder(dim: int = 64, token_of=index_tokens):
             cells,
             lambda cs: F.transform(
                 F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda i: F.size(F.filter(cs, lambda c: c == i)).cast("double"),
+                lambda i: (F.size(cs) - F.size(F.array_remove(cs, i))).cast("double"),
             ),
         )
         return l2_normalise(counts)

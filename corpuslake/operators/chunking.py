@@ -148,13 +148,13 @@ def split_oversize(block_table: DataFrame, max_chars: int = 2000, min_chars: int
 
     udf = F.pandas_udf(cut, T.ArrayType(T.StringType()))
     big = F.length("content") > max_chars
-    pieces = F.coalesce(udf(F.when(big, F.col("content"))), F.array("content"))
+    cut_up = udf(F.when(big, F.col("content")))
     return (
         block_table.withColumn("oversize", big)
-        .withColumn("_pieces", pieces)
-        .select("*", F.posexplode("_pieces").alias("piece_no", "_piece"))
+        .withColumn("_cut", cut_up)
+        .select("*", F.posexplode(F.coalesce("_cut", F.array("content"))).alias("piece_no", "_piece"))
         .withColumn("content", F.col("_piece"))
-        .drop("_pieces", "_piece")
+        .drop("_cut", "_piece")
     )
 
 
@@ -237,8 +237,7 @@ def pack_blocks(
         acc -> {flushed('acc.last')})"""
     return (
         per_doc.withColumn("_m", F.expr(merged))
-        .withColumn("_c", F.expr(packed))
-        .select("doc_id", F.posexplode("_c").alias("chunk_no", "c"))
+        .select("doc_id", F.posexplode(F.expr(packed)).alias("chunk_no", "c"))
         .select(
             "doc_id",
             "chunk_no",

@@ -368,12 +368,15 @@ MIN_PAGE_TEXT = 50
 def pages_to_corpus(pages: DataFrame, allowed: list[str] | None = None, min_chars: int = MIN_PAGE_TEXT) -> DataFrame:
     """Admitted pages as documents: source, title, text and metadata."""
     ok = classify_urls(pages, allowed).where("reason = 'ok'")
-    df = html_to_text(main_content(page_meta(ok)))
-    return df.where(F.length("text") >= min_chars).select(
+    df = main_content(page_meta(ok))
+    # a filter on the text would be pushed down and repeat the whole extraction;
+    # exploding the kept text evaluates it once
+    kept = F.filter(F.array(text_of(F.col("content"))), lambda t: F.length(t) >= min_chars)
+    return df.select(
         "page_id",
         F.col("url").alias("source"),
         F.coalesce("title", "url").alias("title"),
-        "text",
+        F.explode(kept).alias("text"),
         "description",
         "keywords",
         "author",

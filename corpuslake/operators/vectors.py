@@ -145,7 +145,8 @@ def _block_side(vectors, queries, k, query_id, schema) -> DataFrame:
         .withColumn("_cell", F.explode("_cells"))
         .join(sizes, "_cell")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("_cell", "_part", "_qb", query_id, "embedding")
+        # fresh attributes: both sides may stem from one table
+        .select("_cell", "_part", "_qb", F.col(query_id).alias("_qid"), F.col("embedding").alias("_qvec"))
     )
     id_col, vec_col = vectors.columns[0], vectors.columns[1]
 
@@ -153,13 +154,13 @@ def _block_side(vectors, queries, k, query_id, schema) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: [] for n in schema.names})
         qi, ids, d = nearest_rows(
-            unit_rows(np.stack(right["embedding"].to_numpy()).astype(np.float64)),
+            unit_rows(np.stack(right["_qvec"].to_numpy()).astype(np.float64)),
             left[id_col].to_numpy(),
             unit_rows(np.stack(left[vec_col].to_numpy()).astype(np.float64)),
             k,
         )
         return pd.DataFrame(
-            {query_id: right[query_id].to_numpy()[qi], id_col: ids, "distance": d}
+            {query_id: right["_qid"].to_numpy()[qi], id_col: ids, "distance": d}
         )
 
     key = ["_cell", "_part", "_qb"]

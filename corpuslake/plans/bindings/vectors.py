@@ -51,9 +51,9 @@ def _knn_out(df):
 def embed_docs(spark, sf):
     v = vx.embed(corpus(spark, sf).select("doc_id", "text"))
     return (
-        v.select("doc_id", F.posexplode("embedding").alias("cell", "value"))
+        v.select("doc_id", F.posexplode(F.transform("embedding", lambda x: F.round(x, 6))).alias("cell", "value"))
         .where("value <> 0")
-        .select("doc_id", "cell", F.round("value", 6).alias("value"))
+        .select("doc_id", "cell", "value")
     )
 
 
