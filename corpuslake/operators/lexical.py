@@ -262,11 +262,9 @@ def bm25_multi(
     """
     # written once: the row-count check and the join below both read it
     hits = materialise(bm25(index, variants, k, partial, id_cols=["query_id", "ord"]), "variant_hits")
-    keyed = (
-        docs.select("doc_id", "text")
-        .join(broadcast_if_small(hits), "doc_id")
-        .select("query_id", "ord", "rank", "doc_id", "score", F.md5("text").alias("text_key"))
-    )
+    found = broadcast_if_small(hits.select("doc_id").distinct())
+    keys = docs.join(found, "doc_id", "left_semi").select("doc_id", F.md5("text").alias("text_key"))
+    keyed = hits.join(keys, "doc_id").select("query_id", "ord", "rank", "doc_id", "score", "text_key")
     best = keyed.groupBy("query_id", "text_key").agg(
         F.max_by(
             F.struct("doc_id", "score", "ord", "rank"),

@@ -44,8 +44,9 @@ def search(
     if cfg.vector:
         lists = lists.unionByName(_vector_list(docs, plan, cfg, scopes))
     lists = materialise(lists, "lists")
-    fused = rk.fuse_scores(_by_content(docs, lists), rrf_k=cfg.rrf_k, limit=plan)
-    hits = _with_text(docs, materialise(fused, "fused"))
+    found = materialise(_hit_docs(docs, lists), "found")
+    fused = rk.fuse_scores(_by_content(found, lists), rrf_k=cfg.rrf_k, limit=plan)
+    hits = fused.withColumnRenamed("key", "doc_id").join(found.select("doc_id", "source", "words"), "doc_id")
     if scopes is not None:
         hits = rk.scope_filter(hits, scopes)
     kept = rk.threshold(hits, cfg.min_relevance)
@@ -140,16 +141,19 @@ def _scoped_list(vectors, plan, cfg, scopes) -> DataFrame:
     return ranked.select("query_id", F.lit("vector").alias("list"), "doc_id", "rank", "distance")
 
 
-def _by_content(docs, lists) -> DataFrame:
-    """Equal (source, text) is one result: key = the lowest document id of the content."""
-    rows = docs.select("doc_id", "source", "text").join(broadcast_if_small(lists), "doc_id")
-    same = Window.partitionBy("query_id", F.md5(F.concat_ws("::", "source", "text")))
-    return rows.select("query_id", "list", F.min("doc_id").over(same).alias("key"), "rank", "distance")
+def _hit_docs(docs, lists) -> DataFrame:
+    """Documents found at least once: source, content key and word set, made once per document."""
+    ids = broadcast_if_small(lists.select("doc_id").distinct())
+    return docs.join(ids, "doc_id", "left_semi").select(
+        "doc_id", "source", F.md5(F.concat_ws("::", "source", "text")).alias("content"), rk.word_set(F.col("text")).alias("words")
+    )
 
 
-def _with_text(docs, hits) -> DataFrame:
-    small = hits.select("query_id", F.col("key").alias("doc_id"), "score", "rank")
-    return docs.select("doc_id", "source", "text").join(broadcast_if_small(small), "doc_id")
+def _by_content(found, lists) -> DataFrame:
+    """Equal (source, text) is one result: key = the lowest document id of the content."""
+    rows = lists.join(found.select("doc_id", "content"), "doc_id")
+    same = Window.partitionBy("query_id", "content")
+    return rows.select("query_id", "list", F.min("doc_id").over(same).alias("key"), "rank", "distance")
 
 
 def _select(kept, plan, cfg) -> DataFrame:
