@@ -75,21 +75,23 @@ def contains_join(
     hay_col: str,
     needles: DataFrame,
     needle_col: str,
-    gram: int = 3,
     small_side: str = "needles",
+    min_len: int = 2,
 ) -> DataFrame:
     """Rows of ``hay`` joined to every needle that occurs in ``hay_col`` as a substring.
 
-    A needle of ``gram`` or more characters is anchored by its first ``gram``
-    characters, a shorter one by all of them. The text's own grams are produced
-    row-locally and equi-joined with the anchors, so only rows that share an
-    anchor are verified; no other row pairs are formed. The named small side is
-    broadcast once its row count is proven small, so the other is not shuffled.
+    A needle of four or more characters is anchored by its first four
+    characters, a shorter one by its first two (or one). The text's own grams
+    are produced row-locally and equi-joined with the anchors, so only rows that
+    share an anchor are verified; no other row pairs are formed. The named small
+    side is broadcast once its row count is proven small, so the other is not
+    shuffled. ``min_len`` is the length of the shortest needle.
     """
-    sized = needles.where(F.length(needle_col) > 0).withColumn(
-        "_anchor", F.substring(F.col(needle_col), 1, gram)
-    )
-    grams = F.flatten(F.array(*[grams_of(F.col(hay_col), n) for n in range(1, gram + 1)]))
+    n = F.length(needle_col)
+    anchor = F.substring(F.col(needle_col), F.lit(1), F.when(n >= 4, 4).when(n >= 2, 2).otherwise(1))
+    sized = needles.where(n >= min_len).withColumn("_anchor", anchor)
+    sizes = [size for size in (1, 2, 4) if size >= min(min_len, 2)]
+    grams = F.flatten(F.array(*[grams_of(F.col(hay_col), size) for size in sizes]))
     spread = hay.withColumn("_anchor", F.explode(grams))
     if small_side == "needles":
         sized = broadcast_if_small(sized)

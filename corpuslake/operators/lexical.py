@@ -386,11 +386,11 @@ def _keyword_hits(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     # name and text are scanned as one string split by a character no keyword holds
     both = cols.select("doc_id", "_name", "_text", F.concat_ws("\n", "_name", "_text").alias("_hay"))
     joined = contains_join(both, "_hay", kws, "kw")
+    in_name = F.col("_name").contains(F.col("kw"))
+    # a match outside the name lies in the text, so the long text is rarely searched again
+    in_text = F.when(in_name, F.col("_text").contains(F.col("kw"))).otherwise(F.lit(True))
     return joined.select(
-        "doc_id",
-        "kw",
-        F.col("_name").contains(F.col("kw")).alias("in_name"),
-        F.col("_text").contains(F.col("kw")).alias("in_text"),
+        "doc_id", "kw", in_name.alias("in_name"), in_text.alias("in_text")
     ).repartition("doc_id")
 
 

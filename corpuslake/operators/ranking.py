@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
 from corpuslake.functions.scale import broadcast_if_small
-from corpuslake.functions.text import CJK, WS, contains_any, extract_all, norm_path, script_of, trim_ws
+from corpuslake.functions.text import CJK, WS, contains_any, extract_all, let, norm_path, script_of, trim_ws
 
 def per_query():
     return Window.partitionBy("query_id")
@@ -185,8 +185,11 @@ def mmr(
             gain = lam_c * F.col("score") - (1 - lam_c) * F.col("_sim")
             key = F.struct(F.round(gain, 9).alias("s"), (-F.col(pos)).alias("o"))
         key = F.when(F.col("_picked").isNull(), key)
-        both = F.size(F.array_intersect("_words", "_best.w"))
-        either = F.size("_words") + F.size("_best.w") - both
+        sizes = F.size("_words") + F.size("_best.w")
+        overlap = let(
+            F.size(F.array_intersect("_words", "_best.w")),
+            lambda both: F.when(sizes > both, both / (sizes - both)).otherwise(F.lit(0.0)),
+        )
         df = (
             df.withColumn("_best", F.max_by(seat, key).over(per_query()))
             .withColumn(
@@ -195,9 +198,7 @@ def mmr(
                     F.col("_picked")
                 ),
             )
-            .withColumn(
-                "_sim", F.greatest("_sim", F.when(either > 0, both / either).otherwise(F.lit(0.0)))
-            )
+            .withColumn("_sim", F.greatest("_sim", overlap))
         )
     rank = F.when(F.col("_short"), F.col("_in_order")).otherwise(F.col("_picked"))
     return (
