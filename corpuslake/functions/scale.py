@@ -46,13 +46,17 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (tests on one machine) a temporary folder is created and set.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
+    temporary folder is made and set in local mode only (tests on one machine);
+    on a cluster, executors could not see it, so an error is raised instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/corpuslake-{uuid.uuid4().hex}"
