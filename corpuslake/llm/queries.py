@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslake.llm import repetition, simhash
+from corpuslake.llm import decontaminate, packing, pii, repetition, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.simhash_clusters(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return repetition.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -53,5 +65,33 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 from base
 """
 
-QUERIES = {"op4_simhash": op4_simhash, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op10_quality_rules": OP10_SQL}
+OP6_SQL = r"""
+with d as (select row_number() over () as r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+item_windows as (select distinct item_id, k, list_slice(w, i, i + k - 1) as g
+    from (select item_id, w, least(len(w), 10) as k, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)),
+doc_windows as (select r, k, i, list_slice(w, i, i + k - 1) as g
+    from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from item_windows) where len(w) >= k)),
+hits as (select r, doc_windows.k, i, item_id from doc_windows join item_windows using (k, g)),
+reach as (select r, i, max(i + k) as stop from hits group by r, i),
+ordered as (select r, i, stop, max(stop) over (partition by r order by i rows between unbounded preceding and 1 preceding) as before from reach),
+counted as (select r, sum(greatest(0, stop - greatest(i, coalesce(before, i))))::bigint as n_hit from ordered group by r),
+items as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct r, item_id::varchar as id from hits where item_id is not null) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join counted using (r) left join items using (r)
+"""
+
+QUERIES = {
+    "op3_pii": op3_pii,
+    "op4_simhash": op4_simhash,
+    "op6_decontamination": op6_decontamination,
+    "op7_packing": op7_packing,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES = {"op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL}
