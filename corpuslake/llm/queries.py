@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslake.llm import decontaminate, packing, pii, repetition, simhash
+from corpuslake.llm import decontaminate, packing, pii, quality, repetition, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return repetition.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -88,10 +96,12 @@ from d left join counted using (r) left join items using (r)
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL}
