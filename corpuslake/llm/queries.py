@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslake.llm import decontaminate, packing, pii, quality, repetition, simhash, toxicity
+from corpuslake.llm import (
+    decontaminate,
+    packing,
+    pii,
+    quality,
+    repetition,
+    secret_scan,
+    simhash,
+    token_counts,
+    toxicity,
+    url_graph,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +26,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_url_graph(spark, sf_dir):
+    return url_graph.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op3_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -23,6 +38,10 @@ def op4_simhash(spark, sf_dir):
     return simhash.simhash_clusters(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark, sf_dir):
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +50,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -95,13 +118,52 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from d left join counted using (r) left join items using (r)
 """
 
+def _rank_sql(name: str, verdict: str, start: str, end: str, rounds: int = 8) -> str:
+    """CTEs of a personalised PageRank over ``edges``; the last is ``{name}``."""
+    out = [
+        f"{name}_seed as (select host, {verdict}::double / (select sum({verdict}) from hosts) as seed from hosts where {verdict} > 0)",
+        f"{name}_share as (select {start} as host, {end} as dest, weight / sum(weight) over (partition by {start}) as share from edges)",
+        f"{name}_0 as (select host, seed as mass from {name}_seed)",
+    ]
+    out += [
+        f"{name}_{i} as (select host, sum(mass) as mass from ("
+        f"select dest as host, mass * share * 0.85 as mass from {name}_{i - 1} join {name}_share using (host) "
+        f"union all select host, seed * (1 - 0.85::double) from {name}_seed) group by host)"
+        for i in range(1, rounds + 1)
+    ]
+    return ",\n".join([*out, f"{name} as (select * from {name}_{rounds})"])
+
+
+OP2_SQL = rf"""
+with p as (select page_id, coalesce(html, '') as html,
+        coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+rules(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+addresses as (select distinct host, path from p),
+fits as (select host, path, max_by(h || rules.p, length(h || rules.p)) as rule, max_by(v, length(h || rules.p)) as v
+    from addresses join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, rules.p) group by host, path),
+ruled as (select p.*, rule, v from p left join fits using (host, path)),
+hosts as (select host, count(*) filter (v = 'allow') as allow, count(*) filter (v = 'block') as block from ruled where host <> '' group by host),
+links as (select host as source, translate(unnest(regexp_extract_all(html, '(?is)\bhref\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as target from p where host <> ''),
+edges as (select source, target, count(*)::double as weight from links where source <> target group by source, target),
+{_rank_sql("trust", "allow", "source", "target")},
+{_rank_sql("distrust", "block", "target", "source")}
+select page_id, host, path, rule,
+    coalesce(v, case when coalesce(distrust.mass, 0) > coalesce(trust.mass, 0) then 'block' else 'allow' end) as verdict
+from ruled left join trust using (host) left join distrust using (host)
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_graph": op2_url_graph,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES = {"op2_url_graph": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL}
