@@ -16,15 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows and compare."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Measure at most ``max_rows + 1`` rows, and their bytes as JSON, against the bounds.
+
+    It runs ``df``: give a stored table, or one that is cheap to make twice.
+    """
+    size = df.limit(max_rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("b"))
+    rows, total = size.agg(F.count("*"), F.sum("b")).first()
+    return rows <= max_rows and (total or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a checked row bound; unchanged frame beyond it."""
+    """Broadcast hint behind checked row and byte bounds; unchanged frame beyond them."""
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
@@ -33,16 +39,6 @@ def hint_small(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a scan has fewer splits than the cluster has cores.
-
-    A table of many splits (any large one) is returned unchanged, so nothing
-    large is ever shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 
@@ -80,29 +76,30 @@ def contains_join(
     needles: DataFrame,
     needle_col: str,
     small_side: str = "needles",
-    min_len: int = 2,
+    min_len: int = 1,
 ) -> DataFrame:
     """Rows of ``hay`` joined to every needle that occurs in ``hay_col`` as a substring.
 
     A needle of four or more characters is anchored by its first four
     characters, a shorter one by its first two (or one). The text's own grams
     are produced row-locally and equi-joined with the anchors, so only rows that
-    share an anchor are verified; no other row pairs are formed. The named small
-    side is broadcast once its row count is proven small, so the other is not
-    shuffled. ``min_len`` is the length of the shortest needle.
+    share an anchor are verified; no other row pairs are formed. It is meant for
+    short texts (terms, names): each gram's row carries the text. The named small
+    side is broadcast once its size is proven small, so the other is not
+    shuffled. ``min_len`` may state that no needle is shorter, which saves grams.
     """
     n = F.length(needle_col)
     anchor = F.substring(F.col(needle_col), F.lit(1), F.when(n >= 4, 4).when(n >= 2, 2).otherwise(1))
-    sized = needles.where(n >= min_len).withColumn("_anchor", anchor)
+    sized = needles.where(n > 0).withColumn("_anchor", anchor)
     sizes = [size for size in (1, 2, 4) if size >= min(min_len, 2)]
     grams = F.flatten(F.array(*[grams_of(F.col(hay_col), size) for size in sizes]))
-    spread = hay.withColumn("_anchor", F.explode(grams))
+    exploded = hay.withColumn("_anchor", F.explode(grams))
     if small_side == "needles":
         sized = broadcast_if_small(sized)
     else:
-        spread = broadcast_if_small(spread)
+        exploded = broadcast_if_small(exploded)
     return (
-        spread.join(sized, "_anchor")
+        exploded.join(sized, "_anchor")
         .where(F.col(hay_col).contains(F.col(needle_col)))
         .drop("_anchor")
     )

@@ -409,21 +409,24 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("paragraph_index", "text"))
 
 
-PIECE_CHARS, MAX_PIECES = 4000, 10
+PIECE_CHARS = 4000
 
 
-def map_reduce(docs: DataFrame, map_fn, joiner: str = "\n\n---\n\n") -> DataFrame:
-    """(doc_id, n_pieces, result): analyse 4,000-character pieces, at most ten, and join them.
+def map_reduce(docs: DataFrame, map_fn, joiner: str = "\n\n---\n\n", max_pieces: int | None = None) -> DataFrame:
+    """(doc_id, n_pieces, result): analyse a text's 4,000-character pieces and join them.
 
     ``map_fn`` is Column -> Column (text to text), a pandas UDF included. A
-    document of one piece is analysed directly.
+    document of one piece is analysed directly. ``max_pieces`` may limit the
+    analysis to the first pieces (an interactive tool takes ten).
     """
-    pieces = F.slice(fixed_pieces(F.col("text"), PIECE_CHARS), 1, MAX_PIECES)
+    pieces = fixed_pieces(F.col("text"), PIECE_CHARS)
+    if max_pieces is not None:
+        pieces = F.slice(pieces, 1, max_pieces)
     mapped = (
         docs.select("doc_id", F.posexplode_outer(pieces).alias("piece_no", "piece"))
         .withColumn("_r", map_fn(F.coalesce("piece", F.lit(""))))
         .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("piece_no", "_r"))).alias("_all"))  # ten items at most
+        .agg(F.array_sort(F.collect_list(F.struct("piece_no", "_r"))).alias("_all"))  # the pieces of one text
     )
     return mapped.select(
         "doc_id",

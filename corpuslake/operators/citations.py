@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import broadcast_if_small
+from corpuslake.functions.scale import broadcast_if_small, materialise
 from corpuslake.functions.text import (
     CJK, WS, blank_to_null, clip, extract_all, map_value, norm_path, path_tail, safe_url_decode, trim_ws,
 )
@@ -58,10 +58,14 @@ def use_hybrid(question: Column, is_global: Column | None = None) -> Column:
     return rich if is_global is None else rich & is_global
 
 
-def assemble(admitted: DataFrame) -> DataFrame:
-    """One row per query: context text and retrieval metrics, from ``admit`` output."""
+def assemble(admitted: DataFrame, ident_chars: int | None = None) -> DataFrame:
+    """One row per query: context text and retrieval metrics, from ``admit`` output.
+
+    Sources are told apart by path, page and text, or by the first ``ident_chars`` of the text.
+    """
+    text_id = F.col("text") if ident_chars is None else F.substring("text", 1, ident_chars)
     page = F.coalesce(_opt(admitted, "page_number", "int"), F.lit(0))
-    ident = F.when(F.col("admitted"), F.struct("source", page, F.substring("text", 1, 50)))
+    ident = F.when(F.col("admitted"), F.struct("source", page, F.md5(text_id)))
     item = F.when(F.col("admitted"), F.struct((-F.col("score")).alias("s"), "rank", "text"))
     out = admitted.groupBy("query_id").agg(
         F.count("*").alias("retrieved"),
@@ -123,11 +127,14 @@ def to_citations(hits: DataFrame, excerpt: int = 300) -> DataFrame:
     )
 
 
-def dedupe_citations(df: DataFrame) -> DataFrame:
-    """Same path, page and first 50 characters: keep the best score; re-position by score."""
+def dedupe_citations(df: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """Same path, page and content (or its first ``key_chars``): keep the best score; re-position by score."""
+    content = F.coalesce(F.col("content"), F.lit(""))
+    if key_chars is not None:
+        content = F.substring(content, 1, key_chars)
     who = F.coalesce(blank_to_null("file_path"), blank_to_null("url"), blank_to_null("file_name"), F.lit("unknown"))
     key = F.concat_ws(
-        ":", who, F.coalesce("page_number", F.lit(0)), F.substring(F.coalesce("content", F.lit("")), 1, 50)
+        ":", who, F.coalesce("page_number", F.lit(0)), content
     )
     score = F.coalesce("score", F.lit(0.0))
     others = [c for c in df.columns if c != "query_id"]
@@ -402,24 +409,30 @@ def outline_context(
     sections: DataFrame,
     section_hits: DataFrame,
     topic_hits: DataFrame,
-    section_chars: int = 1500,
-    topic_chars: int = 3000,
+    section_chars: int | None = None,
+    topic_chars: int | None = None,
+    max_sources: int | None = None,
 ) -> DataFrame:
     """(topic_id, section_no, context, sources) for every outline section.
 
     ``sections``: topic_id, section_no, title. ``section_hits``: topic_id,
     section_no, doc_id, rank. ``topic_hits``: topic_id, doc_id, rank. A section
-    without hits uses its topic's context. At most two source names.
+    without hits uses its topic's context. Contexts and source names are whole;
+    the other arguments may cut them to fit a prompt (1500, 3000 and 2 in an
+    interactive tool), before anything is collected.
     """
 
-    def context(hits: DataFrame, keys: list[str], chars: int) -> DataFrame:
-        rows = docs.select("doc_id", "text", "source").join(broadcast_if_small(hits), "doc_id")
+    def context(hits: DataFrame, keys: list[str], chars: int | None) -> DataFrame:
+        text = F.col("text") if chars is None else F.substring("text", 1, chars)
+        rows = docs.select("doc_id", text.alias("text"), "source").join(broadcast_if_small(materialise(hits, "hits")), "doc_id")
         ordered = F.array_sort(F.collect_list(F.struct("rank", "text", path_tail("source").alias("name"))))
         g = rows.groupBy(*keys).agg(ordered.alias("_o"))
+        whole = F.array_join(F.transform("_o", lambda x: x["text"]), "\n\n")
+        first = F.col("_o") if max_sources is None else F.slice("_o", 1, max_sources)
         return g.select(
             *keys,
-            F.substring(F.array_join(F.transform("_o", lambda x: x["text"]), "\n\n"), 1, chars).alias("_ctx"),
-            F.filter(F.transform(F.slice("_o", 1, 2), lambda x: x["name"]), lambda n: n != "").alias("_src"),
+            (whole if chars is None else F.substring(whole, 1, chars)).alias("_ctx"),
+            F.filter(F.transform(first, lambda x: x["name"]), lambda n: n != "").alias("_src"),
         )
 
     own = context(section_hits, ["topic_id", "section_no"], section_chars)

@@ -34,15 +34,27 @@ def list_conversations(convs: DataFrame, starred: DataFrame | None = None) -> Da
 
 
 def save_messages(msgs: DataFrame, convs: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages, conversations) after a batch: replace by id, add missing conversations, raise parent time.
+    """(messages, conversations) after a batch: saved by id, missing conversations added, parent time raised.
 
     ``msgs``/``batch``: id, conv_id, role, text, ts. ``convs``: conv_id, label, ts.
-    Null fields of a batch row keep the stored value (a partial update).
+    A batch row with ``op`` 'replace' sets the whole row, nulls too; any other (or
+    without that column) is a partial update, of which null fields change
+    nothing. All rows of an id apply in order of ts.
     """
     fields = [c for c in msgs.columns if c != "id"]
-    latest = batch.groupBy("id").agg(F.max_by(F.struct(*fields), "ts").alias("_b"))
-    joined = msgs.join(latest, "id", "full_outer")
-    out = joined.select("id", *[F.coalesce(f"_b.{c}", c).alias(c) for c in fields])
+    op = F.col("op") if "op" in batch.columns else F.lit("update")
+    ops = batch.withColumn("_replace", F.coalesce(op == "replace", F.lit(False)))
+    whole = ops.where("_replace").groupBy("id").agg(
+        F.max_by(F.struct(*fields), "ts").alias("_whole"), F.max("ts").alias("_since")
+    )
+    parts = ops.where("not _replace").join(whole.select("id", "_since"), "id", "left").where(
+        F.col("_since").isNull() | (F.col("ts") > F.col("_since"))
+    )
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts")))
+    parts = parts.groupBy("id").agg(*[latest(c).alias(f"_p_{c}") for c in fields])
+    joined = msgs.join(whole, "id", "full_outer").join(parts, "id", "full_outer")
+    kept = lambda c: F.when(F.col("_since").isNotNull(), F.col(f"_whole.{c}")).otherwise(F.col(c))
+    out = joined.select("id", *[F.coalesce(f"_p_{c}", kept(c)).alias(c) for c in fields])
     touched = batch.groupBy("conv_id").agg(F.max("ts").alias("_t"))
     parents = (
         convs.join(touched, "conv_id", "full_outer")

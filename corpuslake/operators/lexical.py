@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,14 +237,15 @@ def partial_pairs(index: KeywordIndex, terms_in_queries: DataFrame) -> DataFrame
     """(qterm, term): query term and index term, one a substring of the other."""
     q = terms_in_queries.select(F.col("term").alias("qterm"))
     vocab = index.entries.select("term").distinct()
-    longer = contains_join(vocab, "term", q, "qterm").select("qterm", "term")
-    shorter = contains_join(q, "qterm", vocab, "term", small_side="hay").select("qterm", "term")
+    # index tokens have two characters or more
+    longer = contains_join(vocab, "term", q, "qterm", min_len=2).select("qterm", "term")
+    shorter = contains_join(q, "qterm", vocab, "term", small_side="hay", min_len=2).select("qterm", "term")
     return longer.union(shorter).distinct()
 
 
 def _partial_postings(index: KeywordIndex, terms_in_queries: DataFrame) -> DataFrame:
     """(doc_id, term = query term, tf, doc_len) with tf = 1 where only parts match."""
-    pairs = partial_pairs(index, terms_in_queries)
+    pairs = materialise(partial_pairs(index, terms_in_queries), "pairs")  # measured, then joined
     hits = index.entries.join(broadcast_if_small(pairs), "term").select(
         "doc_id", "doc_len", "qterm", F.when(F.col("term") == F.col("qterm"), F.col("tf")).alias("tf")
     )
@@ -357,7 +359,7 @@ def filename_search(docs: DataFrame, keywords: DataFrame, limit) -> DataFrame:
     )
     asked = lower.join(per_query, "query_id")
     counted = (
-        hits.join(broadcast_if_small(asked), "kw")
+        hits.join(broadcast_if_small(materialise(asked, "asked")), "kw")
         .groupBy("query_id", "doc_id")
         .agg(
             F.sum(F.when(F.col("in_name"), F.col("n")).otherwise(0)).alias("name_hits"),
@@ -375,23 +377,60 @@ def filename_search(docs: DataFrame, keywords: DataFrame, limit) -> DataFrame:
     return _cut(ranked, ["query_id"], limit, order).select("query_id", "doc_id", "tier", "rank")
 
 
+#: Bytes of keywords that are searched for in one pass.
+KEYWORD_BYTES = 8 << 20
+
+
 def _keyword_hits(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(doc_id, kw, in_name, in_text), spread by document."""
-    kws = keywords.select(F.lower("keyword").alias("kw")).distinct()
+    """(doc_id, kw, in_name, in_text): every keyword that occurs in a name or text.
+
+    The keywords of a pass are broadcast, bounded in bytes, and each text is
+    scanned once for all of them by an automaton; more keywords take more passes.
+    """
+    kws = materialise(keywords.select(F.lower("keyword").alias("kw")).where("kw <> ''").distinct(), "keywords")
+    size = kws.agg(F.sum(F.length(F.col("kw").cast("binary")))).first()[0] or 0
+    passes = max(1, -(-int(size) // KEYWORD_BYTES))
     cols = docs.select(
         "doc_id",
         F.lower(F.coalesce("text", F.lit(""))).alias("_text"),
         path_tail(F.lower(F.coalesce("source", F.lit("")))).alias("_name"),
     )
-    # name and text are scanned as one string split by a character no keyword holds
-    both = cols.select("doc_id", "_name", "_text", F.concat_ws("\n", "_name", "_text").alias("_hay"))
-    joined = contains_join(both, "_hay", kws, "kw")
-    in_name = F.col("_name").contains(F.col("kw"))
-    # a match outside the name lies in the text, so the long text is rarely searched again
-    in_text = F.when(in_name, F.col("_text").contains(F.col("kw"))).otherwise(F.lit(True))
-    return joined.select(
-        "doc_id", "kw", in_name.alias("in_name"), in_text.alias("in_text")
-    ).repartition("doc_id")
+    out = None
+    for i in range(passes):
+        words = [r["kw"] for r in kws.where(F.pmod(F.xxhash64("kw"), F.lit(passes)) == i).collect()]
+        found = cols.select("doc_id", F.explode(_finder(docs.sparkSession, words)("_name", "_text")).alias("_f"))
+        found = found.select("doc_id", "_f.kw", "_f.in_name", "_f.in_text")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _finder(spark, words: list[str]):
+    """Column function (name, text) -> array of (kw, in_name, in_text)."""
+    shared = spark.sparkContext.broadcast(words)
+
+    def run(names: pa.Array, texts: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        machine = getattr(run, "machine", None)
+        if machine is None:
+            machine = run.machine = ahocorasick.Automaton()
+            for w in shared.value:
+                machine.add_word(w, w)
+            machine.make_automaton()
+        if not len(machine):
+            return pa.array([[]] * len(texts), _FOUND)
+        rows = []
+        for name, text in zip(names.to_pylist(), texts.to_pylist(), strict=True):
+            in_name, in_text = ({w for _, w in machine.iter(s)} for s in (name, text))
+            rows.append([{"kw": w, "in_name": w in in_name, "in_text": w in in_text} for w in in_name | in_text])
+        return pa.array(rows, _FOUND)
+
+    run.__annotations__ = {"names": pa.Array, "texts": pa.Array, "return": pa.Array}  # as types, they mark the kind of function
+    # evaluated once a row
+    return F.arrow_udf(run, "array<struct<kw:string,in_name:boolean,in_text:boolean>>").asNondeterministic()
+
+
+_FOUND = pa.list_(pa.struct([("kw", pa.string()), ("in_name", pa.bool_()), ("in_text", pa.bool_())]))
 
 
 def matched_keywords(docs: DataFrame, keywords: DataFrame) -> DataFrame:

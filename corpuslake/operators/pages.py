@@ -228,11 +228,8 @@ def absolute_url(href: Column, base: Column) -> Column:
     )
 
 
-MAX_LINKS_PER_PAGE = 100
-
-
-def outlinks(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, url): distinct http(s) links in first-seen order, first 100 per page."""
+def outlinks(pages: DataFrame, max_links: int | None = None) -> DataFrame:
+    """(page_id, ord, url): distinct http(s) links in first-seen order; ``max_links`` may keep the first of a page only."""
     hrefs = F.transform(
         extract_all("html", r"(?i)<a[^>]*href=[\"']([^\"'#]+)[\"'][^>]*>", 1), trim_ws
     )
@@ -240,7 +237,9 @@ def outlinks(pages: DataFrame) -> DataFrame:
     full = F.filter(
         F.transform(wanted, lambda h: absolute_url(h, F.col("url"))), lambda u: u.startswith("http")
     )
-    first = F.slice(F.array_distinct(full), 1, MAX_LINKS_PER_PAGE)
+    first = F.array_distinct(full)
+    if max_links is not None:
+        first = F.slice(first, 1, max_links)
     usable = F.when(url_host(F.col("url")) != "", first).otherwise(F.array().cast("array<string>"))
     return pages.select("page_id", F.posexplode(usable).alias("ord", "url"))
 

@@ -7,11 +7,14 @@ small. Equal scores (to nine places) fall back to an explicit position or key.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import broadcast_if_small
+from corpuslake.functions.scale import broadcast_if_small, materialise
 from corpuslake.functions.text import CJK, WS, contains_any, extract_all, let, norm_path, script_of, trim_ws
 
 def per_query():
@@ -105,35 +108,33 @@ def threshold(df: DataFrame, t: float = fv.RELEVANCE_THRESHOLD, pos: str = "rank
     return df.where(keep).drop("_hi", "_lo", "_n", "_r")
 
 
-SUFFIX_SCOPE_LIMIT = 50
-
-
-def scope_filter(df: DataFrame, scopes: DataFrame) -> DataFrame:
+def scope_filter(df: DataFrame, scopes: DataFrame, suffixes: bool = True) -> DataFrame:
     """Keep rows whose source lies in the query's scope (query_id, path).
 
-    Equal normalised paths match; with fewer than 50 paths a suffix in either
-    direction matches too. Queries without a scope keep all rows.
+    Normalised paths match if they are equal or, with ``suffixes``, if one ends
+    with the other, for any number of paths: both sides' suffixes are rows, so
+    each direction is an equi-join. Queries without a scope keep all rows.
     """
-    paths = scopes.select("query_id", norm_path("path").alias("_p")).distinct()
-    sizes = paths.groupBy("query_id").agg(F.count("*").alias("_n"))
-    few = (
-        paths.join(sizes.where(F.col("_n") < SUFFIX_SCOPE_LIMIT), "query_id", "left_semi")
-        .groupBy("query_id")
-        .agg(F.collect_list("_p").alias("_short"))  # fewer than 50 items
-    )
     src = F.coalesce(norm_path("source"), F.lit(""))
-    exact = paths.select("query_id", F.col("_p").alias("_src"), F.lit(True).alias("_eq"))
-    joined = (
-        df.withColumn("_src", src)
-        .join(broadcast_if_small(sizes), "query_id", "left")
-        .join(broadcast_if_small(few), "query_id", "left")
-        .join(broadcast_if_small(exact), ["query_id", "_src"], "left")
-    )
-    near = F.exists(
-        "_short", lambda p: F.endswith(F.col("_src"), p) | F.endswith(p, F.col("_src"))
+    paths = scopes.select("query_id", norm_path("path").alias("_p")).distinct()
+    rows = df.withColumn("_src", src)
+    asked = rows.select("query_id", "_src").distinct()
+
+    def suffixes_of(name: str) -> Column:
+        c = F.col(name)
+        if not suffixes:
+            return F.array(c)
+        return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(c, i, F.length(c)))
+
+    by_source = asked.select("query_id", "_src", F.explode(suffixes_of("_src")).alias("_p"))
+    by_path = paths.select("query_id", F.explode(suffixes_of("_p")).alias("_src"))
+    inside = by_source.join(paths, ["query_id", "_p"], "left_semi").select("query_id", "_src")
+    inside = inside.union(asked.join(by_path, ["query_id", "_src"], "left_semi")).distinct()
+    scoped = paths.select("query_id", F.lit(True).alias("_scoped")).distinct()
+    marked = rows.join(scoped, "query_id", "left").join(
+        inside.withColumn("_in", F.lit(True)), ["query_id", "_src"], "left"
     )
-    keep = F.col("_n").isNull() | F.coalesce("_eq", F.lit(False)) | F.coalesce(near, F.lit(False))
-    return joined.where(keep).select(*df.columns)
+    return marked.where(F.col("_scoped").isNull() | F.col("_in").isNotNull()).select(*df.columns)
 
 
 def word_set(text: Column) -> Column:
@@ -158,54 +159,55 @@ def mmr(
     Greedy: the best score first (the later row on a tie), then the largest
     lam*score - (1-lam)*(highest word overlap with a chosen row), earlier row on
     a tie. A query with no more rows than ``k`` (or than its ``min_rows``
-    column) keeps its order. Each pick is one window aggregate over the same
-    partitioning, so the whole chain costs one shuffle and no Python. Texts
-    become word sets first and are not carried along; a ``words`` column made by
-    ``word_set`` may be given instead.
+    column) keeps its order. One shuffle by query; each query's rows, which its
+    fetch depth bounds, are picked in one pass that keeps each row's highest
+    overlap so far. Texts become word sets first and are not carried along; a
+    ``words`` column made by ``word_set`` may be given instead.
     """
-    lam_c = F.col(lam) if isinstance(lam, str) else F.lit(lam)
     words = F.col("words") if "words" in df.columns else word_set(F.col("text"))
     df = df.withColumn("_words", words).drop("text", "words")
-    # little data, much work per row: keep one task per shuffle partition
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartition(parts, "query_id")
-    need = F.col(min_rows) if min_rows else F.lit(k)
-    df = (
-        df.withColumn("_n", F.count("*").over(per_query()))
-        .withColumn("_short", F.col("_n") <= need)
-        .withColumn("_in_order", F.row_number().over(per_query().orderBy(pos)))
-        .withColumn("_picked", F.lit(None).cast("int"))
-        .withColumn("_sim", F.lit(0.0))
-    )
-    seat = F.struct(F.col(pos).alias("p"), F.col("_words").alias("w"))
-    for turn in range(1, k + 1):
-        if turn == 1:
-            key = F.struct(F.round("score", 9).alias("s"), F.col(pos).alias("o"))
+    df = df.withColumn("_lam", F.col(lam) if isinstance(lam, str) else F.lit(lam))
+    df = df.withColumn("_need", F.col(min_rows) if min_rows else F.lit(k))
+    out = [c for c in df.columns if c not in ("_words", "_need") and (c != "_lam" or lam == "_lam")]
+
+    def pick(rows: pa.Table) -> pa.Table:
+        n, need = rows.num_rows, rows.column("_need")[0].as_py()
+        order = rows.column(pos).to_numpy(zero_copy_only=False)
+        if n <= need:
+            rank = np.argsort(np.argsort(order, kind="stable"), kind="stable") + 1
+            chosen = np.arange(n)
         else:
-            gain = lam_c * F.col("score") - (1 - lam_c) * F.col("_sim")
-            key = F.struct(F.round(gain, 9).alias("s"), (-F.col(pos)).alias("o"))
-        key = F.when(F.col("_picked").isNull(), key)
-        sizes = F.size("_words") + F.size("_best.w")
-        overlap = let(
-            F.size(F.array_intersect("_words", "_best.w")),
-            lambda both: F.when(sizes > both, both / (sizes - both)).otherwise(F.lit(0.0)),
-        )
-        df = (
-            df.withColumn("_best", F.max_by(seat, key).over(per_query()))
-            .withColumn(
-                "_picked",
-                F.when(F.col("_picked").isNull() & (F.col(pos) == F.col("_best.p")), turn).otherwise(
-                    F.col("_picked")
-                ),
-            )
-            .withColumn("_sim", F.greatest("_sim", overlap))
-        )
-    rank = F.when(F.col("_short"), F.col("_in_order")).otherwise(F.col("_picked"))
-    return (
-        df.withColumn("mmr_rank", rank)
-        .where(F.col("mmr_rank") <= F.greatest(F.lit(k), F.when(F.col("_short"), F.col("_n")).otherwise(0)))
-        .drop("_words", "_n", "_short", "_in_order", "_picked", "_sim", "_best")
-    )
+            chosen = np.array(_greedy(rows, order, k), dtype=np.int64)
+            rank = np.arange(1, len(chosen) + 1)
+        kept = rows.select(out).take(pa.array(chosen))
+        return kept.append_column("mmr_rank", pa.array(rank, pa.int32()))
+
+    schema = T.StructType([*(f for f in df.schema.fields if f.name in out), T.StructField("mmr_rank", T.IntegerType())])
+    return df.groupBy("query_id").applyInArrow(pick, schema)
+
+
+def _greedy(rows: pa.Table, order: np.ndarray, k: int) -> list[int]:
+    """Indices picked, in order."""
+    lists = rows.column("_words").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    size = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size)), size)
+    score = np.array([-np.inf if s is None else s for s in rows.column("score").to_pylist()])
+    lam = rows.column("_lam")[0].as_py()
+    overlap, open_ = np.zeros(len(size)), np.ones(len(size), bool)
+    picked: list[int] = []
+    while len(picked) < k and open_.any():
+        gain = score if not picked else lam * score - (1 - lam) * overlap
+        gain = np.where(open_, np.round(gain, 9), -np.inf)
+        best = np.flatnonzero(open_ & (gain == gain[open_].max()))
+        i = int(best[np.argmax(order[best])] if not picked else best[np.argmin(order[best])])
+        picked.append(i)
+        open_[i] = False
+        both = np.bincount(owner[np.isin(flat, flat[start[i] : start[i] + size[i]])], minlength=len(size))
+        union = size + size[i] - both
+        overlap = np.maximum(overlap, np.where(union > 0, both / np.maximum(union, 1), 0.0))
+    return picked
 
 
 def diversify(df: DataFrame, n: int | str, pos: str = "rank", out: str = "div_rank") -> DataFrame:
@@ -227,14 +229,15 @@ def hybrid(lists: DataFrame, docs: DataFrame, limit: int, rrf_k: int = fv.RRF_K,
 
     ``lists``: query_id, kind ('vector' | 'keyword'), variant, doc_id, rank.
     Keyword lists count only for variants whose vector list has rows. Rows of
-    one source that share their first 100 characters are one result. Returns
+    one source and text are one result. Returns
     the top 2*limit: (query_id, doc_id, score, rank, kinds).
     """
     has_vec = F.max(F.when(F.col("kind") == "vector", 1).otherwise(0)).over(
         Window.partitionBy("query_id", "variant")
     )
-    used = lists.withColumn("_v", has_vec).where("kind = 'vector' or _v = 1").drop("_v")
-    key = F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.substring("text", 1, 100))
+    # stored, as its size is measured and its rows are joined
+    used = materialise(lists.withColumn("_v", has_vec).where("kind = 'vector' or _v = 1").drop("_v"), "used")
+    key = F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.col("text"))
     keyed = docs.select("doc_id", "source", "text").join(broadcast_if_small(used), "doc_id").select(
         "query_id", "kind", "variant", "doc_id", "rank", F.md5(key).alias("_key")
     )
@@ -292,13 +295,17 @@ def intent_of(q: Column) -> Column:
 
 def query_plan(
     queries: DataFrame,
-    n_docs: Column,
+    n_docs: Column | None = None,
     k: int = fv.DEFAULT_K,
     is_global: Column | None = None,
     max_k: int = fv.MAX_K,
     depth: int = fv.DEFAULT_K,
 ) -> DataFrame:
-    """Add complexity, intent, adaptive k and fetch_k to each query."""
+    """Add complexity, intent, adaptive k and fetch_k to each query.
+
+    The depth is the same at every corpus size. With ``n_docs`` a small corpus
+    is searched less deeply (a tenth of it, within limits).
+    """
     is_global = F.lit(True) if is_global is None else is_global
     df = queries.withColumn("complexity", complexity_of(F.col("text"))).withColumn(
         "intent", intent_of(F.col("text"))
@@ -318,7 +325,9 @@ def query_plan(
     )
     wide = F.greatest(
         F.col("k") * fv.GLOBAL_FETCH_FACTOR,
-        F.least(
+        F.lit(fv.MAX_FETCH_K)
+        if n_docs is None
+        else F.least(
             F.lit(fv.MAX_FETCH_K),
             F.greatest(F.lit(fv.MIN_FETCH_K), F.floor(n_docs * fv.GLOBAL_FETCH_RATIO)),
         ),
@@ -337,8 +346,11 @@ def core_keywords(q: Column) -> Column:
     )
 
 
-def query_variants(queries: DataFrame, rules=None, suffixes=None) -> DataFrame:
-    """(query_id, ord, variant): keyword forms for Chinese queries, synonym swaps, short-query suffixes."""
+def query_variants(queries: DataFrame, rules=None, suffixes=None, max_keywords: int | None = None) -> DataFrame:
+    """(query_id, ord, variant): keyword forms for Chinese queries, synonym swaps, short-query suffixes.
+
+    All core keywords become variants, or the first ``max_keywords``.
+    """
     rules = fv.SYNONYM_RULES if rules is None else rules
     suffixes = fv.SHORT_QUERY_SUFFIXES if suffixes is None else suffixes
     df = queries.withColumn("_kw", core_keywords(F.col("text"))).withColumn("_zh", script_of("text") == "zh")
@@ -347,7 +359,7 @@ def query_variants(queries: DataFrame, rules=None, suffixes=None) -> DataFrame:
     zh = F.when(
         F.col("_zh") & (F.size("_kw") > 0),
         F.concat(
-            F.slice("_kw", 1, 3),
+            F.col("_kw") if max_keywords is None else F.slice("_kw", 1, max_keywords),
             F.when(F.size("_kw") >= 2, F.array(F.array_join(F.slice("_kw", 1, 2), " "))).otherwise(none),
             F.array(F.concat(F.lit("关于"), F.get("_kw", F.lit(0)))),
         ),

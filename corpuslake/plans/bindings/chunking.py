@@ -150,7 +150,7 @@ _ents = f"array_to_string(list_filter({_names}, lambda x, i: list_position({_nam
 
 def _map_sql(fn: str) -> str:
     return f"""with {CORPUS}, p as (select doc_id, i, substr(text, i * 4000 + 1, 4000) as p from (
-        select doc_id, text, unnest(range(least(10, cast(ceil(length(text) / 4000) as bigint)))) as i from corpus)),
+        select doc_id, text, unnest(range(cast(ceil(length(text) / 4000) as bigint))) as i from corpus)),
       r as (select doc_id, i, {fn} as r from p)
       select doc_id, cast(count(*) as integer) as n_pieces, md5(string_agg(r, {NL} || {NL} || '---' || {NL} || {NL} order by i)) as h from r group by 1"""
 

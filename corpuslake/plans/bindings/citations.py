@@ -220,13 +220,13 @@ ORACLES = {
     "x1_admit": f"""with {HIT_ROWS} select query_id, rank, round(case when max(case when rank = 1 then score end) over (partition by query_id) >= 0.25 then 0.25 else 0 end, 6) as threshold,
         score >= case when max(case when rank = 1 then score end) over (partition by query_id) >= 0.25 then 0.25 else 0 end as admitted from hit_rows""",
     "x2_assemble": f"""with {HIT_ROWS} select query_id, count(*) as retrieved, count(*) filter (score >= 0.25) as effective,
-        count(distinct source || ':' || page_number || ':' || substr(text, 1, 50)) filter (score >= 0.25) as unique_sources,
+        count(distinct source || ':' || page_number || ':' || md5(text)) filter (score >= 0.25) as unique_sources,
         round(max(score), 6) as top_score, 0.25::double as threshold,
         md5(string_agg(text, {NL} || {NL} order by score desc, rank) filter (score >= 0.25)) as context from hit_rows group by 1""",
     "x2_routing": """select conv_id, turn, role = 'user' and (regexp_matches(text, '[a-zA-Z0-9]') or contains(text, ' ') or length(text) >= 20) as hybrid from conversations""",
     "x3_to_citations": f"""with {HIT_ROWS} select query_id, pos, file_name, page_number, file_path, file_type, round(score, 6) as score, position,
         source_type, url, fetched_at, md5(content) as content from cits""",
-    "x4_dedupe": f"""with {HIT_ROWS}, {DOUBLED}, k as (select *, file_path || ':' || coalesce(page_number, 0) || ':' || substr(content, 1, 50) as k from doubled),
+    "x4_dedupe": f"""with {HIT_ROWS}, {DOUBLED}, k as (select *, file_path || ':' || coalesce(page_number, 0) || ':' || content as k from doubled),
       b as (select query_id, k, arg_max({{'f': file_path, 'p': page_number, 's': score}}, {{'s': score, 'o': -pos}}) as b, min(pos) as first from k group by 1, 2)
       select query_id, row_number() over (partition by query_id order by b.s desc, first) as pos, b.f as file_path, b.p as page_number, round(b.s, 6) as score from b""",
     "x5_merge_by_file": f"""with {HIT_ROWS}, d as (select query_id, pos, score, folder, file_name, file_type from cits union all
@@ -283,9 +283,9 @@ ORACLES = {
       asked as (select topic_id * 1000 + section_no as query_id, title as text from secs union all select -query_id - 1, text from queries),
       {bm25_sql('f', 'asked', 'query_id', 10)},
       fr as (select f.query_id, f.rank, c.text, c.doc_id || '.txt' as name from f join corpus c on c.doc_id = f.doc_id),
-      own as (select query_id, substr(string_agg(text, {NL} || {NL} order by rank), 1, 1500) as ctx, string_agg(name, '|' order by rank) filter (rank <= 2) as src
+      own as (select query_id, string_agg(text, {NL} || {NL} order by rank) as ctx, string_agg(name, '|' order by rank) as src
         from fr where query_id >= 0 and rank <= 5 group by 1),
-      top as (select -query_id - 1 as topic_id, substr(string_agg(text, {NL} || {NL} order by rank), 1, 3000) as ctx from fr where query_id < 0 group by 1)
+      top as (select -query_id - 1 as topic_id, string_agg(text, {NL} || {NL} order by rank) as ctx from fr where query_id < 0 group by 1)
       select s.topic_id, cast(s.section_no as integer) as section_no, md5(coalesce(o.ctx, t.ctx, '')) as context, coalesce(o.src, '') as sources from secs s
         left join own o on o.query_id = s.topic_id * 1000 + s.section_no left join top t on t.topic_id = s.topic_id""",
     "s9_export_markdown": f"""with {HIT_ROWS} select query_id, pos as ord, md5('### ' || pos || '. ' || file_name || {NL} || {NL} || '**来源类型**: ' || source_type || {NL} || {NL}

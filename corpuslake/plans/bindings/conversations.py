@@ -37,16 +37,18 @@ def listing(spark, sf):
 
 
 def batch(spark, sf):
-    """Assistant turns come back rewritten (twice), and every conversation gets one message in a new twin."""
+    """Assistant turns get two partial updates (a role, then a text); every other user turn is replaced by a row without role;
+    every conversation gets one message in a new twin."""
     t = turns(spark, sf)
     a = t.where("role = 'assistant'")
     ident = F.concat_ws(":", "conv_id", "turn").alias("id")
-    one = a.select(ident, "conv_id", "role", F.lit("draft").alias("text"), (F.col("turn") + 1000).alias("ts"))
-    two = a.select(ident, "conv_id", F.lit(None).cast("string").alias("role"), F.concat(F.lit("final "), F.length("text")).alias("text"), (F.col("turn") + 2000).alias("ts"))
+    one = a.select(ident, "conv_id", F.lit("helper").alias("role"), F.lit(None).cast("string").alias("text"), (F.col("turn") + 1000).alias("ts"), F.lit("update").alias("op"))
+    two = a.select(ident, "conv_id", F.lit(None).cast("string").alias("role"), F.concat(F.lit("final "), F.length("text")).alias("text"), (F.col("turn") + 2000).alias("ts"), F.lit("update").alias("op"))
+    swap = t.where("role = 'user' and turn % 4 = 2").select(ident, "conv_id", F.lit(None).cast("string").alias("role"), F.lit("gone").alias("text"), (F.col("turn") + 500).alias("ts"), F.lit("replace").alias("op"))
     new = t.where("turn = 0").select(
-        F.concat(F.lit("new:"), "conv_id").alias("id"), (-F.col("conv_id") - 1).alias("conv_id"), F.lit("user").alias("role"), F.lit("hi").alias("text"), F.lit(5).cast("long").alias("ts")
+        F.concat(F.lit("new:"), "conv_id").alias("id"), (-F.col("conv_id") - 1).alias("conv_id"), F.lit("user").alias("role"), F.lit("hi").alias("text"), F.lit(5).cast("long").alias("ts"), F.lit("replace").alias("op")
     )
-    return one.union(two).union(new)
+    return one.union(two).union(swap).union(new)
 
 
 def saved_messages(spark, sf):
@@ -130,10 +132,12 @@ ORACLES = {
     "m1_page": page_sql(3, 0),
     "m1_page_offset": page_sql(2, 1),
     "m2_list": """select conv_id, 'Chat ' || conv_id as label, count(*) as ts, bool_or(role = 'system') as starred from conversations group by conv_id""",
-    "m3_save_messages": """select conv_id || ':' || turn as id, conv_id, role, md5(case when role = 'assistant' then 'final ' || length(text) else text end) as text,
-        case when role = 'assistant' then turn + 2000 else turn end as ts from conversations
+    "m3_save_messages": """select conv_id || ':' || turn as id, conv_id,
+        case when role = 'assistant' then 'helper' when role = 'user' and turn % 4 = 2 then null else role end as role,
+        md5(case when role = 'assistant' then 'final ' || length(text) when role = 'user' and turn % 4 = 2 then 'gone' else text end) as text,
+        case when role = 'assistant' then turn + 2000 when role = 'user' and turn % 4 = 2 then turn + 500 else turn end as ts from conversations
       union all select 'new:' || conv_id, -conv_id - 1, 'user', md5('hi'), 5 from conversations where turn = 0""",
-    "m3_save_parents": """select conv_id, 'Chat ' || conv_id as label, coalesce(max(case when role = 'assistant' then turn + 2000 end), count(*)) as ts from conversations group by conv_id
+    "m3_save_parents": """select conv_id, 'Chat ' || conv_id as label, coalesce(max(case when role = 'assistant' then turn + 2000 when role = 'user' and turn % 4 = 2 then turn + 500 end), count(*)) as ts from conversations group by conv_id
       union all select -conv_id - 1, '', 5 from conversations where turn = 0""",
     "m4_delete": """with g as (select distinct conv_id from conversations where role = 'system')
       select distinct conv_id, 'conversation' as part, '' as id from conversations where conv_id not in (select conv_id from g)

@@ -224,7 +224,7 @@ ORACLES = {
       e as (select page_id, pos, list_reduce(list_concat([u], list_distinct(regexp_extract_all(u, '[^\x21-\x7E]|["<>`]'))),
           lambda a, ch: replace(a, ch, url_encode(ch))) as u from r),
       d as (select page_id, u, min(pos) as p from e where starts_with(u, 'http') group by 1, 2)
-      select page_id, cast(o - 1 as integer) as ord, u as url from (select *, row_number() over (partition by page_id order by p) as o from d) where o <= 100""",
+      select page_id, cast(o - 1 as integer) as ord, u as url from (select *, row_number() over (partition by page_id order by p) as o from d)""",
     "w6_extract_by_type": f"""with {content_ctes()}, {META},
       a as (select url, 'html' as kind, coalesce(title, '') as title, {html_text_sql('content')} as t from main join meta on meta.page_id = main.page_id
         union all select 'http://api.example.com/e/' || event_id, 'json', 'JSON: http://api.example.com/e/' || event_id,

@@ -143,12 +143,11 @@ def all_queries(spark, sf):
 
 
 def plan(spark, sf):
-    n = table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
-    out = rk.query_plan(all_queries(spark, sf), n)
+    out = rk.query_plan(all_queries(spark, sf))
     return out.select("query_id", "intent", "k", "fetch_k", F.round("complexity", 6).alias("complexity"))
 
 
-def plan_sql(source: str, n_docs: str, k: int = fv.DEFAULT_K) -> str:
+def plan_sql(source: str, k: int = fv.DEFAULT_K) -> str:
     """CTE ``plan`` over ``source`` (query_id, text)."""
     def any_of(words):
         return " or ".join(f"contains(lower(text), {sql_str(w)})" for w in words)
@@ -163,8 +162,7 @@ def plan_sql(source: str, n_docs: str, k: int = fv.DEFAULT_K) -> str:
     plan1 as (select *, case intent when 'definition' then greatest(3, floor({k} * 0.8 + 0.5))
       when 'summary' then floor({k} * 1.5 + 0.5) when 'comparison' then floor({k} * 1.6 + 0.5) else {k} end as base from plan0),
     plan2 as (select *, cast(least({fv.MAX_K}, greatest(base, floor(base + complexity * {fv.DEFAULT_K} + 0.5))) as bigint) as k from plan1),
-    plan as (select *, cast(floor(greatest(greatest(k * {fv.GLOBAL_FETCH_FACTOR}, least({fv.MAX_FETCH_K},
-      greatest({fv.MIN_FETCH_K}, floor({n_docs} * {fv.GLOBAL_FETCH_RATIO})))), k * 10) * (1 + complexity * 0.5) + 0.5) as bigint) as fetch_k
+    plan as (select *, cast(floor(greatest(greatest(k * {fv.GLOBAL_FETCH_FACTOR}, {fv.MAX_FETCH_K}), k * 10) * (1 + complexity * 0.5) + 0.5) as bigint) as fetch_k
       from plan2)"""
 
 
@@ -192,7 +190,7 @@ def search_sql(vector: bool, partial: bool) -> str:
     deep = "(select fetch_k from plan p where p.query_id = z.query_id)"
     vec_cte = f"{vector_list_sql('vl', deep)}," if vector else ""
     vec_list = "select query_id, 'vector' as list, 0 as prio, doc_id as key, rank, distance from vl union all" if vector else ""
-    return f"""with {INDEX}, {plan_sql('queries', '(select n from stats)')}, {VARIANTS_SQL}, {bm25_sql('h', 'variants', 'query_id, ord', deep, partial)},
+    return f"""with {INDEX}, {plan_sql('queries')}, {VARIANTS_SQL}, {bm25_sql('h', 'variants', 'query_id, ord', deep, partial)},
       best as (select query_id, md5(text) as tk, arg_max({{'d': h.doc_id, 's': score}}, (round(score, 9), -ord, -rank)) as b
         from h join corpus c on c.doc_id = h.doc_id group by 1, 2),
       bl as (select query_id, b.d as doc_id, b.s as score, rank from (select *, row_number() over
@@ -259,7 +257,7 @@ ORACLES = {
       n as (select query_id, count(*) as n from p group by 1)
       select query_id, doc_id, source from rel r where not exists (select 1 from n where n.query_id = r.query_id)
         or exists (select 1 from p join n on n.query_id = p.query_id where p.query_id = r.query_id
-          and (p.p = lower(source) or (n.n < 50 and (ends_with(p.p, lower(source)) or ends_with(lower(source), p.p)))))""",
+          and (ends_with(p.p, lower(source)) or ends_with(lower(source), p.p)))""",
     "r5_mmr": f"""with {HITS_SQL}, {mmr_sql('m', 'rel', 8, '0.7', '8')}
       select query_id, doc_id, cast(mmr_rank as bigint) as mmr_rank from m""",
     "r6_diversify": f"""with {HITS_SQL}, t as (select query_id, doc_id, folder as source,
@@ -270,7 +268,7 @@ ORACLES = {
     "r7_hybrid": f"""with {INDEX}, {bm25_sql('h', 'queries', 'query_id', 10)}, {vector_list_sql('vl', '10')},
       l as (select query_id, 'vector' as kind, 0 as p, doc_id, rank from vl
         union all select query_id, 'keyword', 1, doc_id, rank from h),
-      f as (select l.query_id, md5(source || ':' || substr(text, 1, 100)) as k, sum(1.0 / (50 + rank)) as score,
+      f as (select l.query_id, md5(source || ':' || text) as k, sum(1.0 / (50 + rank)) as score,
         string_agg(distinct kind, ',' order by kind desc) as kinds, min((p, rank, l.doc_id)) as seen
         from l join corpus c on c.doc_id = l.doc_id group by 1, 2)
       select query_id, seen[3] as doc_id, rank, kinds, round(score, 6) as score from (select *, row_number() over
@@ -281,7 +279,7 @@ ORACLES = {
         from rel r join kw_l k on k.query_id = r.query_id)
       select query_id, doc_id, new_rank, round(s, 6) as rerank_score from (select *, row_number() over
         (partition by query_id order by round(s, 9) desc, rank) as new_rank from s) where new_rank <= 6""",
-    "r9_query_plan": f"""with {USER_QUERIES_CTE}, {plan_sql('user_queries', '(select count(*) from documents)')}
+    "r9_query_plan": f"""with {USER_QUERIES_CTE}, {plan_sql('user_queries')}
       select query_id, intent, k, fetch_k, round(complexity, 6) as complexity from plan""",
     "r10_query_variants": f"""with {USER_QUERIES_CTE},
       v as (select query_id, list_concat([text], case when length(text) < 10 then

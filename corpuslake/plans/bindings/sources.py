@@ -122,11 +122,11 @@ def by_source(spark, sf):
 
 
 def upsert(spark, sf):
-    """Label rows update document rows: language kept, quality as the new size, two versions per key."""
+    """Label rows update document rows in two partial updates: a language, then a size and, for some, another language."""
     target = corpus(spark, sf).select("doc_id", "lang", "n_chars", "folder")
     lab = table(spark, sf, "labels")
-    one = lab.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(-1).cast("long").alias("n_chars"), F.lit(1).alias("version"))
-    two = lab.select("doc_id", F.when(F.col("toxic") == 1, "xx").alias("lang"), F.col("quality").cast("long").alias("n_chars"), F.lit(2).alias("version"))
+    one = lab.select("doc_id", F.lit("first").alias("lang"), F.when(F.col("quality") == 0, F.lit(-1)).cast("long").alias("n_chars"), F.lit(1).alias("version"))
+    two = lab.select("doc_id", F.when(F.col("toxic") == 1, "xx").alias("lang"), F.when(F.col("quality") == 1, F.lit(7)).cast("long").alias("n_chars"), F.lit(2).alias("version"))
     new = table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("version"))
     return st.upsert(target, one.union(two).union(new), ["doc_id"], "version")
 
@@ -190,7 +190,8 @@ ORACLES = {
     "s5_import_totals": f"with {IMPORT} select status, count(*) as n from p group by 1",
     "s6_delete_sources": f"with {CORPUS} select doc_id, source from corpus where doc_id not in (select doc_id from labels where toxic = 1)",
     "s7_by_source": f"with {CORPUS} select doc_id, source from corpus where doc_id in (select doc_id from labels where toxic = 1)",
-    "s8_upsert": f"""with {CORPUS} select c.doc_id, case when l.toxic = 1 then 'xx' else lang end as lang, coalesce(cast(l.quality as bigint), n_chars) as n_chars, folder
+    "s8_upsert": f"""with {CORPUS} select c.doc_id, case when l.toxic = 1 then 'xx' when l.toxic = 0 then 'first' else lang end as lang,
+          case l.quality when 1 then 7 when 0 then -1 else n_chars end as n_chars, folder
         from corpus c left join labels l on l.doc_id = c.doc_id
       union all select -item_id - 1, 'en', length(text), null from benchmark""",
     "s10_log_roundtrip": f"with {LOG} select * from log where level <> 'DEBUG'",

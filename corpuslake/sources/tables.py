@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import broadcast_if_small, spread
+from corpuslake.functions.scale import broadcast_if_small
 from corpuslake.functions.text import blank_to_null, extension, norm_path, path_tail, trim_ws
 
 
 def scan(spark: SparkSession, path: str, cols: list[str] | None = None, limit: int | None = None, key: str | None = None) -> DataFrame:
     """Projected corpus scan; a row cap needs an order key, so it is repeatable."""
-    df = spread(spark.read.parquet(path))
+    df = spark.read.parquet(path)
     df = df.select(*cols) if cols else df
     if limit is None:
         return df
@@ -252,15 +252,15 @@ def by_source(chunks: DataFrame, sources: DataFrame, col: str = "source") -> Dat
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Merge field by field: a new non-null value wins, unknown keys are added.
 
-    With ``order`` the latest update of a key counts; partial aggregation makes
-    hot keys cheap.
+    With ``order`` all updates of a key are applied in turn: for each field the
+    latest non-null value counts. Partial aggregation makes hot keys cheap.
     """
     fields = [c for c in target.columns if c not in keys]
     if order:
-        latest = updates.groupBy(*keys).agg(
-            F.max_by(F.struct(*[c for c in updates.columns if c not in keys]), order).alias("_u")
+        set_here = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+        updates = updates.groupBy(*keys).agg(
+            *[F.max_by(c, set_here(c)).alias(c) for c in fields if c in updates.columns]
         )
-        updates = latest.select(*keys, *[F.col(f"_u.{c}").alias(c) for c in fields if c in updates.columns])
     new = updates.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fields if c in updates.columns])
     joined = target.join(new, keys, "full_outer")
     return joined.select(
