@@ -212,10 +212,10 @@ def bm25(
         .agg(F.sum("_s").alias("score"))
         .where(F.col("score") > 0)
     )
-    return _cut(scored, id_cols, k, [F.round("score", 9).desc(), F.col("doc_id")])
+    return cut(scored, id_cols, k, [F.round("score", 9).desc(), F.col("doc_id")])
 
 
-def _cut(scored: DataFrame, id_cols: list[str], k: int | DataFrame, order: list[Column]) -> DataFrame:
+def cut(scored: DataFrame, id_cols: list[str], k: int | DataFrame, order: list[Column]) -> DataFrame:
     """Top ``k`` rows; ``k`` may be a table (query_id, fetch_k)."""
     if isinstance(k, int):
         return top_k(scored, id_cols, k, order)
@@ -274,7 +274,7 @@ def bm25_multi(
         ).alias("b")
     )
     flat = best.select("query_id", "b.doc_id", "b.score")
-    return _cut(flat, ["query_id"], k, [F.round("score", 9).desc(), F.col("doc_id")])
+    return cut(flat, ["query_id"], k, [F.round("score", 9).desc(), F.col("doc_id")])
 
 
 # ---------------------------------------------------------------- keywords
@@ -374,7 +374,7 @@ def filename_search(docs: DataFrame, keywords: DataFrame, limit) -> DataFrame:
     )
     ranked = counted.withColumn("tier", tier).where("tier is not null")
     order = [F.col("tier"), F.col("doc_id")]
-    return _cut(ranked, ["query_id"], limit, order).select("query_id", "doc_id", "tier", "rank")
+    return cut(ranked, ["query_id"], limit, order).select("query_id", "doc_id", "tier", "rank")
 
 
 #: Bytes of keywords that are searched for in one pass.

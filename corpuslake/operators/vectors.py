@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.functions.scale import broadcast_if_small, hint_small, is_small
+from corpuslake.functions.scale import broadcast_if_small, is_small, materialise, shared_dir
 from corpuslake.functions.text import norm_path
 from corpuslake.functions.vectors import hashed_bag_encoder
 from corpuslake.operators.ranking import rrf
@@ -100,7 +100,10 @@ def _map_side(vectors, queries, k, query_id, schema) -> DataFrame:
     small = queries.select(query_id, "embedding", "_cells").toArrow()  # bound checked by the caller
     qids = small.column(0).combine_chunks()
     qmat = unit_rows(list_matrix(small.column(1)))
-    probes = [np.asarray(c) for c in small.column(2).to_pylist()]
+    asking: dict[int, list[int]] = {}  # cell -> queries
+    for i, cells in enumerate(small.column(2).to_pylist()):
+        for cell in cells:
+            asking.setdefault(cell, []).append(i)
 
     def run(batches):
         best = None
@@ -111,7 +114,7 @@ def _map_side(vectors, queries, k, query_id, schema) -> DataFrame:
             parts = [] if best is None else [best]
             for cell in np.unique(cells):
                 rows = np.nonzero(cells == cell)[0]
-                asked = np.array([i for i, p in enumerate(probes) if cell in p], dtype=np.int64)
+                asked = np.array(asking.get(int(cell), []), dtype=np.int64)
                 if len(asked):
                     q, i, d = nearest_rows(qmat[asked], ids[rows], mat[rows], k)
                     parts.append(_frame(asked[q], i, d))
@@ -210,30 +213,65 @@ def knn(
 
 @dataclass(frozen=True)
 class CellModel:
-    """Coarse cells of a vector table: centroids and the assigned vectors."""
+    """Coarse cells of a vector table: centroids, and the folder that holds the vectors by cell."""
 
-    centroids: np.ndarray | None
-    vectors: DataFrame
+    centroids: np.ndarray
+    path: str
 
 
-MIN_ANN_ROWS = 500
+#: Rows that the cells are fitted on at most; every row is indexed.
+ANN_FIT_ROWS = 200_000
 
 
 def ann_cells(n_rows: int) -> int:
-    return min(128, -(-n_rows // 100))
+    """The square root of the table's rows, so cells grow in number as they do in size."""
+    return max(1, round(n_rows**0.5))
 
 
-def ann_fit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> CellModel:
-    """K-means cells for tables of 500 rows or more; smaller tables stay one cell."""
+def ann_fit(
+    vectors: DataFrame,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    seed: int = 7,
+    path: str | None = None,
+    fit_rows: int = ANN_FIT_ROWS,
+) -> CellModel:
+    """K-means cells, fitted on at most ``fit_rows`` rows, and the whole table written by cell (a folder each)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    path = path or f"{shared_dir(vectors.sparkSession)}/cells"
     n = vectors.count()
-    if n < MIN_ANN_ROWS:
-        return CellModel(None, vectors.withColumn("_cell", F.lit(0)))
-    feats = vectors.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
-    model = KMeans(k=ann_cells(n), seed=seed, maxIter=10, predictionCol="_cell").fit(feats)
-    return CellModel(np.array(model.clusterCenters()), model.transform(feats).drop("features"))
+    sample = vectors.select(id_col, vec_col)
+    if n > fit_rows:
+        sample = sample.orderBy(F.xxhash64(id_col)).limit(fit_rows)
+    feats = materialise(sample.select(F.col(vec_col).cast("array<double>").alias("v")), "sample")
+    feats = feats.select(array_to_vector("v").alias("features")).persist()
+    cells = min(ann_cells(n), max(1, feats.count()))
+    if n:
+        model = KMeans(k=cells, seed=seed, maxIter=10).fit(feats)
+        centroids = np.array(model.clusterCenters())
+    else:
+        centroids = np.ones((1, 1))
+    feats.unpersist()
+    placed = vectors.withColumn("_cell", _nearest(centroids, 1)(F.col(vec_col))[0])
+    placed.repartition("_cell", F.pmod(F.xxhash64(id_col), F.lit(16))).write.mode("overwrite").partitionBy("_cell").parquet(path)
+    return CellModel(centroids, path)
+
+
+def _nearest(centroids: np.ndarray, n: int):
+    """Column function: vector -> its ``n`` nearest cells."""
+    cents = unit_rows(centroids)
+
+    @F.pandas_udf("array<int>")
+    def nearest_cells(vecs: pd.Series) -> pd.Series:
+        if not len(vecs):
+            return pd.Series([], dtype=object)
+        mat = unit_rows(np.stack(vecs.to_numpy()).astype(np.float64))
+        order = np.argsort(-(mat @ cents.T), axis=1, kind="stable")[:, :n]
+        return pd.Series(list(order.astype(np.int32)))
+
+    return nearest_cells
 
 
 def ann(
@@ -245,21 +283,16 @@ def ann(
     vec_col: str = "embedding",
     query_id: str = "query_id",
 ) -> DataFrame:
-    """Approximate k-NN: search the ``nprobe`` nearest cells, distances are exact."""
-    if model.centroids is None:
-        probes = F.array(F.lit(0))
-    else:
-        cents = unit_rows(model.centroids)
+    """Approximate k-NN: only the folders of probed cells are read; distances are exact.
 
-        @F.pandas_udf("array<int>")
-        def nearest_cells(vecs: pd.Series) -> pd.Series:
-            mat = unit_rows(np.stack(vecs.to_numpy()).astype(np.float64))
-            order = np.argsort(-(mat @ cents.T), axis=1, kind="stable")[:, :nprobe]
-            return pd.Series(list(order.astype(np.int32)))
-
-        probes = nearest_cells("embedding")
-    q = queries.select(query_id, "embedding").withColumn("_cells", probes)
-    return _final_rank(_candidates(model.vectors, q, k, id_col, vec_col, query_id), k, id_col, query_id)
+    With ``nprobe`` of at least the number of cells the result is exact.
+    """
+    probes = _nearest(model.centroids, nprobe)(F.col("embedding"))
+    q = materialise(queries.select(query_id, "embedding").withColumn("_cells", probes), "probes")
+    # one number per cell at most, as many as the model holds on the driver
+    wanted = [r["c"] for r in q.select(F.explode("_cells").alias("c")).distinct().collect()]
+    vectors = queries.sparkSession.read.parquet(model.path).where(F.col("_cell").isin(wanted))
+    return _final_rank(_candidates(vectors, q, k, id_col, vec_col, query_id), k, id_col, query_id)
 
 
 def recall(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -103,13 +103,13 @@ def filename_sql(name: str, limit: str, kw: str = "kw") -> str:
 
 VARIANTS_SQL = f"""{keywords_cte('queries')},
 variants as (select query_id, 0 as ord, text from queries
-  union all select query_id, ord + 1, keyword from kw where ord < 3)"""
+  union all select query_id, ord + 1, keyword from kw)"""
 
 
 def variants(spark, sf):
-    """The query itself and its first three keywords."""
+    """The query itself and each of its keywords."""
     q = queries(spark, sf)
-    kw = lx.expand_keywords(q).where("ord < 3").select("query_id", (F.col("ord") + 1).alias("ord"), F.col("keyword").alias("text"))
+    kw = lx.expand_keywords(q).select("query_id", (F.col("ord") + 1).alias("ord"), F.col("keyword").alias("text"))
     return q.select("query_id", F.lit(0).alias("ord"), "text").union(kw)
 
 

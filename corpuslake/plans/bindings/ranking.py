@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import materialise
+from corpuslake.functions.scale import materialise, shared_dir
 from corpuslake.operators import lexical as lx
 from corpuslake.operators import ranking as rk
 from corpuslake.plans.bindings.inputs import (
@@ -15,6 +15,7 @@ from corpuslake.plans.bindings.lexical import (
     INDEX, VARIANTS_SQL, bm25_sql, filename_sql, hits, keywords_cte,
 )
 from corpuslake.plans.bindings.vectors import vector_list, vector_list_sql
+from corpuslake.plans.ingest import ingest
 from corpuslake.plans.search import SearchConfig, search
 
 N = 20
@@ -186,18 +187,59 @@ def search_scoped(spark, sf):
     return search(corpus(spark, sf), queries(spark, sf), cfg, s).withColumn("score", F.round("score", 6))
 
 
-def search_sql(vector: bool, partial: bool) -> str:
+def search_stored(spark, sf):
+    """Ingest (gate, chunks, vectors) and index are stored; the search reads them and keeps one tag."""
+    docs = corpus(spark, sf)
+    chunks = ingest(docs.select("doc_id", "text", "source"), "fixed", gate=False)
+    tags = docs.select("source", F.array("lang").alias("tags"))
+    number = F.regexp_extract("source", r"/([0-9]+)\.txt$", 1).cast("long") * 1_000_000 + F.col("chunk_index")
+    rows = chunks.join(tags, "source").select(number.alias("doc_id"), "text", "source", "embedding", "tags")
+    rows = materialise(rows, "chunks")
+    index = lx.build_index(rows).save(f"{shared_dir(spark)}/index")
+    cfg = SearchConfig(partial=False, tags=("fr", "de"))
+    return search(rows, queries(spark, sf), cfg, index=index).withColumn("score", F.round("score", 6))
+
+
+CHUNK_CORPUS = """corpus as (
+  select doc_id * 1000000 + i as doc_id, substr(text, i * 2000 + 1, 2000) as text, source || '/' || doc_id || '.txt' as source, lang, source as folder, n_chars
+  from (select *, unnest(range(cast(ceil(length(text) / 2000) as bigint))) as i from documents where lang in ('fr', 'de')))"""
+
+
+def search_sql(vector: bool, partial: bool, scoped: bool = False) -> str:
+    """The search in SQL; with ``scoped`` a query that has paths is compared with the vectors inside them only."""
     deep = "(select fetch_k from plan p where p.query_id = z.query_id)"
-    vec_cte = f"{vector_list_sql('vl', deep)}," if vector else ""
+    wide = "(select * from queries where query_id not in (select query_id from scoped))" if scoped else "queries"
+    vec_cte = f"{vector_list_sql('vl0', deep)}, vl as (select * from vl0)," if vector else ""
+    plan_ctes, scope_ctes = plan_sql("queries"), ""
+    if scoped:
+        scope_ctes = f"""{SCOPES_SQL}, scoped as (select distinct query_id from scopes),
+          wide as {wide},"""
+        vec_cte = f"""{vector_list_sql('vl0', deep)},
+          inside as (select distinct s.query_id, c.doc_id from (select distinct query_id, lower(replace(trim(path), '\\', '/')) as p from scopes) s
+            join corpus c on lower(c.source) = replace(s.p, 'c:/docs/', '')),
+          in_d as (select i.query_id, i.doc_id, round(1 - coalesce(dot, 0), 9) as distance from inside i left join
+            (select q.query_id, d.doc_id, sum(q.v * d.v) as dot from vl0_q q join vl0_d d on d.cell = q.cell group by 1, 2) x
+            on x.query_id = i.query_id and x.doc_id = i.doc_id),
+          vl as (select query_id, doc_id, distance, rank from vl0 where query_id not in (select query_id from scoped)
+            union all select query_id, doc_id, distance, rank from (select *, row_number() over (partition by query_id order by distance, doc_id) as rank
+              from in_d) z where rank <= {deep}),"""
+        plan_ctes = plan_ctes.replace("plan as (select *,", "plan_all as (select *,") + f""",
+          plan as (select * exclude (fetch_k), case when query_id in (select query_id from scoped)
+            then cast(floor(greatest(greatest(k * {fv.SCOPED_FETCH_FACTOR}, {fv.MIN_FETCH_K}), k * 10) * (1 + complexity * 0.5) + 0.5) as bigint)
+            else fetch_k end as fetch_k from plan_all)"""
+    asked = "wide" if scoped else "queries"
+    variants_sql = VARIANTS_SQL.replace("from queries", f"from {asked}")
     vec_list = "select query_id, 'vector' as list, 0 as prio, doc_id as key, rank, distance from vl union all" if vector else ""
-    return f"""with {INDEX}, {plan_sql('queries')}, {VARIANTS_SQL}, {bm25_sql('h', 'variants', 'query_id, ord', deep, partial)},
+    return f"""with {INDEX}, {scope_ctes} {plan_ctes}, {variants_sql}, {bm25_sql('h', 'variants', 'query_id, ord', deep, partial)},
       best as (select query_id, md5(text) as tk, arg_max({{'d': h.doc_id, 's': score}}, (round(score, 9), -ord, -rank)) as b
         from h join corpus c on c.doc_id = h.doc_id group by 1, 2),
       bl as (select query_id, b.d as doc_id, b.s as score, rank from (select *, row_number() over
         (partition by query_id order by round(b.s, 9) desc, b.d) as rank from best) z where rank <= {deep}),
       {filename_sql('fn', deep)}, {vec_cte}
-      lists as ({vec_list} select query_id, 'bm25' as list, 1 as prio, doc_id as key, rank, 1 / (score + 1) as distance from bl
+      lists0 as ({vec_list} select query_id, 'bm25' as list, 1 as prio, doc_id as key, rank, 1 / (score + 1) as distance from bl
         union all select query_id, 'filename', 2, doc_id, rank, 0.0 from fn),
+      lists as (select l.query_id, list, prio, rank, distance, min(key) over (partition by l.query_id, md5(source || '::' || text)) as key
+        from lists0 l join corpus c on c.doc_id = l.key),
       f as (select query_id, key, sum((case list when 'filename' then 2.0 else 1.0 end) / (50 + rank)) as s,
         min(prio * 1000000 + rank) as seen, min(distance) as own from lists group by 1, 2),
       g as (select query_id, sum(distinct case list when 'filename' then 20 when 'bm25' then 1 else 1.5 end) as kinds from lists group by 1),
@@ -213,7 +255,7 @@ def search_sql(vector: bool, partial: bool) -> str:
       th as (select query_id, key as doc_id, score, rank, adaptive_k, lam, text from th0 join corpus on corpus.doc_id = key
         where case when hi3 >= 3 then score >= 0.25 when lo3 >= 2 then score >= 0.05 else r3 <= greatest(5, ceil(n3 * 0.3)) end),
       {mmr_sql('mm', 'th', fv.DEFAULT_K, 'lam', 'adaptive_k')}
-      select query_id, doc_id, round(score, 6) as score, cast(mmr_rank as bigint) as rank from mm where mmr_rank <= {fv.DEFAULT_K}"""
+      select query_id, doc_id, round(score, 6) as score, cast(mmr_rank as bigint) as rank from mm where mmr_rank <= least({fv.DEFAULT_K}, adaptive_k)"""
 
 
 QUERIES = {
@@ -230,6 +272,7 @@ QUERIES = {
     "r11_search_lexical": search_lexical,
     "r11_search": search_full,
     "r11_search_scoped": search_scoped,
+    "r11_search_stored": search_stored,
 }
 
 ORACLES = {
@@ -287,4 +330,6 @@ ORACLES = {
       select query_id, cast(generate_subscripts(vs, 1) - 1 as integer) as ord, unnest(vs) as variant from v""",
     "r11_search_lexical": search_sql(vector=False, partial=False),
     "r11_search": search_sql(vector=True, partial=True),
+    "r11_search_scoped": search_sql(vector=True, partial=False, scoped=True),
+    "r11_search_stored": search_sql(vector=True, partial=False).replace(CORPUS, CHUNK_CORPUS),
 }

@@ -25,36 +25,48 @@ class SearchConfig:
     min_relevance: float = fv.RELEVANCE_THRESHOLD
     mmr_lambda: float = fv.MMR_LAMBDA
     rrf_k: int = fv.RRF_K
+    max_keywords: int | None = None  # how many keywords become BM25 variants of their own; None: all
+    tags: tuple[str, ...] = ()  # only documents with one of these (column ``tags``)
 
 
 def search(
-    docs: DataFrame, queries: DataFrame, cfg: SearchConfig = SearchConfig(), scopes: DataFrame | None = None
+    docs: DataFrame,
+    queries: DataFrame,
+    cfg: SearchConfig = SearchConfig(),
+    scopes: DataFrame | None = None,
+    index: lx.KeywordIndex | None = None,
 ) -> DataFrame:
-    """(query_id, doc_id, score, rank) for a table of queries.
+    """(query_id, doc_id, score, rank) for a table of queries, min(k, adaptive k) rows each at most.
 
-    ``docs``: doc_id, text, source[, embedding]. ``scopes``: query_id, path; a
+    ``docs``: doc_id, text, source[, embedding][, tags]; stored vectors are in
+    ``embedding``. ``index``: a stored keyword index over these documents; else one is
+    made for this call. ``scopes``: query_id, path; a
     query with a scope searches vectors inside it only, any other runs keyword,
     file-name and vector search over everything. Empty lists drop out of the
-    fusion. Each list is cut to the query's own fetch depth before it is shuffled.
+    fusion. Each list is cut to the query's own fetch depth before it is shuffled; up to the
+    last step only ids and scores are carried, then the kept hits' word sets are joined.
     """
-    plan = _plan(docs, queries, cfg, scopes)
+    if cfg.tags:
+        docs = docs.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in cfg.tags])))
+        if index is not None:
+            index = lx.KeywordIndex(index.postings.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    plan = _plan(queries, cfg, scopes)
     wide = plan.where("is_global").select("query_id", "text", "fetch_k")
     kw = materialise(lx.expand_keywords(wide), "keywords")
-    lists = _bm25_list(docs, wide, kw, cfg).unionByName(_name_list(docs, wide, kw))
+    lists = _bm25_list(docs, wide, kw, cfg, index).unionByName(_name_list(docs, wide, kw))
     if cfg.vector:
         lists = lists.unionByName(_vector_list(docs, plan, cfg, scopes))
     lists = materialise(lists, "lists")
     found = materialise(_hit_docs(docs, lists), "found")
     fused = rk.fuse_scores(_by_content(found, lists), rrf_k=cfg.rrf_k, limit=plan)
-    hits = fused.withColumnRenamed("key", "doc_id").join(found.select("doc_id", "source", "words"), "doc_id")
+    hits = fused.withColumnRenamed("key", "doc_id").join(found.select("doc_id", "source"), "doc_id")
     if scopes is not None:
         hits = rk.scope_filter(hits, scopes)
-    kept = rk.threshold(hits, cfg.min_relevance)
-    return _select(kept, plan, cfg)
+    kept = materialise(rk.threshold(hits, cfg.min_relevance), "kept")
+    return _select(docs, kept, plan, cfg)
 
 
-def _plan(docs, queries, cfg, scopes) -> DataFrame:
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
+def _plan(queries, cfg, scopes) -> DataFrame:
     if scopes is None:
         q = queries.withColumn("is_global", F.lit(True))
     else:
@@ -62,12 +74,13 @@ def _plan(docs, queries, cfg, scopes) -> DataFrame:
         q = queries.join(broadcast_if_small(s), "query_id", "left").withColumn(
             "is_global", F.coalesce("_s", F.lit(True))
         ).drop("_s")
-    plan = rk.query_plan(q, n_docs, cfg.k, F.col("is_global")).withColumnRenamed("k", "adaptive_k")
+    plan = rk.query_plan(q, None, cfg.k, F.col("is_global")).withColumnRenamed("k", "adaptive_k")
     return materialise(plan, "plan")
 
 
-def _bm25_list(docs, queries, kw, cfg) -> DataFrame:
-    kw = kw.where("ord < 3")
+def _bm25_list(docs, queries, kw, cfg, index) -> DataFrame:
+    if cfg.max_keywords is not None:
+        kw = kw.where(F.col("ord") < cfg.max_keywords)
     variants = materialise(
         queries.select("query_id", F.lit(0).alias("ord"), "text", "fetch_k").unionByName(
             kw.join(queries.select("query_id", "fetch_k"), "query_id").select(
@@ -76,8 +89,9 @@ def _bm25_list(docs, queries, kw, cfg) -> DataFrame:
         ),
         "variants",
     )
-    vocab = None if cfg.partial else lx.query_terms(variants, ["query_id", "ord"]).select("term").distinct()
-    index = lx.build_index(docs, vocabulary=vocab).materialised()
+    if index is None:
+        vocab = None if cfg.partial else lx.query_terms(variants, ["query_id", "ord"]).select("term").distinct()
+        index = lx.build_index(docs, vocabulary=vocab).materialised()
     depth = queries.select("query_id", "fetch_k")
     hits = lx.bm25_multi(index, variants, docs, depth, cfg.partial)
     return hits.select(
@@ -137,15 +151,16 @@ def _scoped_list(vectors, plan, cfg, scopes) -> DataFrame:
         .join(broadcast_if_small(asked), "query_id")
         .withColumn("distance", F.round(1 - cosine("embedding", "_q"), 9))
     )
-    ranked = lx.top_k(pairs, ["query_id"], F.col("fetch_k"), [F.col("distance"), F.col("doc_id")])
+    depth = plan.where("not is_global").select("query_id", "fetch_k")
+    ranked = lx.cut(pairs.drop("fetch_k"), ["query_id"], depth, [F.col("distance"), F.col("doc_id")])
     return ranked.select("query_id", F.lit("vector").alias("list"), "doc_id", "rank", "distance")
 
 
 def _hit_docs(docs, lists) -> DataFrame:
-    """Documents found at least once: source, content key and word set, made once per document."""
+    """Documents found at least once: source and content key."""
     ids = broadcast_if_small(lists.select("doc_id").distinct())
     return docs.join(ids, "doc_id", "left_semi").select(
-        "doc_id", "source", F.md5(F.concat_ws("::", "source", "text")).alias("content"), rk.word_set(F.col("text")).alias("words")
+        "doc_id", "source", F.md5(F.concat_ws("::", "source", "text")).alias("content")
     )
 
 
@@ -156,20 +171,23 @@ def _by_content(found, lists) -> DataFrame:
     return rows.select("query_id", "list", F.min("doc_id").over(same).alias("key"), "rank", "distance")
 
 
-def _select(kept, plan, cfg) -> DataFrame:
-    """MMR where candidates exceed the adaptive depth, round-robin for broad intents, then the first k."""
+def _select(docs, kept, plan, cfg) -> DataFrame:
+    """MMR where candidates exceed the adaptive depth, round-robin for broad intents, then the first min(k, adaptive k)."""
     wide = F.col("intent").isin("summary", "comparison")
     info = plan.select(
         "query_id", "adaptive_k", "intent",
         F.when(wide, cfg.mmr_lambda - 0.1).otherwise(cfg.mmr_lambda).alias("_lam"),
     )
-    df = kept.join(broadcast_if_small(info), "query_id")
     n = F.count("*").over(Window.partitionBy("query_id"))
-    picked = rk.mmr(df.withColumn("_all", n), cfg.k, "_lam", min_rows="adaptive_k")
+    df = kept.join(broadcast_if_small(info), "query_id").withColumn("_all", n)
+    # word sets once per document that is compared with others, joined by id
+    compared = broadcast_if_small(materialise(df.where("_all > adaptive_k").select("doc_id").distinct(), "compared"))
+    words = docs.join(compared, "doc_id", "left_semi").select("doc_id", rk.word_set(F.col("text")).alias("words"))
+    picked = rk.mmr(df.join(words, "doc_id", "left"), cfg.k, "_lam", min_rows="adaptive_k")
     turned = rk.diversify(picked, "_all", out="_turn_rank")
     place = F.when((F.col("_all") <= F.col("adaptive_k")) & wide, F.col("_turn_rank")).otherwise(F.col("mmr_rank"))
     return (
         turned.withColumn("final", place)
-        .where(F.col("final") <= cfg.k)
+        .where(F.col("final") <= F.least(F.lit(cfg.k), F.col("adaptive_k")))
         .select("query_id", "doc_id", "score", F.col("final").cast("long").alias("rank"))
     )
