@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,25 +120,34 @@ def blocks(docs: DataFrame) -> DataFrame:
 DEFAULTS = {"min_chars": 100, "max_chars": 2000, "overlap": 100}
 
 # Sentence, clause and word borders tried in order.
-BORDERS_ZH = [r"[。！？]\s*", r"[；;]\s*", r"[，,]\s*", r"[、]\s*", r"\s+"]
-BORDERS_EN = [r"[.!?]\s+", r"[;]\s*", r"[,]\s+", r"\s+"]
+BORDERS_ZH = [re.compile(p) for p in (r"[。！？]\s*", r"[；;]\s*", r"[，,]\s*", r"[、]\s*", r"\s+")]
+BORDERS_EN = [re.compile(p) for p in (r"[.!?]\s+", r"[;]\s*", r"[,]\s+", r"\s+")]
+ZH, EN = re.compile("[一-龥]"), re.compile("[a-zA-Z]")
 
 
 def cut_text(text: str, size: int, least: int) -> list[str]:
-    """Cut one text at the last border of the best kind that fits ``size``."""
-    out = []
-    while len(text) > size:
-        zh = len(re.findall("[一-龥]", text)) > len(re.findall("[a-zA-Z]", text))
-        at = 0
-        for border in BORDERS_ZH if zh else BORDERS_EN:
-            at = max((m.end() for m in re.finditer(border, text) if m.end() <= size), default=0)
-            if at > least:
+    """Cut one text at the last border of the best kind that fits ``size``; only the next ``size`` characters are looked at."""
+    if len(text) <= size:
+        return [text]
+    zh_left, en_left = len(ZH.findall(text)), len(EN.findall(text))
+    out, at, end = [], 0, len(text)
+    while end - at > size:
+        stop = at
+        for border in BORDERS_ZH if zh_left > en_left else BORDERS_EN:
+            # a match that reaches beyond the piece is cut off by the end given here, and so does not fit
+            ends = (m.end() for m in border.finditer(text, at, at + size + 1) if m.end() <= at + size)
+            stop = max(ends, default=at)
+            if stop - at > least:
                 break
         else:
-            at = size
-        out.append(text[:at].strip())
-        text = text[at:].strip()
-    return out + [text] if text or not out else out
+            stop = at + size
+        piece = text[at:stop]
+        zh_left, en_left = zh_left - len(ZH.findall(piece)), en_left - len(EN.findall(piece))
+        out.append(piece.strip())
+        at, end = stop, len(text.rstrip())
+        while at < end and text[at].isspace():
+            at += 1
+    return out + [text[at:end]] if at < end else out
 
 
 def split_oversize(block_table: DataFrame, max_chars: int = 2000, min_chars: int = 100) -> DataFrame:
@@ -165,91 +175,122 @@ def pack_blocks(
     keep_lists: bool = True,
     keep_code: bool = True,
     keep_tables: bool = True,
+    drop_short: bool = False,
 ) -> DataFrame:
     """Greedy packing of a document's blocks into chunks.
 
-    Input: the output of ``split_oversize``. Two folds per document: adjacent
-    prose is merged up to ``max_chars`` (headings, code, tables, lists stay
-    whole, rules drop out), then blocks are packed, starting anew at a heading,
-    at overflow and before code or tables. Chunks below ``min_chars`` without a
-    heading are dropped. Output: doc_id, chunk_no, content, block_types,
+    Input: the output of ``split_oversize``. Two passes over a document's
+    blocks: adjacent prose is merged up to ``max_chars`` (headings, code, tables,
+    lists stay whole, rules drop out), then blocks are packed, starting anew at a
+    heading, at overflow and before code or tables. A chunk below ``min_chars``
+    without a heading joins its neighbour, so no text is lost; ``drop_short``
+    drops it instead. Output: doc_id, chunk_no, content, block_types,
     has_heading, heading_text, start, end.
     """
-    whole = ["'heading'"] + [
-        f"'{t}'" for t, on in (("code", keep_code), ("table", keep_tables), ("list", keep_lists)) if on
-    ]
-    item = "struct<type:string,content:string,start:bigint,end:bigint,oversize:boolean>"
-    chunk = (
-        "struct<content:string,types:array<string>,heading:string,start:bigint,end:bigint>"
-    )
-    per_doc = pieces.groupBy("doc_id").agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(F.struct("block_no", "piece_no", "type", "content", "start", "end", "oversize"))
-            ),
-            lambda b: F.struct(b["type"], b["content"], b["start"], b["end"], b["oversize"]),
-        ).cast(f"array<{item}>").alias("_b")
-    )
-    ws = WS.replace("\\", "\\\\")
-    trim = lambda e: f"regexp_replace({e}, '^[{ws}]+|[{ws}]+\\\\z', '')"
-    merged = f"""
-      aggregate(_b,
-        named_struct('done', cast(array() as array<{item}>), 'cur', cast(null as {item})),
-        (acc, b) -> case
-          when b.type = 'separator' or b.type in ({', '.join(whole)}) or b.oversize then named_struct(
-            'done', concat(acc.done, if(acc.cur is null, cast(array() as array<{item}>), array(acc.cur)),
-                           if(b.type = 'separator', cast(array() as array<{item}>), array(b))),
-            'cur', cast(null as {item}))
-          when acc.cur is null then named_struct('done', acc.done, 'cur', b)
-          when length(acc.cur.content) + length(b.content) + 2 <= {max_chars} then named_struct('done', acc.done, 'cur',
-            cast(named_struct('type', acc.cur.type, 'content', concat(acc.cur.content, '\\n\\n', b.content),
-              'start', acc.cur.start, 'end', b.end, 'oversize', false) as {item}))
-          else named_struct('done', concat(acc.done, array(acc.cur)), 'cur', b) end,
-        acc -> concat(acc.done, if(acc.cur is null, cast(array() as array<{item}>), array(acc.cur))))"""
-    state = (
-        f"struct<done:array<{chunk}>,texts:array<string>,types:array<string>,n:bigint,heading:string,start:bigint,last:bigint>"
-    )
-    no_text = "cast(array() as array<string>)"
-    joined = trim("array_join(acc.texts, '\\n\\n')")
-
-    def flushed(end: str) -> str:
-        """Finished chunks once the open one is closed at ``end``."""
-        return f"""if(size(acc.texts) > 0 and (length({joined}) >= {min_chars} or array_contains(acc.types, 'heading')),
-          concat(acc.done, array(cast(named_struct('content', {joined}, 'types', array_distinct(acc.types),
-            'heading', coalesce(acc.heading, ''), 'start', acc.start, 'end', {end}) as {chunk}))), acc.done)"""
-
-    head = trim("regexp_replace(b.content, '^#+[" + ws + "]*', '')")
-    heading = f"if(b.type = 'heading', {head}, cast(null as string))"
-    packed = f"""
-      aggregate(_m, cast(named_struct('done', cast(array() as array<{chunk}>), 'texts', {no_text}, 'types', {no_text},
-          'n', 0L, 'heading', cast(null as string), 'start', 0L, 'last', 0L) as {state}),
-        (acc, b) -> cast(case
-          when b.oversize then named_struct(
-            'done', concat({flushed('b.start')}, array(cast(named_struct('content', b.content, 'types', array(b.type),
-                'heading', '', 'start', b.start, 'end', b.end) as {chunk}))),
-            'texts', {no_text}, 'types', {no_text}, 'n', 0L, 'heading', cast(null as string), 'start', b.end, 'last', b.end)
-          when size(acc.texts) > 0 and (b.type in ('heading', 'code', 'table') or acc.n + length(b.content) > {max_chars})
-          then named_struct('done', {flushed('b.start')}, 'texts', array(b.content), 'types', array(b.type),
-            'n', cast(length(b.content) as bigint), 'heading', {heading}, 'start', b.start, 'last', b.end)
-          else named_struct('done', acc.done, 'texts', concat(acc.texts, array(b.content)),
-            'types', concat(acc.types, array(b.type)), 'n', acc.n + length(b.content),
-            'heading', coalesce(acc.heading, {heading}), 'start', acc.start, 'last', b.end) end as {state}),
-        acc -> {flushed('acc.last')})"""
-    return (
-        per_doc.withColumn("_m", F.expr(merged))
-        .select("doc_id", F.posexplode(F.expr(packed)).alias("chunk_no", "c"))
-        .select(
-            "doc_id",
-            "chunk_no",
-            "c.content",
-            F.col("c.types").alias("block_types"),
-            F.array_contains("c.types", "heading").alias("_h"),
-            F.col("c.heading").alias("heading_text"),
-            "c.start",
-            "c.end",
-        )
-        .withColumnRenamed("_h", "has_heading")
+    whole = {"heading"} | {t for t, on in (("code", keep_code), ("table", keep_tables), ("list", keep_lists)) if on}
+    fields = F.struct("block_no", "piece_no", "type", "content", "start", "end", "oversize")
+    per_doc = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("_b"))
+
+    def run(lists: pa.Array) -> pa.Array:
+        rows = [_pack(_merge_prose(b or [], whole, max_chars), max_chars, min_chars, drop_short) for b in lists.to_pylist()]
+        return pa.array(rows, _CHUNKS)
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    kind = "array<struct<content:string,block_types:array<string>,has_heading:boolean,heading_text:string,start:bigint,end:bigint>>"
+    packed = F.arrow_udf(run, kind).asNondeterministic()
+    return per_doc.select("doc_id", F.posexplode(packed("_b")).alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.*")
+
+
+_CHUNKS = pa.list_(
+    pa.struct(
+        [("content", pa.string()), ("block_types", pa.list_(pa.string())), ("has_heading", pa.bool_()),
+         ("heading_text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
     )
+)
+SPACE = re.compile(f"^[{WS}]+|[{WS}]+\\Z")
+
+
+def _merge_prose(blocks_: list[dict], whole: set[str], most: int) -> list[dict]:
+    """Adjacent prose joined up to ``most`` characters; whole and oversize blocks stand alone, rules drop out."""
+    out: list[dict] = []
+    open_ = None  # the prose block that may still grow, with its parts
+    for b in blocks_:
+        if b["type"] == "separator" or b["type"] in whole or b["oversize"]:
+            open_ = None
+            if b["type"] != "separator":
+                out.append(dict(b, parts=[b["content"]], n=len(b["content"])))
+        elif open_ is not None and open_["n"] + len(b["content"]) + 2 <= most:
+            open_["parts"].append(b["content"])
+            open_["n"] += len(b["content"]) + 2
+            open_["end"] = b["end"]
+        else:
+            open_ = dict(b, parts=[b["content"]], n=len(b["content"]))
+            out.append(open_)
+    for b in out:
+        b["content"] = "\n\n".join(b.pop("parts"))
+    return out
+
+
+def _pack(blocks_: list[dict], most: int, least: int, drop_short: bool) -> list[dict]:
+    """Chunks of merged blocks; a short chunk without heading joins the one before it, else the one behind it."""
+    chunks: list[dict] = []
+    open_: list[dict] = []
+    start = 0
+
+    def flush(end: int) -> None:
+        if open_:
+            types = list(dict.fromkeys(b["type"] for b in open_))
+            headings = [SPACE.sub("", re.sub(f"^#+[{WS}]*", "", b["content"])) for b in open_ if b["type"] == "heading"]
+            chunks.append(
+                {"content": SPACE.sub("", "\n\n".join(b["content"] for b in open_)), "block_types": types,
+                 "has_heading": bool(headings), "heading_text": headings[0] if headings else "", "start": start, "end": end}
+            )
+            open_.clear()
+
+    n = 0
+    for b in blocks_:
+        if b["oversize"]:
+            flush(b["start"])
+            chunks.append(
+                {"content": b["content"], "block_types": [b["type"]], "has_heading": b["type"] == "heading",
+                 "heading_text": "", "start": b["start"], "end": b["end"], "cut": True}
+            )
+            start = b["end"]
+            continue
+        if open_ and (b["type"] in ("heading", "code", "table") or n + len(b["content"]) > most):
+            flush(b["start"])
+            start = b["start"]
+        if not open_:
+            n = 0
+        open_.append(b)
+        n += len(b["content"])
+    flush(blocks_[-1]["end"] if blocks_ else 0)
+    short = [not c.pop("cut", False) and len(c["content"]) < least and not c["has_heading"] for c in chunks]
+    if drop_short:
+        return [c for c, s in zip(chunks, short, strict=True) if not s]
+    out: list[dict] = []
+    pending = None
+    for c, s in zip(chunks, short, strict=True):
+        if pending is not None:
+            c, pending = _joined(pending, c), None
+        if s and out:
+            out[-1] = _joined(out[-1], c)
+        elif s:
+            pending = c
+        else:
+            out.append(c)
+    return out + ([pending] if pending is not None else [])
+
+
+def _joined(a: dict, b: dict) -> dict:
+    return {
+        "content": "\n\n".join(x for x in (a["content"], b["content"]) if x),
+        "block_types": list(dict.fromkeys(a["block_types"] + b["block_types"])),
+        "has_heading": a["has_heading"] or b["has_heading"],
+        "heading_text": a["heading_text"] or b["heading_text"],
+        "start": a["start"],
+        "end": b["end"],
+    }
 
 
 def chunk_structured(docs: DataFrame, max_chars: int = 2000, min_chars: int = 100, overlap: int = 100) -> DataFrame:
@@ -339,22 +380,36 @@ def split_sentences(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
     sents = F.transform(
         extract_all("text", SENTENCE), lambda s: F.struct(s.alias("s"), token_count(s).alias("n"))
     )
-    piece = "struct<content:string,n:int>"
-    fold = f"""aggregate(_s, named_struct('done', cast(array() as array<{piece}>), 'cur', '', 'n', 0),
-      (acc, x) -> if(acc.n > 0 and acc.n + x.n > {max_tokens},
-        named_struct('done', concat(acc.done, array(cast(named_struct('content', acc.cur, 'n', acc.n) as {piece}))), 'cur', x.s, 'n', x.n),
-        named_struct('done', acc.done, 'cur', concat(acc.cur, x.s), 'n', acc.n + x.n)),
-      acc -> concat(acc.done, array(cast(named_struct('content', acc.cur, 'n', acc.n) as {piece}))))"""
-    df = docs.withColumn("_s", sents).withColumn("_c", F.expr(fold))
+    chunks = _pack_sentences(max_tokens)(sents)
     kept = F.filter(
-        F.transform("_c", lambda c: F.struct(trim_ws(c["content"]).alias("content"), c["n"].alias("n"))),
+        F.transform(chunks, lambda c: F.struct(trim_ws(c["content"]).alias("content"), c["n"].alias("n"))),
         lambda c: c["content"] != "",
     )
-    return df.select("doc_id", F.posexplode(kept).alias("chunk_no", "c")).select(
+    return docs.select("doc_id", F.posexplode(kept).alias("chunk_no", "c")).select(
         "doc_id", "chunk_no", "c.content", F.col("c.n").alias("n_tokens")
     )
 
 
+def _pack_sentences(most: int):
+    """Arrow function: array of (s, n) -> array of (content, n); each sentence is handled once."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        out = []
+        for sentences in lists.to_pylist():
+            done, words, n = [], [], 0
+            for s in sentences or []:
+                if n > 0 and n + s["n"] > most:
+                    done.append({"content": "".join(words), "n": n})
+                    words, n = [], 0
+                words.append(s["s"])
+                n += s["n"]
+            out.append([*done, {"content": "".join(words), "n": n}])
+        return pa.array(out, pa.list_(pa.struct([("content", pa.string()), ("n", pa.int32())])))
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<content:string,n:int>>").asNondeterministic()
+
+
 def fixed_pieces(text: Column, n: int) -> Column:
     return F.when(
         F.length(text) > 0,

@@ -262,8 +262,17 @@ def bm25_multi(
 
     ``variants``: query_id, ord, text. ``docs`` supplies the text of the hits.
     """
-    # written once: the row-count check and the join below both read it
-    hits = materialise(bm25(index, variants, k, partial, id_cols=["query_id", "ord"]), "variant_hits")
+    # variants of one text are searched once, to the largest depth, and dealt to their queries
+    forms = materialise(variants.select("text").distinct().withColumn("form", F.monotonically_increasing_id()), "forms")
+    most = k if isinstance(k, int) else int(k.agg(F.max("fetch_k")).first()[0] or 1)
+    found = bm25(index, forms, most, partial, id_cols=["form"])
+    asked = variants.join(forms, "text").select("query_id", "ord", "form")
+    if not isinstance(k, int):
+        asked = asked.join(k.select("query_id", "fetch_k"), "query_id")
+    limit = F.lit(k) if isinstance(k, int) else F.col("fetch_k")
+    hits = found.join(asked, "form").where(F.col("rank") <= limit).select("query_id", "ord", "doc_id", "score", "rank")
+    # written once: the size check and the join below both read it
+    hits = materialise(hits, "variant_hits")
     found = broadcast_if_small(hits.select("doc_id").distinct())
     keys = docs.join(found, "doc_id", "left_semi").select("doc_id", F.md5("text").alias("text_key"))
     keyed = hits.join(keys, "doc_id").select("query_id", "ord", "rank", "doc_id", "score", "text_key")

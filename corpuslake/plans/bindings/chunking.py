@@ -155,7 +155,82 @@ def _map_sql(fn: str) -> str:
       select doc_id, cast(count(*) as integer) as n_pieces, md5(string_agg(r, {NL} || {NL} || '---' || {NL} || {NL} order by i)) as h from r group by 1"""
 
 
+def _cut_sql(size: int, least: int) -> str:
+    """CTE ``pieces`` (doc_id, block_no, piece_no, type, oversize, content, start, end): blocks cut at the last fitting border."""
+    ends = [
+        f"length(regexp_extract(substr(rest, 1, {size + 1}), '(?s)^(.*{border})\\S', 1))"
+        for border in (r"[.!?]\s+", r";\s*", r",\s+", r"\s+")
+    ]
+    at = "case " + " ".join(f"when {e} > {least} then {e}" for e in ends) + f" else {size} end"
+    return f"""{BLOCKS},
+    cuts as (
+      select doc_id, block_no, -1 as no, '' as piece, content as rest from blocks where length(content) > {size}
+      union all
+      select doc_id, block_no, no + 1, case when length(rest) > {size} then {trim_sql('substr(rest, 1, cut_at)')} else rest end,
+        case when length(rest) > {size} then {trim_sql('substr(rest, cut_at + 1)')} else '' end
+      from (select *, {at} as cut_at from cuts where rest <> '')),
+    pieces as (
+      select b.doc_id, b.block_no, cast(no as integer) as piece_no, type, true as oversize, piece as content, start, "end"
+        from blocks b join cuts c on c.doc_id = b.doc_id and c.block_no = b.block_no where no >= 0
+      union all select doc_id, block_no, 0, type, false, content, start, "end" from blocks where length(content) <= {size})"""
+
+
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+PACK_SQL = f"""with recursive {_cut_sql(800, 200)},
+i0 as (select *, length(content) as len, row_number() over (partition by doc_id order by block_no, piece_no) as i,
+  oversize or type in ('heading', 'code', 'table', 'list', 'separator') as alone from pieces),
+merging as (
+  select doc_id, i, 1 as g, len as n, not alone as open from i0 where i = 1
+  union all
+  select b.doc_id, b.i, case when not b.alone and m.open and m.n + b.len + 2 <= 800 then g else g + 1 end,
+    case when not b.alone and m.open and m.n + b.len + 2 <= 800 then m.n + b.len + 2 else b.len end, not b.alone
+  from merging m join i0 b on b.doc_id = m.doc_id and b.i = m.i + 1),
+m1 as (select b.doc_id, g, arg_min(type, b.i) as type, string_agg(content, {NL} || {NL} order by b.i) as content, min(start) as start,
+  arg_max("end", b.i) as "end", bool_or(oversize) as oversize from i0 b join merging m on m.doc_id = b.doc_id and m.i = b.i
+  where type <> 'separator' group by b.doc_id, g),
+m2 as (select *, length(content) as len, row_number() over w as i, lead(start) over w as next_start, lag(oversize) over w as after_cut, lag("end") over w as before_end
+  from m1 window w as (partition by doc_id order by g)),
+packing as (
+  select doc_id, i, 1 as c, case when oversize then 0 else len end as n, not oversize as open from m2 where i = 1
+  union all
+  select b.doc_id, b.i, case when not b.oversize and p.open and not (b.type in ('heading', 'code', 'table') or p.n + b.len > 800) then c else c + 1 end,
+    case when b.oversize then 0 when p.open and not (b.type in ('heading', 'code', 'table') or p.n + b.len > 800) then p.n + b.len else b.len end, not b.oversize
+  from packing p join m2 b on b.doc_id = p.doc_id and b.i = p.i + 1),
+c0 as (select b.doc_id, c, bool_or(oversize) as cut,
+    case when bool_or(oversize) then any_value(content) else {trim_sql(f"string_agg(content, {NL} || {NL} order by b.i)")} end as content,
+    list(type order by b.i) as types, bool_or(type = 'heading') as has_heading,
+    case when bool_or(oversize) then '' else coalesce(arg_min({trim_sql("regexp_replace(content, '^#+\\s*', '')")}, b.i) filter (type = 'heading'), '') end as heading,
+    case when bool_or(oversize) then min(start) when arg_min(after_cut, b.i) then arg_min(before_end, b.i) when min(b.i) = 1 then 0 else arg_min(start, b.i) end as start,
+    case when bool_or(oversize) then max("end") else coalesce(arg_max(coalesce(next_start, -1), b.i), -1) end as stop, arg_max("end", b.i) as last
+  from m2 b join packing p on p.doc_id = b.doc_id and p.i = b.i group by b.doc_id, c),
+c1 as (select *, not cut and length(content) < 200 and not has_heading as short, case when stop < 0 then last else stop end as finish from c0),
+c2 as (select *, greatest(1, sum(case when short then 0 else 1 end) over (partition by doc_id order by c)) as o from c1),
+c3 as (select doc_id, o, string_agg(content, {NL} || {NL} order by c) filter (content <> '') as content, flatten(list(types order by c)) as types,
+  bool_or(has_heading) as has_heading, coalesce(arg_min(heading, c) filter (heading <> ''), '') as heading, arg_min(start, c) as start, arg_max(finish, c) as finish from c2 group by doc_id, o)
+select doc_id, cast(row_number() over (partition by doc_id order by o) - 1 as integer) as chunk_no, md5(coalesce(content, '')) as content,
+  array_to_string({_DISTINCT.format('types')}, ',') as block_types, has_heading, heading as heading_text, cast(start as bigint) as start, cast(finish as bigint) as "end" from c3"""
+
+OVERSIZE_SQL = f"""with recursive {_cut_sql(300, 100)}
+select doc_id, block_no, piece_no, type, oversize, md5(content) as content from pieces"""
+
+SENTENCES_SQL = f"""with recursive {CORPUS},
+l as (select doc_id, regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+\\s*|[^。！？.!?]+') as ss from corpus),
+s as (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as i from l),
+t as (select *, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) as n from s),
+walk as (
+  select doc_id, i, n as total, 0 as c from t where i = 1
+  union all
+  select t.doc_id, t.i, case when w.total > 0 and w.total + t.n > 512 then t.n else w.total + t.n end,
+    case when w.total > 0 and w.total + t.n > 512 then c + 1 else c end
+  from walk w join t on t.doc_id = w.doc_id and t.i = w.i + 1),
+k as (select t.doc_id, c, {trim_sql("string_agg(s, '' order by t.i)")} as content, cast(sum(n) as integer) as n from t join walk w on w.doc_id = t.doc_id and w.i = t.i group by t.doc_id, c)
+select doc_id, cast(row_number() over (partition by doc_id order by c) - 1 as integer) as chunk_no, md5(content) as content, n as n_tokens from k where content <> ''"""
+
 ORACLES = {
+    "c2_pack_blocks": PACK_SQL,
+    "c3_split_oversize": OVERSIZE_SQL,
+    "c6_split_sentences": SENTENCES_SQL,
     "c1_blocks": f"with {BLOCKS} select doc_id, block_no, type, level, lang, md5(content) as content, start, \"end\" from blocks",
     "c4_overlap": f"""with {FIXED}, p as (select *, lag(content) over (partition by doc_id order by chunk_no) as p from fixed),
       q as (select *, length(p) - least(100, length(p)) as base,

@@ -79,7 +79,7 @@ def test_packing_equals_plain_python(spark):
     pieces = ck.split_oversize(ck.blocks(docs(spark, *texts)), 120, 30)
     rows = pieces.orderBy("doc_id", "block_no", "piece_no").collect()
     got = {}
-    for c in ck.pack_blocks(pieces, 120, 30).orderBy("doc_id", "chunk_no").collect():
+    for c in ck.pack_blocks(pieces, 120, 30, drop_short=True).orderBy("doc_id", "chunk_no").collect():
         got.setdefault(c.doc_id, []).append((c.content, list(c.block_types), c.start, c.end))
     for d in range(len(texts)):
         mine = [dict(type=r.type, content=r.content, start=r.start, end=r.end, big=r.oversize) for r in rows if r.doc_id == d]
@@ -121,8 +121,8 @@ def test_sentences_pack_to_the_limit(spark):
     assert "".join(g.content.replace(" ", "") for g in got) == "abc.de!fghi?中文。tail"
 
 
-def test_map_reduce_uses_ten_pieces(spark):
-    out = ck.map_reduce(docs(spark, "x" * 50_000, "short", ""), lambda c: F.length(c).cast("string")).orderBy("doc_id").collect()
+def test_map_reduce_may_use_ten_pieces(spark):
+    out = ck.map_reduce(docs(spark, "x" * 50_000, "short", ""), lambda c: F.length(c).cast("string"), max_pieces=10).orderBy("doc_id").collect()
     assert [o.n_pieces for o in out] == [10, 1, 1]
     assert out[0].result.count("4000") == 10 and out[1].result == "5"
 
@@ -165,7 +165,7 @@ def test_links_resolve(spark):
         "https://o.com/p", "http://site.com/f%C3%BCr%20x",
     ]
     many = "".join(f'<a href="/{i}">t</a>' for i in range(150))
-    assert pg.outlinks(spark.createDataFrame([(1, "http://s.com/", many)], "page_id int, url string, html string")).count() == 100
+    assert pg.outlinks(spark.createDataFrame([(1, "http://s.com/", many)], "page_id int, url string, html string")).count() == 150
 
 
 def test_dispatch_kinds(spark):
@@ -187,3 +187,69 @@ def test_dispatch_kinds(spark):
     assert got["http://a/x"] == ("xml", "XML: http://a/x", "in")
     assert got["http://a/%E4%B8%AD.txt"] == ("plain", "中.txt", "p")
     assert len(got) == 5
+
+
+def test_packing_loses_no_text(spark):
+    texts = ["short", "# head\n\nbody " + "x" * 40 + "\n\n---\n\ntiny", "tiny\n\n```\n" + "y" * 90 + "\n```\n\nend", "word " * 90 + "\n\nlast"]
+    pieces = ck.split_oversize(ck.blocks(docs(spark, *texts)), 120, 30)
+    whole = {}
+    for r in pieces.where("type <> 'separator'").orderBy("doc_id", "block_no", "piece_no").collect():
+        whole[r.doc_id] = whole.get(r.doc_id, "") + "".join(r.content.split())
+    packed = {}
+    for c in ck.pack_blocks(pieces, 120, 30).orderBy("doc_id", "chunk_no").collect():
+        packed[c.doc_id] = packed.get(c.doc_id, "") + "".join(c.content.split())
+    assert packed == whole
+
+
+def test_cut_text_equals_the_slow_rule():
+    import re
+
+    def slow(text, size, least):
+        out = []
+        while len(text) > size:
+            zh = len(re.findall("[一-龥]", text)) > len(re.findall("[a-zA-Z]", text))
+            at = 0
+            for border in ck.BORDERS_ZH if zh else ck.BORDERS_EN:
+                at = max((m.end() for m in border.finditer(text) if m.end() <= size), default=0)
+                if at > least:
+                    break
+            else:
+                at = size
+            out.append(text[:at].strip())
+            text = text[at:].strip()
+        return out + [text] if text or not out else out
+
+    rnd = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["a", "bc", "中", "。", ". ", "; ", ", ", " ", "  ", "\n", "！"]) for _ in range(rnd.randint(0, 60)))
+        assert ck.cut_text(text, 12, 4) == slow(text, 12, 4), text
+
+
+def test_no_cap_on_links_pieces_and_keywords(spark):
+    from corpuslake.operators import citations as ci
+    from corpuslake.operators import lexical as lx
+    from corpuslake.operators import pages as pg
+
+    html = "".join(f'<a href="http://h.org/{i}">x</a>' for i in range(101))
+    page = spark.createDataFrame([(1, "http://h.org/", html)], "page_id long, url string, html string")
+    assert pg.outlinks(page).count() == 101 and pg.outlinks(page, max_links=100).count() == 100
+    long = docs(spark, "y" * 44_000)
+    pieces = ck.map_reduce(long, lambda c: c, joiner="").first()
+    assert pieces.n_pieces == 11 and len(pieces.result) == 44_000
+    head = "z" * 100
+    cits = [(1, i, "/a.txt", 1, head + t, 0.5) for i, t in enumerate(("one", "two"))]
+    frame = spark.createDataFrame(cits, "query_id int, pos int, file_path string, page_number int, content string, score double")
+    frame = frame.selectExpr("*", "cast(null as string) as url", "cast(null as string) as file_name")
+    assert ci.dedupe_citations(frame).count() == 2 and ci.dedupe_citations(frame, key_chars=50).count() == 1
+    names = spark.createDataFrame([(1, "Some c text", "dir/a7.txt")], "doc_id long, text string, source string")
+    kws = spark.createDataFrame([(1, "a", 0), (1, "Z", 1), (1, "TEXT", 2)], "query_id long, keyword string, ord int")
+    assert [r["keyword"] for r in lx.matched_keywords(names, kws).collect()] == ["a"]
+    assert lx.filename_search(names, kws, 5).first()["tier"] == 1
+
+
+def test_many_scope_paths_match_by_suffix(spark):
+    from corpuslake.operators import ranking as rk
+
+    scope = spark.createDataFrame([(1, f"C:/x/f{i}.txt") for i in range(60)], "query_id int, path string")
+    rows = spark.createDataFrame([(1, "f3.txt"), (1, "F59.TXT"), (1, "g.txt"), (2, "g.txt"), (1, None)], "query_id int, source string")
+    assert sorted(map(str, (r["source"] for r in rk.scope_filter(rows, scope).collect()))) == ["F59.TXT", "None", "f3.txt", "g.txt"]

@@ -141,12 +141,12 @@ def test_diversify_round_robin(spark):
     assert [r["rank"] for r in rk.diversify(df, 4).orderBy("div_rank").collect()] == [1, 3, 5, 2]
 
 
-def test_scope_suffixes_only_for_short_lists(spark):
+def test_scope_suffixes_for_lists_of_any_length(spark):
     hits = spark.createDataFrame([(1, "docs/a.txt"), (1, "b.txt"), (2, "a.txt"), (3, "any")], "query_id int, source string")
     long = [(2, f"x/{i}/a.txt") for i in range(60)]
     sc = spark.createDataFrame([(1, "C:\\Docs\\A.txt")] + long, "query_id int, path string")
     got = sorted((r.query_id, r.source) for r in rk.scope_filter(hits, sc).collect())
-    assert got == [(1, "docs/a.txt"), (3, "any")]
+    assert got == [(1, "docs/a.txt"), (2, "a.txt"), (3, "any")]
 
 
 def test_variants_of_a_chinese_query(spark):
