@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.scale import broadcast_if_small, materialise
+from corpuslake.sources.versions import publish, read_current
 from corpuslake.functions.text import blank_to_null, norm_path, trim_ws
 from corpuslake.sources.tables import PREVIEW_CHARS
 
@@ -155,6 +156,14 @@ def refresh(
     return kept.unionByName(added), recs
 
 
+def refresh_stored(root: str, inventory: DataFrame, chunk_fn, mode: str = "smart", paths: DataFrame | None = None) -> int:
+    """Refresh the stored tables ``chunks`` and ``records`` below ``root``: a new version is written, then switched to."""
+    spark = inventory.sparkSession
+    chunks, records = (read_current(spark, root, name) for name in ("chunks", "records"))
+    new_chunks, new_records = refresh(chunks, records, inventory, chunk_fn, mode, paths)
+    return publish({"chunks": new_chunks, "records": new_records}, root)
+
+
 def rebuild(records: DataFrame, corpus: DataFrame, chunk_fn) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunk every record again: (chunks, records, counts of success and failure).
 

@@ -365,7 +365,7 @@ MIN_PAGE_TEXT = 50
 
 
 def pages_to_corpus(pages: DataFrame, allowed: list[str] | None = None, min_chars: int = MIN_PAGE_TEXT) -> DataFrame:
-    """Admitted pages as documents: source, title, text and metadata."""
+    """Admitted pages as documents: source, title, text and metadata. ``rejected_pages`` tells of the others."""
     ok = classify_urls(pages, allowed).where("reason = 'ok'")
     df = main_content(page_meta(ok))
     # a filter on the text would be pushed down and repeat the whole extraction;
@@ -383,3 +383,17 @@ def pages_to_corpus(pages: DataFrame, allowed: list[str] | None = None, min_char
         "og_image",
         "site_name",
     )
+
+
+def rejected_pages(pages: DataFrame, allowed: list[str] | None = None, min_chars: int = MIN_PAGE_TEXT) -> DataFrame:
+    """(page_id, url, reason, n_chars) of the pages that ``pages_to_corpus`` leaves out.
+
+    The reason is that of ``classify_urls``, or 'short'; texts of refused urls are not extracted.
+    """
+    judged = classify_urls(pages, allowed)
+    refused = judged.where("reason <> 'ok'").select("page_id", "url", "reason", F.lit(None).cast("int").alias("n_chars"))
+    # exploding the length evaluates the extraction once
+    size = F.explode(F.array(F.coalesce(F.length(text_of(F.col("content"))), F.lit(0))))
+    sized = main_content(judged.where("reason = 'ok'")).select("page_id", "url", size.alias("n_chars"))
+    short = sized.where(F.col("n_chars") < min_chars)
+    return refused.unionByName(short.select("page_id", "url", F.lit("short").alias("reason"), "n_chars"))

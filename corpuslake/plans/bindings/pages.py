@@ -191,6 +191,16 @@ def corpus_from_pages(spark, sf):
     return pg.pages_to_corpus(pages(spark, sf)).select("page_id", "source", "title", "author", "site_name", F.md5("text").alias("h"))
 
 
+def rejected(spark, sf):
+    """Every fifth page has another scheme, every seventh hardly any text."""
+    p = pages(spark, sf).select(
+        "page_id",
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("ftp://host.org/"), "page_id")).otherwise(F.col("url")).alias("url"),
+        F.when(F.col("page_id") % 7 == 0, "<p>tiny</p>").otherwise(F.col("html")).alias("html"),
+    )
+    return pg.rejected_pages(p).select("page_id", "reason", F.col("n_chars").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "w1_strip_noise": strip_noise,
     "w2_main_content": main_content,
@@ -201,6 +211,7 @@ QUERIES = {
     "w7_markdown_to_text": markdown,
     "w8_classify_urls": classify,
     "w9_pages_to_corpus": corpus_from_pages,
+    "w9_rejected_pages": rejected,
 }
 
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', '')"
@@ -245,6 +256,8 @@ ORACLES = {
         ends_with(host, 'wikipedia.org') and starts_with(path, '/wiki/') as wikipedia,
         case when host = 'github.com' and regexp_matches(path, '{_BLOB}') then 'https://raw.githubusercontent.com' ||
           regexp_replace(path, '{_BLOB}', '/\\1/\\2/\\3/\\4') end as raw_url from p""",
+    "w9_rejected_pages": """select page_id, case when page_id % 5 = 0 then 'scheme' else 'short' end as reason,
+        case when page_id % 5 <> 0 then 4::bigint end as n_chars from pages where page_id % 5 = 0 or page_id % 7 = 0""",
     "w9_pages_to_corpus": f"""with {content_ctes()}, {META}, t as (select main.page_id, url, {html_text_sql('content')} as t,
         coalesce(title, url) as title, author, site_name from main join meta on meta.page_id = main.page_id
         where regexp_matches({_HOST}, '^([a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?\\.)+[a-zA-Z]{{2,}}$'))

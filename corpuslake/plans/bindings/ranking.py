@@ -15,6 +15,7 @@ from corpuslake.plans.bindings.lexical import (
     INDEX, VARIANTS_SQL, bm25_sql, filename_sql, hits, keywords_cte,
 )
 from corpuslake.plans.bindings.vectors import vector_list, vector_list_sql
+from corpuslake.plans.hybrid import hybrid_search
 from corpuslake.plans.ingest import ingest
 from corpuslake.plans.search import SearchConfig, search
 
@@ -200,6 +201,13 @@ def search_stored(spark, sf):
     return search(rows, queries(spark, sf), cfg, index=index).withColumn("score", F.round("score", 6))
 
 
+def hybrid_job(spark, sf):
+    """Variants, adaptive and keyword search, fusion, least score and re-ranking end to end."""
+    cfg = SearchConfig(vector=False, partial=False)
+    out = hybrid_search(corpus(spark, sf), queries(spark, sf), 10, cfg, min_score=0.018)
+    return out.withColumn("score", F.round("score", 6))
+
+
 CHUNK_CORPUS = """corpus as (
   select doc_id * 1000000 + i as doc_id, substr(text, i * 2000 + 1, 2000) as text, source || '/' || doc_id || '.txt' as source, lang, source as folder, n_chars
   from (select *, unnest(range(cast(ceil(length(text) / 2000) as bigint))) as i from documents where lang in ('fr', 'de')))"""
@@ -273,6 +281,7 @@ QUERIES = {
     "r11_search": search_full,
     "r11_search_scoped": search_scoped,
     "r11_search_stored": search_stored,
+    "r7_hybrid_job": hybrid_job,
 }
 
 ORACLES = {
@@ -316,6 +325,19 @@ ORACLES = {
         from l join corpus c on c.doc_id = l.doc_id group by 1, 2)
       select query_id, seen[3] as doc_id, rank, kinds, round(score, 6) as score from (select *, row_number() over
         (partition by query_id order by round(score, 9) desc, seen) as rank from f) where rank <= 20""",
+    "r7_hybrid_job": f"""with s as ({search_sql(vector=False, partial=False)}), {INDEX}, {bm25_sql('h', 'queries', 'query_id', 10)}, {keywords_cte('queries')},
+      l as (select query_id, 'vector' as kind, 0 as p, doc_id, rank from s
+        union all select query_id, 'keyword', 1, doc_id, rank from h where query_id in (select query_id from s)),
+      f as (select l.query_id, md5(source || ':' || text) as k, sum(1.0 / (50 + rank)) as score,
+        string_agg(distinct kind, ',' order by kind desc) as kinds, min((p, rank, l.doc_id)) as seen
+        from l join corpus c on c.doc_id = l.doc_id group by 1, 2),
+      t as (select query_id, seen[3] as doc_id, rank, kinds, score from (select *, row_number() over
+        (partition by query_id order by round(score, 9) desc, seen) as rank from f) where rank <= 20 and score >= 0.018),
+      r as (select t.*, case when len(kws) = 0 then 0.5 else
+        len(list_filter(kws, lambda w: contains(lower(c.text), lower(w)))) / len(kws) end as m
+        from t join corpus c on c.doc_id = t.doc_id join kw_l k on k.query_id = t.query_id)
+      select query_id, doc_id, new_rank, kinds, round(score, 6) as score from (select *, row_number() over
+        (partition by query_id order by round(m, 9) desc, rank) as new_rank from r) where new_rank <= 6""",
     "r8_rerank": f"""with {HITS_SQL}, {keywords_cte('queries')},
       s as (select r.query_id, r.doc_id, r.rank, case when len(kws) = 0 then 0.5 else
         len(list_filter(kws, lambda w: contains(lower(r.text), lower(w)))) / len(kws) end as s

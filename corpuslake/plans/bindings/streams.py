@@ -12,45 +12,73 @@ from corpuslake.streaming import jobs
 SIZE = 1000
 
 
-def ingest(spark, sf):
-    """Documents arrive twice: first as drafts, then whole; the state equals one batch over the whole texts."""
-    base = shared_dir(spark)
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    fixed = lambda d: ck.split_fixed(d, SIZE)
-    raw = jobs.stream_documents(spark, sf, schema, "documents.parquet")
+def deliveries(spark, sf):
+    """Three deliveries of files: all as drafts; then most whole, some gone; after a compaction some once more."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    draft = raw.select(F.upper(path).alias("path"), F.concat(F.lit("draft "), "text").alias("text"), F.lit(1).alias("version"))
-    whole = raw.select(path.alias("path"), "text", F.lit(2).alias("version"))
-    for name, stream in (("draft", draft), ("whole", whole.union(draft))):
-        # the second run continues in a later batch range, as a restarted job would after a new delivery
-        target = f"{base}/{name}"
-        jobs.stream_ingest(stream, target, f"{base}/ckpt-{name}", fixed).awaitTermination()
-    out = jobs.current_chunks(spark, f"{base}/whole")
+    kind = F.col("doc_id") % 10
+    text, no = F.col("text"), F.lit(False)
+    draft = d.select(F.upper(path).alias("path"), F.concat(F.lit("draft "), text).alias("text"), F.lit(1).alias("version"), no.alias("deleted"))
+    whole = d.where(kind != 3).select(path.alias("path"), F.when(kind != 7, text).alias("text"), F.lit(2).alias("version"), (kind == 7).alias("deleted"))
+    again = d.where(kind == 5).select(path.alias("path"), F.concat(F.lit("again "), text).alias("text"), F.lit(3).alias("version"), no.alias("deleted"))
+    return draft, whole, again
+
+
+def _ingested(spark, sf):
+    """One target and one checkpoint; each delivery is a new run of the job, with a compaction before the last."""
+    base = shared_dir(spark)
+    inbox, target = f"{base}/inbox", f"{base}/target"
+    for i, files in enumerate(deliveries(spark, sf)):
+        files.write.mode("append").parquet(inbox)
+        stream = jobs.stream_documents(spark, inbox, files.schema)
+        jobs.stream_ingest(stream, target, f"{base}/ckpt", lambda d: ck.split_fixed(d, SIZE)).awaitTermination()
+        if i == 1:
+            jobs.compact(spark, target)
+    return target
+
+
+def ingest(spark, sf):
+    out = jobs.current_chunks(spark, _ingested(spark, sf))
     return out.select("path", "chunk_no", F.md5("content").alias("content"))
 
 
+def ingest_records(spark, sf):
+    return jobs.current_records(spark, _ingested(spark, sf))
+
+
+def raw_batch(spark, sf):
+    return _events(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+def _events(raw):
+    return raw.select(
+        F.col("event_type").alias("name"), (F.col("value") * 10).alias("duration"), F.timestamp_micros(F.expr(NTZ_MICROS)).alias("ts")
+    )
+
+
 def roll_up(spark, sf):
     base = shared_dir(spark)
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     raw = jobs.stream_documents(spark, sf, schema, "events.parquet")
-    ev = raw.select(
-        F.col("event_type").alias("name"), (F.col("value") * 10).alias("duration"), F.timestamp_micros(F.expr(NTZ_MICROS)).alias("ts")
-    )
+    ev = _events(raw)
     jobs.run_to_table(jobs.stream_metrics(ev), f"{base}/stats", f"{base}/ckpt")
-    out = spark.read.parquet(f"{base}/stats")
+    out = jobs.complete_metrics(spark.read.parquet(f"{base}/stats"), raw_batch(spark, sf))
     return out.select(
         F.unix_micros("start").alias("start_us"), "name", "n", *[F.round(c, 6).alias(c) for c in ("avg", "min", "max")]
     )
 
 
-QUERIES = {"z1_stream_ingest": ingest, "z2_stream_metrics": roll_up}
+QUERIES = {"z1_stream_ingest": ingest, "z1_stream_records": ingest_records, "z2_stream_metrics": roll_up}
+
+STATE = """state as (select case when doc_id % 10 = 3 then upper(source || '/' || doc_id || '.txt') else source || '/' || doc_id || '.txt' end as path,
+  case when doc_id % 10 = 3 then 'draft ' || text when doc_id % 10 = 5 then 'again ' || text else text end as text
+  from documents where doc_id % 10 <> 7)"""
 
 ORACLES = {
-    "z1_stream_ingest": f"""select path, cast(i as integer) as chunk_no, md5(substr(text, i * {SIZE} + 1, {SIZE})) as content from (
-      select source || '/' || doc_id || '.txt' as path, text, unnest(range(cast(ceil(length(text) / {SIZE}) as bigint))) as i from documents)""",
-    # windows end up in the table once the watermark (newest event - 10 minutes) has passed their end
-    "z2_stream_metrics": """with b as (select epoch_us(ts) // 300000000 * 300000000 as start_us, event_type as name, value * 10 as d, ts from events),
-      w as (select max(epoch_us(ts)) - 600000000 as wm from events)
-      select start_us, name, count(*) as n, round(avg(d), 6) as avg, round(min(d), 6) as min, round(max(d), 6) as max from b
-      where start_us + 300000000 <= (select wm // 1000 * 1000 from w) group by 1, 2""",
+    "z1_stream_ingest": f"""with {STATE} select path, cast(i as integer) as chunk_no, md5(substr(text, i * {SIZE} + 1, {SIZE})) as content from (
+      select path, text, unnest(range(cast(ceil(length(text) / {SIZE}) as bigint))) as i from state)""",
+    "z1_stream_records": f"with {STATE} select path, cast(ceil(length(text) / {SIZE}) as bigint) as n_chunks from state",
+    # closed and open windows together are all windows
+    "z2_stream_metrics": """with b as (select epoch_us(ts) // 300000000 * 300000000 as start_us, event_type as name, value * 10 as d from events)
+      select start_us, name, count(*) as n, round(avg(d), 6) as avg, round(min(d), 6) as min, round(max(d), 6) as max from b group by 1, 2""",
 }

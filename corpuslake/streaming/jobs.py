@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import norm_path
+from corpuslake.sources.versions import current_version, publish, read_current
 
 
 def stream_documents(spark: SparkSession, folder: str, schema, pattern: str | None = None) -> DataFrame:
@@ -17,23 +18,26 @@ def stream_documents(spark: SparkSession, folder: str, schema, pattern: str | No
 
 
 def stream_ingest(docs: DataFrame, chunk_path: str, checkpoint: str, chunk_fn):
-    """Chunk arriving documents (path, text, version) into an append-only chunk log.
+    """Chunk arriving documents (path, text, version[, deleted]) into an append-only chunk log.
 
     Each micro-batch overwrites its own ``batch_id`` folder, so a repeated batch
-    changes nothing. ``current_chunks`` reads the state: the newest batch of
+    changes nothing. A row with ``deleted`` stands for a file that is gone.
+    ``current_chunks`` reads the state: the newest batch of
     every path, as an upsert would leave it. Returns the streaming query.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        gone = F.coalesce("deleted", F.lit(False)) if "deleted" in batch.columns else F.lit(False)
         last = batch.groupBy(norm_path("path").alias("norm")).agg(
-            F.max_by(F.struct("path", "text"), "version").alias("d")
+            F.max_by(F.struct("path", "text", gone.alias("gone")), "version").alias("d")
         )
-        found = last.select(F.col("d.path").alias("doc_id"), F.col("d.text").alias("text"))
-        chunks = chunk_fn(found).select(F.col("doc_id").alias("path"), "chunk_no", "content")
+        found = last.select(F.col("d.path").alias("doc_id"), F.col("d.text").alias("text"), "d.gone").persist()
+        chunks = chunk_fn(found.where("not gone").drop("gone")).select(F.col("doc_id").alias("path"), "chunk_no", "content")
         chunks.write.mode("overwrite").parquet(f"{chunk_path}/chunks/batch_id={batch_id}")
-        found.select(F.col("doc_id").alias("path")).write.mode("overwrite").parquet(
+        found.select(F.col("doc_id").alias("path"), "gone").write.mode("overwrite").parquet(
             f"{chunk_path}/paths/batch_id={batch_id}"
         )
+        found.unpersist()
 
     return (
         docs.writeStream.foreachBatch(save)
@@ -43,15 +47,46 @@ def stream_ingest(docs: DataFrame, chunk_path: str, checkpoint: str, chunk_fn):
     )
 
 
+def _log(spark: SparkSession, chunk_path: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, paths) with ``batch_id``: what was compacted, and the batches since."""
+    chunks, paths = (spark.read.parquet(f"{chunk_path}/{name}") for name in ("chunks", "paths"))
+    base = f"{chunk_path}/base"
+    if not current_version(spark, base):
+        return chunks, paths
+    old_chunks, old_paths = (read_current(spark, base, name) for name in ("chunks", "paths"))
+    upto = old_paths.agg(F.max("batch_id")).first()[0]
+    since = lambda df: df.where(F.col("batch_id") > (-1 if upto is None else upto))
+    return old_chunks.unionByName(since(chunks)), old_paths.unionByName(since(paths))
+
+
 def current_chunks(spark: SparkSession, chunk_path: str) -> DataFrame:
-    """(path, chunk_no, content) of the newest version of every path; a path now without chunks has none."""
-    newest = (
-        spark.read.parquet(f"{chunk_path}/paths")
-        .groupBy(norm_path("path").alias("norm"))
-        .agg(F.max("batch_id").alias("batch_id"))
-    )
-    chunks = spark.read.parquet(f"{chunk_path}/chunks").withColumn("norm", norm_path("path"))
-    return chunks.join(newest, ["norm", "batch_id"], "left_semi").select("path", "chunk_no", "content")
+    """(path, chunk_no, content) of the newest version of every path; a path now gone or without chunks has none."""
+    chunks, paths = _log(spark, chunk_path)
+    return _newest(chunks, paths).select("path", "chunk_no", "content")
+
+
+def _newest(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    newest = paths.groupBy(norm_path("path").alias("norm")).agg(F.max("batch_id").alias("batch_id"))
+    return rows.withColumn("norm", norm_path("path")).join(newest, ["norm", "batch_id"], "left_semi").drop("norm")
+
+
+def current_records(spark: SparkSession, chunk_path: str) -> DataFrame:
+    """(path, n_chunks) of every file that is not gone."""
+    chunks, paths = _log(spark, chunk_path)
+    counts = _newest(chunks, paths).groupBy(norm_path("path").alias("norm")).agg(F.count("*").alias("n"))
+    here = _newest(paths, paths).where("not gone").withColumn("norm", norm_path("path"))
+    return here.join(counts, "norm", "left").select("path", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
+def compact(spark: SparkSession, chunk_path: str) -> None:
+    """Rewrite the log's state as one version and switch to it; readers then skip the batches it holds."""
+    chunks, paths = _log(spark, chunk_path)
+    last = paths.agg(F.max("batch_id")).first()[0]
+    state = {
+        "chunks": _newest(chunks, paths).withColumn("batch_id", F.lit(last).cast("int")),
+        "paths": _newest(paths, paths).withColumn("batch_id", F.lit(last).cast("int")),
+    }
+    publish(state, f"{chunk_path}/base")
 
 
 LATENESS, WIDTH = "10 minutes", "5 minutes"
@@ -79,3 +114,14 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def complete_metrics(written: DataFrame, events: DataFrame) -> DataFrame:
+    """The written windows, and those still open when the stream was drained.
+
+    ``written`` is the table of ``run_to_table``, ``events`` the same source as a batch
+    (name, duration, ts). A window stays open until the watermark has passed its
+    end; its rows are what has come so far, and will be replaced when it closes.
+    """
+    open_ = stream_metrics(events).join(written.select("start", "name"), ["start", "name"], "left_anti")
+    return written.unionByName(open_.select(written.columns))
