@@ -42,6 +42,8 @@ BITS, SEED, WORDS, THRESHOLD = 64, 42, 4, 4
 CODE_BITS = 15
 #: Members of an anchor, or of a block of a larger one, that are compared in one group.
 BLOCK = 4096
+#: Groups of up to so many rows are compared together, larger ones home by home.
+SMALL = 1024
 #: Candidate pairs compared at once, to bound memory.
 AT_ONCE = 1 << 20
 
@@ -159,7 +161,7 @@ def _links(threshold: int):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         found, forest = [], Forest()
-        small = sizes <= 256
+        small = sizes <= SMALL
         for s, n in zip(starts[~small], sizes[~small], strict=True):
             h, f = home[s : s + n], fp[s : s + n]
             found += [p for p in _bucket_links(f[h > 0], f[h < 2], threshold) if forest.add(*p)]
@@ -232,15 +234,22 @@ def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return near_duplicates(prints, "id", threshold).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: int = THRESHOLD,
+    words: int = WORDS,
+    block: int = BLOCK,
+) -> DataFrame:
     """One document of each class, with its columns: that of least id (null last); of rows with equal ids, one."""
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("doc"), fingerprint(F.col(text_col)).alias("fp"))
+    packed = docs.select(F.struct(*names).alias("doc"), fingerprint(F.col(text_col), words).alias("fp"))
     rows = materialise(packed.withColumn("row", F.monotonically_increasing_id()), "fingerprinted")
     prints = rows.select("fp", "row", F.col("doc")[id_col].alias("id"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     best = materialise(prints.groupBy("fp").agg(F.min(order).alias("best")), "best")
-    reached = materialise(components(links(best, threshold), "a", "b"), "reached")
+    reached = materialise(components(links(best, threshold, block), "a", "b"), "reached")
     kept = (
         best.join(reached, best["fp"] == reached["node"], "left")
         .groupBy(F.coalesce("root", "fp").alias("root"))

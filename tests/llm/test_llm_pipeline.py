@@ -31,7 +31,7 @@ def test_pipeline_equals_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r["text"]) < 6000]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = [(i, t) for i, t in docs if good(t)]
-    classes = brute_classes([simhash(t.encode(), 4) % 2**64 for _, t in kept])
+    classes = brute_classes([simhash(t.encode(), 5) % 2**64 for _, t in kept], 7)
     least = {}
     for (i, _), c in zip(kept, classes, strict=True):
         least[c] = min(i, least.get(c, i))

@@ -24,7 +24,7 @@ def test_fingerprint_by_definition():
     assert S.simhash(None, 4) == 0
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("threshold", [1, 2, 3, 4, 5, 6, 7])
 def test_anchors_cover_every_link(threshold):
     rng = np.random.default_rng(threshold)
     a = rng.integers(0, 2**64, 500, dtype=np.uint64)
