@@ -69,16 +69,23 @@ def write_append(spark, sf):
     )
 
 
-def folder_scan(spark, sf):
+def _listed(spark, sf):
     """Documents written as text files by folder, plus files of an unsupported kind, then listed."""
     path = f"{shared_dir(spark)}/files"
     d = corpus(spark, sf)
     d.select("text", "folder").repartition("folder").write.partitionBy("folder").text(path)
     d.select("doc_id").write.parquet(f"{path}/other")
-    inv = st.scan_folder(spark, path)
-    return inv.groupBy(F.regexp_extract("folder", r"folder=(.*)\z", 1).alias("folder"), "format").agg(
+    return st.scan_folder(spark, path).where("size > 0")
+
+
+def folder_totals(spark, sf):
+    return st.folder_totals(_listed(spark, sf))
+
+
+def folder_scan(spark, sf):
+    return _listed(spark, sf).groupBy(F.regexp_extract("folder", r"folder=(.*)\z", 1).alias("folder"), "format").agg(
         F.sum("size").alias("total_size")
-    ).where("total_size > 0")
+    )
 
 
 def chunk_rows(spark, sf):
@@ -156,6 +163,7 @@ QUERIES = {
     "s2_chunk_schema": chunk_schema,
     "s3_write_append": write_append,
     "s4_scan_folder": folder_scan,
+    "s4_folder_totals": folder_totals,
     "s5_import_plan": import_plan,
     "s5_import_totals": import_totals,
     "s6_delete_sources": delete_sources,
@@ -181,6 +189,8 @@ ORACLES = {
         '' as m_heading_text, 0 as m_blocks, cast(null as integer) as blocks from corpus""",
     "s3_write_append": f"""with {CORPUS} select doc_id, md5(text) as text, source, cast(n_chars as integer) as position, case when lang = 'en' then 1 else 0 end as m_tags,
         lang = 'en' as heading, case when lang = 'en' then 1 else 0 end as tags, case when lang = 'en' then folder end as folder from corpus""",
+    "s4_folder_totals": f"""with {CORPUS} select count(distinct folder) as file_count, cast(sum(octet_length(encode(text)) + 1) as bigint) as total_size,
+        count(distinct folder) as folder_count from corpus""",
     "s4_scan_folder": f"""with {CORPUS} select folder, 'txt' as format, cast(sum(octet_length(encode(text)) + 1) as bigint) as total_size from corpus group by 1""",
     "s5_import_plan": f"""with {IMPORT} select path, status, case status when 'exists' then '文件已存在，跳过: ' || name when 'empty' then '文件内容为空或无法解析: ' || name end as message,
         case when status = 'added' then name end as name, case when status = 'added' then cast(ceil(length(text) / 500) as bigint) end as chunk_count,

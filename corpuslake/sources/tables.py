@@ -62,7 +62,8 @@ def to_chunk_schema(df: DataFrame, dim: int | None = None) -> DataFrame:
     """Coerce (text, metadata map<string,string>[, vector]) to the fixed chunk schema.
 
     List values are JSON text. Unknown keys go to ``metadata.extra`` as JSON.
-    A vector whose length differs from ``dim`` raises.
+    A vector whose length differs from ``dim`` becomes null and, with ``dim``
+    given, ``vector_ok`` says so: one bad row does not end a job.
     """
     m = F.col("metadata")
     fields = {f: _clean(f, m) for f in STRUCT_ORDER}
@@ -81,9 +82,9 @@ def to_chunk_schema(df: DataFrame, dim: int | None = None) -> DataFrame:
     if "vector" in df.columns:
         vec = F.col("vector").cast("array<float>")
         if dim is not None:
-            vec = F.when(F.size(vec) == dim, vec).otherwise(
-                F.raise_error(F.format_string("vector of %d values, expected " + str(dim), F.size(vec)))
-            )
+            fits = F.coalesce(F.size(vec) == dim, F.lit(False))
+            cols.append(fits.alias("vector_ok"))
+            vec = F.when(fits, vec)
         cols.insert(0, vec.alias("vector"))
     return df.select(*keys, *cols)
 
