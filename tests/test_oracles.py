@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 DEFAULT = (
     "s2_chunk_schema s3_write_append s8_upsert w2_main_content w5_outlinks w9_pages_to_corpus c1_blocks c4_overlap "
     "t3_quality_gate t5_profile l1_tokenize l3_bm25_topk l4_bm25_partial l7_filename_search v1_embed v3_knn v6_knn_multi "
+    "c2_pack_blocks c3_split_oversize c6_split_sentences v5_ann_full r11_search_lexical k4_refresh_stored "
     "r2_fuse_scores r3_threshold r5_mmr r7_hybrid x4_dedupe x6_enrich k3_plan_smart k4_refresh_records "
     "k8_delete_cascade m1_page_offset m6_collapse p1_perf_stats p7_trend z1_stream_ingest z2_stream_metrics"
 ).split()
