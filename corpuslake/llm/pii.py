@@ -19,7 +19,11 @@ Formats (validation -> what is permuted):
 * email: letters and digits of the local part, each within its own kind (a-z, A-Z, 0-9, Latin-1 letters by case); the domain stays
 
 Numbers that fail validation stay. Separators stay where they are. Of
-overlapping values the one that starts first counts, then the first named.
+overlapping values the one that starts first counts, then the first named. Digits or capitals that follow a card, IBAN or
+phone may read as part of it, so all its beginnings that end with a group are tried: first what has a usual card layout (digits without
+separators, 4-4-4-4, 4-6-5, 4-6-4) or the length of the country's IBANs, then the longest. A pseudonym is
+permuted on until the beginnings tried before fail for it too, so that the same one is found again. A longer
+beginning that passes by chance is taken only where none of these fits.
 A value may map to itself, as in any permutation, once in the domain's size on average.
 
 Cases: a null text stays null, an empty one empty. Rows with equal or null ids are
@@ -55,6 +59,18 @@ PATTERNS = {
     "email": r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
 }
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+#: Groups of a card number that are tried first, besides a single one.
+CARD_LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+IBAN_LENGTHS = {
+    **dict.fromkeys(("NO",), 15), **dict.fromkeys(("BE",), 16), **dict.fromkeys(("DK", "FK", "FI", "FO", "GL", "NL", "SD"), 18),
+    **dict.fromkeys(("MK", "SI"), 19), **dict.fromkeys(("AT", "BA", "EE", "KZ", "XK", "LT", "LU", "MN"), 20),
+    **dict.fromkeys(("HR", "LV", "LI", "CH"), 21), **dict.fromkeys(("BH", "BG", "CR", "GE", "DE", "IE", "ME", "RS", "GB", "VA"), 22),
+    **dict.fromkeys(("TL", "GI", "IQ", "IL", "OM", "SO", "AE"), 23), **dict.fromkeys(("AD", "CZ", "MD", "PK", "RO", "SA", "SK", "ES", "SE", "TN", "VG"), 24),
+    **dict.fromkeys(("LY", "PT", "ST"), 25), **dict.fromkeys(("IS", "TR"), 26),
+    **dict.fromkeys(("BI", "DJ", "FR", "GR", "IT", "MR", "MC", "SM"), 27),
+    **dict.fromkeys(("AL", "AZ", "BY", "CY", "DO", "SV", "GT", "HU", "LB", "NI", "PL"), 28), **dict.fromkeys(("BR", "EG", "PS", "QA", "UA"), 29),
+    **dict.fromkeys(("JO", "KW", "MU", "YE"), 30), **dict.fromkeys(("MT", "SC"), 31), "LC": 32, "RU": 33,
+}
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ACCENTED = ["".join(c for c in map(chr, range(*r)) if c.isalpha()) for r in ((0xC0, 0xDF), (0xDF, 0x100))]
 ALPHABETS = {c: alphabet for alphabet in (DIGITS, LOWER, UPPER, *ACCENTED) for c in alphabet}
@@ -128,27 +144,41 @@ def spread(digits: str, like: str) -> str:
     return re.sub(r"[0-9]", lambda _: next(it), like)
 
 
-def card(f: Feistel, v: str, back: bool) -> str | None:
+def is_card(v: str) -> bool:
     digits = re.sub(r"[^0-9]", "", v)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def card(f: Feistel, v: str, back: bool, fits=lambda new: True) -> str | None:
+    if not is_card(v):
         return None
+    digits = re.sub(r"[^0-9]", "", v)
     n = len(digits) - 1
-    same = lambda x: len(set(f"{x:0{n}d}" + luhn_digit(f"{x:0{n}d}"))) > 1
-    body = f"{f.walk(int(digits[:-1]), 10**n, 'card', same, back):0{n}d}"
-    return spread(body + luhn_digit(body), v)
+    whole = lambda x: f"{x:0{n}d}" + luhn_digit(f"{x:0{n}d}")
+    valid = lambda x: len(set(whole(x))) > 1 and fits(spread(whole(x), v))
+    return spread(whole(f.walk(int(digits[:-1]), 10**n, "card", valid, back)), v)
 
 
 def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
-def iban(f: Feistel, v: str, back: bool) -> str | None:
+def is_iban(v: str) -> bool:
     plain = v.replace(" ", "")
-    if iban_check(plain[:2], plain[4:]) != plain[2:4]:
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def iban(f: Feistel, v: str, back: bool, fits=lambda new: True) -> str | None:
+    if not is_iban(v):
         return None
-    rest = f.symbols(plain[4:], f"iban|{plain[:2]}", back)
-    it = iter(plain[:2] + iban_check(plain[:2], rest) + rest)
-    return "".join(" " if c == " " else next(it) for c in v)
+    plain = v.replace(" ", "")
+    rest = plain[4:]
+    while True:
+        rest = f.symbols(rest, f"iban|{plain[:2]}", back)
+        it = iter(plain[:2] + iban_check(plain[:2], rest) + rest)
+        new = "".join(" " if c == " " else next(it) for c in v)
+        if fits(new):
+            return new
 
 
 def phone(f: Feistel, v: str, back: bool) -> str | None:
@@ -207,6 +237,37 @@ def email(f: Feistel, v: str, back: bool) -> str | None:
 FORMATS = {"iban": iban, "date": date, "ssn": ssn, "ip": ip, "phone": phone, "card": card, "email": email}
 
 
+#: Kinds whose pattern may run on into what follows -> check of a value by more than its layout, if there is one.
+RUN_ON = {"card": is_card, "iban": is_iban, "phone": None}
+
+
+def ends(kind: str, v: str) -> list[int]:
+    """Where a value that ``v`` begins with may end, in the order to try; by layout only, so a pseudonym has the same."""
+    if kind not in RUN_ON:
+        return [len(v)]
+    borders = [len(v), *(i for i in range(len(v) - 1, 0, -1) if v[i - 1].isalnum() and not v[i].isalnum())]
+    if kind == "card":
+        layout = lambda i: tuple(map(len, re.split("[ -]", v[:i])))
+        usual = lambda i: layout(i) in CARD_LAYOUTS or (len(layout(i)) == 1 and i >= 13)
+    else:
+        usual = lambda i: kind == "iban" and len(v[:i].replace(" ", "")) == IBAN_LENGTHS.get(v[:2])
+    return sorted(borders, key=lambda i: not usual(i))
+
+
+def replace(f: Feistel, kind: str, v: str, back: bool) -> tuple[int, str] | None:
+    """(end, pseudonym) of the value that ``v`` begins with."""
+    tried: list[int] = []
+    for end in ends(kind, v):
+        if check := RUN_ON.get(kind):
+            new = FORMATS[kind](f, v[:end], back, lambda x, tail=v[end:]: not any(check((x + tail)[:e]) for e in tried))
+        else:
+            new = FORMATS[kind](f, v[:end], back)
+        if new is not None:
+            return end, new
+        tried.append(end)
+    return None
+
+
 def mask_text(f: Feistel, text: str, back: bool = False) -> tuple[str, list[str]]:
     """Text with pseudonyms, and the kinds found in order. ``back`` undoes it."""
     found: list[str] = []
@@ -215,11 +276,11 @@ def mask_text(f: Feistel, text: str, back: bool = False) -> tuple[str, list[str]
         first = next(k for k in FORMATS if m[k] is not None)
         for kind in (first, *(k for k in FORMATS if k != first)):  # a value that fails one check may pass another
             own = m if kind == first else one(kind).match(text, m.start())
-            new = FORMATS[kind](f, own[0], back) if own else None
+            new = replace(f, kind, own[0], back) if own else None
             if new is not None:
-                out += [text[at : m.start()], new]
+                out += [text[at : m.start()], new[1]]
                 found.append(kind)
-                at = own.end()
+                at = m.start() + new[0]
                 break
         else:  # go on behind its first run of letters or digits
             stop = re.compile(r"\w+|\W").match(text, m.start()).end()
