@@ -62,7 +62,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (lineage is cut, executors may be lost)."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` returned, once nothing will read them again."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def grams_of(text: Column, size: int) -> Column:
