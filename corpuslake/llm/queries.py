@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslake.llm import (
+    centroids,
     decontaminate,
     packing,
     pii,
@@ -15,6 +17,7 @@ from corpuslake.llm import (
     token_counts,
     toxicity,
     url_graph,
+    vafile,
 )
 
 
@@ -62,6 +65,14 @@ def op10_quality_rules(spark, sf_dir):
     return repetition.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op11_centroids(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_topk(spark, sf_dir):
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 #: A repeat of k words or more covers what the k-word windows found twice cover, and there is one of over k words if some
 #: (k + 1)-word window is found twice; so windows stand for the suffix array here.
 OP10_SQL = r"""
@@ -154,6 +165,49 @@ select page_id, host, path, rule,
 from ruled left join trust using (host) left join distrust using (host)
 """
 
+#: Vectors as lists of whole numbers.
+_LATTICE = """
+whole as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and of floored means, written out; exact sums are taken component by component."""
+    out = [
+        _LATTICE,
+        "kept as materialized (select row_number() over () as r, vec_id, v from whole where len(v) = 64)",
+        f"c0 as materialized (select row_number() over (order by h, v) - 1 as c, v from (select sha256('2:' || vec_id) as h, v from kept order by h, v limit {k}))",
+    ]
+    for i in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(p.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+        out.append(
+            f"a{i} as materialized (select r, any_value(vec_id) as vec_id, any_value(v) as v, min(struct_pack(d := d, c := c)) as best "
+            f"from (select p.r, p.vec_id, p.v, q.c, {far} as d from kept p cross join c{i} q) group by r)"
+        )
+        if i < rounds:
+            out.append(f"s{i} as (select c, j, floor(sum(x)::decimal(38, 0)::double / count(*))::bigint as m from (select best.c as c, unnest(v) as x, unnest(range(64)) as j from a{i}) group by c, j)")
+            out.append(f"m{i} as (select c, list(m order by j) as v from s{i} group by c)")
+            out.append(f"c{i + 1} as materialized (select o.c, coalesce(m.v, o.v) as v from c{i} o left join m{i} m using (c))")
+    return f"""
+with {", ".join(out)},
+one as (select best.c as c, sum(best.d)::bigint as s from a{rounds} group by all)
+select vec_id, best.c::integer as cluster, best.d as distance, one.s as cluster_inertia, (select sum(s) from one)::bigint as inertia,
+    sha256(array_to_string(q.v, ',')) as centroid_sha256
+from a{rounds} join one on one.c = best.c join c{rounds} q on q.c = best.c
+"""
+
+
+OP11_SQL = _lloyd_sql()
+
+OP13_SQL = f"""
+with {_LATTICE},
+numbered as (select row_number() over () as r, vec_id, v from whole),
+scored as (select q.r, q.vec_id as query_id, c.vec_id, c.r as other, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::bigint as score
+    from numbered q join numbered c on len(q.v) = len(c.v) and q.r <> c.r where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id nulls last, other) as rank from scored)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_graph": op2_url_graph,
@@ -165,5 +219,13 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroids": op11_centroids,
+    "op13_topk": op13_topk,
+}
+ORACLES = {
+    "op2_url_graph": OP2_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op10_quality_rules": OP10_SQL,
+    "op11_centroids": OP11_SQL,
+    "op13_topk": OP13_SQL,
 }
-ORACLES = {"op2_url_graph": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL}
