@@ -16,6 +16,7 @@ from corpuslake.llm import (
     simhash,
     token_counts,
     toxicity,
+    turns,
     url_graph,
     vafile,
 )
@@ -69,6 +70,11 @@ def op11_centroids(spark, sf_dir):
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_turns(spark, sf_dir):
+    rows = turns.damaged(table(spark, sf_dir, "conversations"))
+    return turns.report(rows, present=F.col("present"))
+
+
 def op13_topk(spark, sf_dir):
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -199,6 +205,53 @@ from a{rounds} join one on one.c = best.c join c{rounds} q on q.c = best.c
 
 OP11_SQL = _lloyd_sql()
 
+#: crc32 by its table; then the dynamic program over (row, state), with the edits and lines so far in place of backpointers.
+OP12_SQL = r"""
+with recursive
+table_256 as (select list(c order by n) as tab from (select n, list_reduce(list_prepend(n, range(8)),
+    lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c from (select unnest(range(256)) as n))),
+spaced as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+drawn as (select *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 as draw from spaced, table_256),
+damaged as (select conv_id, turn, unnest(case when draw = 0 then [] when draw = 3 then [1, 2] else [1] end) as copy,
+    case when draw = 4 then 'user' else role end as role,
+    case when draw = 1 then '' when draw = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from drawn),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from damaged),
+faulty as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+    when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault,
+    lag(role) over (partition by conv_id order by i) as before from ordered),
+lengths as (select conv_id, max(i) as n from faulty group by conv_id),
+moves(here, after, name) as (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+added(here, m, q, price, edit, lines) as (
+    select here, 0, here, 0, '', ''::varchar from moves
+    union all select a.here, 1, a.after, 3, 'I', a.name || ':' || chr(10) from moves a
+    union all select a.here, 2, b.after, 6, 'II', a.name || ':' || chr(10) || b.name || ':' || chr(10) from moves a join moves b on b.here = a.after),
+walk as (
+    select conv_id, 0::bigint as i, 0 as q, {'cost': 0, 'audit': '', 'lines': ''} as best from lengths
+    union all
+    select conv_id, i, q, min(best) from (
+        select f.conv_id, f.i, case own when 'D' then a.q when 'R' then v.after else case left(f.role, 1) when 's' then 1 when 'u' then 2 else 3 end end as q,
+            {'cost': w.best.cost + a.price + case own when 'D' then 4 else (case own when 'R' then 3 else 0 end) + (case f.fault when 'truncated' then 3 else 0 end) end,
+             'audit': w.best.audit || a.edit || own,
+             'lines': w.best.lines || a.lines || case own when 'D' then '' when 'R' then v.name || ':' || f.text || chr(10) else f.role || ':' || f.text || chr(10) end} as best
+        from walk w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1
+            join added a on a.here = w.q join moves v on v.here = a.q, (values ('D'), ('R'), ('K')) as e(own)
+        where own = 'D' or f.fault not in ('blank', 'duplicate') and (own = 'R' or left(f.role, 1) = 's' and a.q = 0
+            or left(f.role, 1) = 'u' and a.q <> 2 or left(f.role, 1) = 'a' and a.q = 2)) group by conv_id, i, q),
+ended as (select w.conv_id, min({'cost': w.best.cost + a.price, 'audit': w.best.audit || a.edit, 'lines': w.best.lines || a.lines}) as best
+    from walk w join lengths l on l.conv_id is not distinct from w.conv_id and l.n = w.i join added a on a.here = w.q where a.q in (0, 3) group by w.conv_id),
+counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal from faulty group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit,
+    sha256(coalesce(left(best.lines, greatest(length(best.lines) - 1, 0)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted c on c.conv_id is not distinct from o.conv_id
+    left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
 OP13_SQL = f"""
 with {_LATTICE},
 numbered as (select row_number() over () as r, vec_id, v from whole),
@@ -220,6 +273,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
     "op11_centroids": op11_centroids,
+    "op12_turns": op12_turns,
     "op13_topk": op13_topk,
 }
 ORACLES = {
@@ -227,5 +281,6 @@ ORACLES = {
     "op6_decontamination": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
     "op11_centroids": OP11_SQL,
+    "op12_turns": OP12_SQL,
     "op13_topk": OP13_SQL,
 }
