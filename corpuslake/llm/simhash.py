@@ -62,7 +62,11 @@ def simhash(text: bytes | None, size: int) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - size + 1))
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - size + 1)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a (signed) long."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)

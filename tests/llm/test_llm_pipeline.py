@@ -8,12 +8,11 @@ import pytest
 from test_llm_decontaminate import brute as overlap
 from test_llm_packing import check_layout
 from test_llm_repetition import brute as repeated
-from test_llm_simhash import brute_classes
+from test_llm_similar import least_of_classes
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from corpuslake.llm import packing, pii
-from corpuslake.llm.simhash import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,14 +27,12 @@ def good(text):
 def test_pipeline_equals_brute_force(spark):
     from tokenizers import Tokenizer
 
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r["text"]) < 6000]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = [(i, t) for i, t in docs if good(t)]
-    classes = brute_classes([simhash(t.encode(), 5) % 2**64 for _, t in kept], 7)
-    least = {}
-    for (i, _), c in zip(kept, classes, strict=True):
-        least[c] = min(i, least.get(c, i))
-    kept = [(i, t) for i, t in kept if i in set(least.values())]
+    least = set(least_of_classes(kept))
+    assert len(least) < len(kept)
+    kept = [(i, t) for i, t in kept if i in least]
     kept = [(i, t) for i, t in kept if not overlap(t, items)[-1]]
     f = pii.Feistel(pii.DEMO_KEY)
     kept = [(i, pii.mask_text(f, t)[0]) for i, t in kept]
@@ -45,9 +42,7 @@ def test_pipeline_equals_brute_force(spark):
         data = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
         expected += [(i, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(packing.cut(len(data) // 4, 2048))]
     assert 0 < len(kept) < len(docs)
-    small = {i for i, _ in docs}
     frame = spark.read.parquet(f"{SF}/documents.parquet")
-    frame = frame.where(frame["doc_id"].isin(sorted(small)))
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SF)
     rows = frame.collect()
