@@ -1,3 +1,4 @@
+import functools
 import random
 from fractions import Fraction
 
@@ -7,6 +8,7 @@ from corpuslake.llm import similar as N
 from corpuslake.llm.simhash import simhash
 
 
+@functools.cache
 def shingle_set(text):
     w = text.encode().lower().split()
     return frozenset([b" ".join(w)] if 0 < len(w) < 5 else (b" ".join(w[i : i + 5]) for i in range(len(w) - 4)))
