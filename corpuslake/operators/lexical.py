@@ -176,8 +176,9 @@ def bm25(
     partial: bool = False,
     id_cols: list[str] | None = None,
     small: bool | None = None,
+    keep: DataFrame | None = None,
 ) -> DataFrame:
-    """BM25 top ``k`` per query: (id columns, doc_id, score, rank).
+    """BM25 top ``k`` per query: (id columns, doc_id, score, rank). ``keep``: the only ids that count.
 
     Query tokens count with repetition. With ``partial`` a query term absent
     from a document still counts once if some document token contains it or is
@@ -185,6 +186,11 @@ def bm25(
     the term.
     """
     id_cols = id_cols or ["query_id"]
+    if hasattr(index, "search"):  # a stored index in blocks
+        most = k if isinstance(k, int) else int(k.agg(F.max("fetch_k")).first()[0] or 1)
+        return cut(index.search(queries, most, partial, id_cols, keep), id_cols, k, [F.round("score", 9).desc(), F.col("doc_id")])
+    if keep is not None:
+        index = KeywordIndex(index.postings.join(keep.select("doc_id").distinct(), "doc_id", "left_semi"))
     wanted = query_terms(queries, id_cols)
     # one check bounds every table derived from the query terms below
     small = is_small(wanted) if small is None else small
@@ -227,10 +233,12 @@ def cut(scored: DataFrame, id_cols: list[str], k: int | DataFrame, order: list[C
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Index only what the queries ask for, then rank: one pass over the corpus."""
-    wanted = query_terms(queries, ["query_id"])
-    small = is_small(wanted)
-    index = build_index(docs, vocabulary=wanted.select("term").distinct(), small=small)
-    return bm25(index.materialised(), queries, k, small=small)
+    from corpuslake.operators.blocks import ad_hoc
+
+    index = ad_hoc(docs, queries)
+    if index is None:
+        index = build_index(docs, vocabulary=query_terms(queries, ["query_id"]).select("term").distinct()).materialised()
+    return bm25(index, queries, k)
 
 
 def partial_pairs(index: KeywordIndex, terms_in_queries: DataFrame) -> DataFrame:
@@ -256,7 +264,7 @@ def _partial_postings(index: KeywordIndex, terms_in_queries: DataFrame) -> DataF
 
 
 def bm25_multi(
-    index: KeywordIndex, variants: DataFrame, docs: DataFrame, k: int | DataFrame, partial: bool = False
+    index: KeywordIndex, variants: DataFrame, docs: DataFrame, k: int | DataFrame, partial: bool = False, keep: DataFrame | None = None
 ) -> DataFrame:
     """Several variants per query merged by best score per distinct text.
 
@@ -265,7 +273,7 @@ def bm25_multi(
     # variants of one text are searched once, to the largest depth, and dealt to their queries
     forms = materialise(variants.select("text").distinct().withColumn("form", F.monotonically_increasing_id()), "forms")
     most = k if isinstance(k, int) else int(k.agg(F.max("fetch_k")).first()[0] or 1)
-    found = bm25(index, forms, most, partial, id_cols=["form"])
+    found = bm25(index, forms, most, partial, id_cols=["form"], keep=keep)
     asked = variants.join(forms, "text").select("query_id", "ord", "form")
     if not isinstance(k, int):
         asked = asked.join(k.select("query_id", "fetch_k"), "query_id")

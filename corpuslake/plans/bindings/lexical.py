@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
 from corpuslake.functions.scale import materialise
+from corpuslake.operators import blocks
 from corpuslake.operators import lexical as lx
-from corpuslake.plans.bindings.inputs import CORPUS, QUERIES_CTE, corpus, queries, sql_list, sql_str
+from corpuslake.plans.bindings.inputs import CORPUS, QUERIES_CTE, corpus, queries, sql_list, sql_str, table
 
 # ---- SQL building blocks (the driver text holds no CJK, see FIXTURES.md)
 
@@ -117,8 +118,7 @@ def variants(spark, sf):
 
 
 def index_for(spark, sf, query_table):
-    vocab = query_table.select(F.explode(lx.index_tokens("text")).alias("term")).distinct()
-    return lx.build_index(corpus(spark, sf), vocabulary=vocab).materialised()
+    return blocks.ad_hoc(corpus(spark, sf), query_table)
 
 
 def hits(spark, sf, k=20):
@@ -156,8 +156,34 @@ def bm25_topk(spark, sf):
 
 def bm25_partial(spark, sf):
     q = queries(spark, sf)
-    ix = lx.build_index(corpus(spark, sf)).materialised()
-    return _scored(lx.bm25(ix, q, 10, partial=True))
+    return _scored(lx.bm25(blocks.build(corpus(spark, sf)), q, 10, partial=True))
+
+
+def _stages(spark, sf):
+    """The corpus in three deliveries: a first version of two thirds, all with a mark in the text; the rest; and the real texts in place of the marked."""
+    docs = corpus(spark, sf).select("doc_id", "text", "source")
+    marked = docs.withColumn("text", F.concat("text", F.lit(" earlier version of this file")))
+    return marked.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")
+
+
+def refreshed_index(spark, sf):
+    """An index that followed the deliveries by delta segments, and forgot the extra documents of the first one."""
+    first, second, third = _stages(spark, sf)
+    extra = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text", F.lit("bench").alias("source"))
+    index = blocks.build(first.union(extra))
+    return index.refresh(second).refresh(third, deletes=extra.select("doc_id"))
+
+
+def bm25_refreshed(spark, sf):
+    """Search over the segments: as over an index built anew."""
+    return _scored(lx.bm25(refreshed_index(spark, sf), queries(spark, sf), 10))
+
+
+def statistics_refreshed(spark, sf):
+    """Statistics over the segments, and after the merge: both are those of an index built anew."""
+    index = refreshed_index(spark, sf)
+    both = index.terms.withColumn("state", F.lit("segments")).unionByName(index.merge().terms.withColumn("state", F.lit("merged")))
+    return both.select("state", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_multi(spark, sf):
@@ -206,6 +232,8 @@ QUERIES = {
     "l2_term_statistics": term_stats,
     "l2_document_lengths": doc_lengths,
     "l3_bm25_topk": bm25_topk,
+    "l2_refreshed_statistics": statistics_refreshed,
+    "l3_bm25_refreshed": bm25_refreshed,
     "l4_bm25_partial": bm25_partial,
     "l5_bm25_multi": bm25_multi,
     "l6_expand_keywords": keyword_expansion,
@@ -222,6 +250,9 @@ ORACLES = {
     "l2_document_lengths": f"with {INDEX} select doc_id, dl as doc_len, round(dl / avg_len, 6) as rel_len from doc_len, stats",
     "l3_bm25_topk": f"with {INDEX}, {bm25_sql('h', 'queries', 'query_id', 10)} "
     "select query_id, doc_id, round(score, 5) as score, rank from h",
+    "l2_refreshed_statistics": f"with {INDEX} select unnest(['segments', 'merged']) as state, term, df, round(idf, 6) as idf from idf",
+    "l3_bm25_refreshed": f"with {INDEX}, {bm25_sql('h', 'queries', 'query_id', 10)} "
+    "select query_id, doc_id, round(score, 5) as score, rank from h",
     "l4_bm25_partial": f"with {INDEX}, {bm25_sql('h', 'queries', 'query_id', 10, partial=True)} "
     "select query_id, doc_id, round(score, 5) as score, rank from h",
     "l5_bm25_multi": f"""with {INDEX}, {VARIANTS_SQL}, {bm25_sql('h', 'variants', 'query_id, ord', 10)},

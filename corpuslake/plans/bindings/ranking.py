@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import materialise, shared_dir
+from corpuslake.functions.scale import materialise
+from corpuslake.operators import blocks
 from corpuslake.operators import lexical as lx
 from corpuslake.operators import ranking as rk
 from corpuslake.plans.bindings.inputs import (
@@ -196,7 +197,7 @@ def search_stored(spark, sf):
     number = F.regexp_extract("source", r"/([0-9]+)\.txt$", 1).cast("long") * 1_000_000 + F.col("chunk_index")
     rows = chunks.join(tags, "source").select(number.alias("doc_id"), "text", "source", "embedding", "tags")
     rows = materialise(rows, "chunks")
-    index = lx.build_index(rows).save(f"{shared_dir(spark)}/index")
+    index = blocks.build(rows)
     cfg = SearchConfig(partial=False, tags=("fr", "de"))
     return search(rows, queries(spark, sf), cfg, index=index).withColumn("score", F.round("score", 6))
 

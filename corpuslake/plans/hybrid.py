@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
 from corpuslake.functions.scale import materialise
+from corpuslake.operators import blocks
 from corpuslake.operators import lexical as lx
 from corpuslake.operators import ranking as rk
 from corpuslake.plans.search import SearchConfig, search
@@ -21,7 +22,7 @@ def hybrid_search(
     cfg: SearchConfig = SearchConfig(),
     min_score: float = 0.0,
     k: int = fv.RERANK_TOP_K,
-    index: lx.KeywordIndex | None = None,
+    index: blocks.BlockIndex | lx.KeywordIndex | None = None,
     scorer: Column | None = None,
     rules=None,
     suffixes=None,
@@ -38,13 +39,11 @@ def hybrid_search(
     asked = forms.select(F.col("form").alias("query_id"), F.col("variant").alias("text"))
     if cfg.tags:
         docs = docs.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in cfg.tags])))
-        if index is not None:
-            index = lx.KeywordIndex(index.postings.join(docs.select("doc_id"), "doc_id", "left_semi"))
-        cfg = replace(cfg, tags=())
+    keep = docs.select("doc_id") if cfg.tags and index is not None else None
     if index is None:
-        index = lx.build_index(docs).materialised()
+        index, cfg = blocks.build(docs), replace(cfg, tags=())
     found = search(docs, asked, cfg, index=index).select("query_id", F.lit("vector").alias("kind"), "doc_id", "rank")
-    words = lx.bm25(index, asked, limit).select("query_id", F.lit("keyword").alias("kind"), "doc_id", "rank")
+    words = lx.bm25(index, asked, limit, keep=keep).select("query_id", F.lit("keyword").alias("kind"), "doc_id", "rank")
     lists = found.unionByName(words).withColumnRenamed("query_id", "form").join(forms.drop("variant"), "form")
     lists = lists.select("query_id", "kind", F.col("ord").alias("variant"), "doc_id", "rank")
     fused = materialise(rk.hybrid(lists, docs, limit, cfg.rrf_k, min_score), "fused")

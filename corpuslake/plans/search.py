@@ -11,6 +11,7 @@ from corpuslake.functions import fixed_values as fv
 from corpuslake.functions.scale import broadcast_if_small, materialise
 from corpuslake.functions.text import norm_path
 from corpuslake.functions.vectors import cosine
+from corpuslake.operators import blocks
 from corpuslake.operators import lexical as lx
 from corpuslake.operators import ranking as rk
 from corpuslake.operators import vectors as vx
@@ -34,7 +35,7 @@ def search(
     queries: DataFrame,
     cfg: SearchConfig = SearchConfig(),
     scopes: DataFrame | None = None,
-    index: lx.KeywordIndex | None = None,
+    index: blocks.BlockIndex | lx.KeywordIndex | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, score, rank) for a table of queries, min(k, adaptive k) rows each at most.
 
@@ -48,12 +49,12 @@ def search(
     """
     if cfg.tags:
         docs = docs.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in cfg.tags])))
-        if index is not None:
-            index = lx.KeywordIndex(index.postings.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    # a stored index covers all documents: those with the tags are marked shard by shard after its terms are picked
+    keep = docs.select("doc_id") if cfg.tags and index is not None else None
     plan = _plan(queries, cfg, scopes)
     wide = plan.where("is_global").select("query_id", "text", "fetch_k")
     kw = materialise(lx.expand_keywords(wide), "keywords")
-    lists = _bm25_list(docs, wide, kw, cfg, index).unionByName(_name_list(docs, wide, kw))
+    lists = _bm25_list(docs, wide, kw, cfg, index, keep).unionByName(_name_list(docs, wide, kw))
     if cfg.vector:
         lists = lists.unionByName(_vector_list(docs, plan, cfg, scopes))
     lists = materialise(lists, "lists")
@@ -78,7 +79,7 @@ def _plan(queries, cfg, scopes) -> DataFrame:
     return materialise(plan, "plan")
 
 
-def _bm25_list(docs, queries, kw, cfg, index) -> DataFrame:
+def _bm25_list(docs, queries, kw, cfg, index, keep) -> DataFrame:
     if cfg.max_keywords is not None:
         kw = kw.where(F.col("ord") < cfg.max_keywords)
     variants = materialise(
@@ -90,10 +91,9 @@ def _bm25_list(docs, queries, kw, cfg, index) -> DataFrame:
         "variants",
     )
     if index is None:
-        vocab = None if cfg.partial else lx.query_terms(variants, ["query_id", "ord"]).select("term").distinct()
-        index = lx.build_index(docs, vocabulary=vocab).materialised()
+        index = blocks.build(docs) if cfg.partial else blocks.ad_hoc(docs, variants) or blocks.build(docs)
     depth = queries.select("query_id", "fetch_k")
-    hits = lx.bm25_multi(index, variants, docs, depth, cfg.partial)
+    hits = lx.bm25_multi(index, variants, docs, depth, cfg.partial, keep)
     return hits.select(
         "query_id", F.lit("bm25").alias("list"), "doc_id", "rank", (1 / (F.col("score") + 1)).alias("distance")
     )
