@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.scale import broadcast_if_small, materialise
-from corpuslake.sources.versions import publish, read_current
+from corpuslake.sources.versions import bucket_of, current_version, publish_buckets, read_buckets
 from corpuslake.functions.text import blank_to_null, norm_path, trim_ws
 from corpuslake.sources.tables import PREVIEW_CHARS
 
@@ -92,6 +92,13 @@ def _chunk_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _effective(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The plan without URL records that have no fetched page: nothing would replace their chunks."""
+    found = inventory.select(norm_path("path").alias("norm"), F.lit(True).alias("_found")).distinct()
+    idle = (F.col("reason") == "url") & F.col("_found").isNull()
+    return plan.join(found, "norm", "left").withColumn("action", F.when(idle, "skip").otherwise(F.col("action"))).drop("_found")
+
+
 def refresh(
     chunks: DataFrame,
     records: DataFrame,
@@ -112,14 +119,7 @@ def refresh(
     plan = plan_changes(records, inventory, mode)
     if paths is not None:
         plan = plan.join(broadcast_if_small(paths.select(norm_path("path").alias("norm")).distinct()), "norm", "left_semi")
-    # a URL record without a fetched page has nothing to replace its chunks
-    found = inventory.select(norm_path("path").alias("norm"), F.lit(True).alias("_found")).distinct()
-    plan = (
-        plan.join(found, "norm", "left")
-        .withColumn("action", F.when((F.col("reason") == "url") & F.col("_found").isNull(), "skip").otherwise(F.col("action")))
-        .drop("_found")
-    )
-    plan = materialise(plan, "plan")
+    plan = materialise(_effective(plan, inventory), "plan")
     todo = plan.where("action in ('update', 'new')").select("norm")
     gone = plan.where("action in ('update', 'missing')").select("norm")
     work = inventory.withColumn("norm", norm_path("path")).join(todo, "norm", "left_semi")
@@ -156,12 +156,43 @@ def refresh(
     return kept.unionByName(added), recs
 
 
-def refresh_stored(root: str, inventory: DataFrame, chunk_fn, mode: str = "smart", paths: DataFrame | None = None) -> int:
-    """Refresh the stored tables ``chunks`` and ``records`` below ``root``: a new version is written, then switched to."""
+#: Buckets of the stored catalog: some ten thousand files each is a good size.
+BUCKETS = 64
+
+
+def store(chunks: DataFrame, records: DataFrame, root: str, buckets: int = BUCKETS) -> int:
+    """Write chunks and records below ``root`` in buckets of the path, as the first version of a catalog."""
+    key = norm_path("path")
+    return publish_buckets({"chunks": (chunks, key), "records": (records, key)}, root, buckets)
+
+
+def stored(spark, root: str, name: str, only=None) -> DataFrame:
+    """Table ``chunks`` or ``records`` of a stored catalog."""
+    return read_buckets(spark, root, name, only)
+
+
+def refresh_stored(
+    root: str, inventory: DataFrame, chunk_fn, mode: str = "smart", paths: DataFrame | None = None, buckets: int = BUCKETS
+) -> tuple[int, list[int]]:
+    """Refresh a stored catalog: (version, touched buckets). Its cost follows the change.
+
+    Records are compared with the inventory; only buckets that hold a changed, new or missing file are read and written again, the others
+    are shared with the version before. ``buckets`` must be what the catalog was stored with. No change makes no version.
+    """
     spark = inventory.sparkSession
-    chunks, records = (read_current(spark, root, name) for name in ("chunks", "records"))
-    new_chunks, new_records = refresh(chunks, records, inventory, chunk_fn, mode, paths)
-    return publish({"chunks": new_chunks, "records": new_records}, root)
+    base = current_version(spark, root)
+    plan = plan_changes(read_buckets(spark, root, "records", version=base), inventory, mode)
+    if paths is not None:
+        plan = plan.join(broadcast_if_small(paths.select(norm_path("path").alias("norm")).distinct()), "norm", "left_semi")
+    moved = _effective(plan, inventory).where("action <> 'skip'").select(bucket_of(F.col("norm"), buckets).alias("b")).distinct()
+    touched = sorted(r["b"] for r in moved.collect())  # at most ``buckets`` numbers
+    if not touched:
+        return base, touched
+    chunks, records = (read_buckets(spark, root, name, touched, base) for name in ("chunks", "records"))
+    found = inventory.where(bucket_of(norm_path("path"), buckets).isin(touched))
+    new_chunks, new_records = refresh(chunks, records, found, chunk_fn, mode, paths)
+    key = norm_path("path")
+    return publish_buckets({"chunks": (new_chunks, key), "records": (new_records, key)}, root, buckets, touched, base), touched
 
 
 def rebuild(records: DataFrame, corpus: DataFrame, chunk_fn) -> tuple[DataFrame, DataFrame, DataFrame]:

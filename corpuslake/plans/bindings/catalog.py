@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslake.sources.versions import publish, read_current
 from corpuslake.functions.scale import materialise, shared_dir
 from corpuslake.operators import catalog as ct
 from corpuslake.operators import chunking as ck
@@ -87,12 +86,23 @@ def refresh_records(spark, sf):
 def refresh_stored(spark, sf):
     """The refresh as a write: tables are published, refreshed into a new version, and read back."""
     root = f"{shared_dir(spark)}/catalog"
-    publish({"chunks": chunks(spark, sf), "records": records(spark, sf)}, root)
+    ct.store(chunks(spark, sf), records(spark, sf), root)
     ct.refresh_stored(root, inventory(spark, sf), fixed_chunks)
-    r = read_current(spark, root, "records")
+    r = ct.stored(spark, root, "records")
     return r.select("path", "chunk_count", "size", "updated_at", F.md5("preview").alias("preview"), F.array_join("tags", "|").alias("tags"), "source_type")
 
 
+def refresh_stored_chunks(spark, sf):
+    """The chunks after two stored refreshes: one of a few files, then the rest."""
+    root = f"{shared_dir(spark)}/catalog"
+    ct.store(chunks(spark, sf), records(spark, sf), root)
+    some = files(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left_semi").select("path")
+    ct.refresh_stored(root, inventory(spark, sf), fixed_chunks, paths=some)
+    ct.refresh_stored(root, inventory(spark, sf), fixed_chunks)
+    c = ct.stored(spark, root, "chunks")
+    return c.select("path", "chunk_no", F.md5("content").alias("content"))
+
+
 def refresh_paths(spark, sf):
     """Refresh limited to the files of the labelled documents."""
     p = files(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left_semi").select("path")
@@ -199,6 +209,7 @@ QUERIES = {
     "k4_refresh_records": refresh_records,
     "k4_refresh_paths": refresh_paths,
     "k4_refresh_stored": refresh_stored,
+    "k4_refresh_stored_chunks": refresh_stored_chunks,
     "k5_rebuild": rebuild,
     "k5_rebuild_counts": rebuild_counts,
     "k6_index_stats": stats,
@@ -242,6 +253,9 @@ ORACLES = {
         case when action = 'skip' then r_size else i_size end as size, case when action = 'skip' then updated_at else mtime end as updated_at,
         md5(case when action = 'skip' then '' else substr(text, 1, 160) end) as preview, coalesce(array_to_string(tags, '|'), '') as tags, coalesce(source_type, 'file') as source_type
       from act where action <> 'missing'""",
+    "k4_refresh_stored_chunks": f"""{PLANNED}, n as (select i_path as path, text, unnest(range(cast(ceil(length(text) / {SIZE}) as bigint))) as i from act where action in ('new', 'update'))
+      select path, chunk_no, md5(content) as content from chunks where lower(path) not in (select norm from act where action in ('update', 'missing'))
+      union all select path, cast(i as integer), md5(substr(text, i * {SIZE} + 1, {SIZE})) from n""",
     "k4_refresh_paths": f"""{BASE}, {FAST}, lim as (select lower(path) as norm from files where doc_id in (select doc_id from labels)),
       act as (select *, case when norm in (select norm from lim) and reason <> 'url' then {ACTION} else 'skip' end as action from plan where r_path is not null or norm in (select norm from lim))
       select path, case when action = 'skip' then chunk_count else cast(ceil(length(text) / {SIZE}) as bigint) end as chunk_count,

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpuslake.functions.scale import discard, materialise
 from corpuslake.functions.text import norm_path
-from corpuslake.sources.versions import current_version, publish, read_current
+from corpuslake.sources.versions import bucket_of, current_version, publish, publish_buckets, read_buckets, read_current
 
 
 def stream_documents(spark: SparkSession, folder: str, schema, pattern: str | None = None) -> DataFrame:
@@ -107,6 +112,88 @@ def stream_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+#: Buckets of the keyed table of windows.
+WINDOW_BUCKETS = 32
+
+
+def run_to_windows(stream: DataFrame, root: str, checkpoint: str, buckets: int = WINDOW_BUCKETS):
+    """Keep a table of all windows, open ones included, in step with a metric stream. Returns the streaming query.
+
+    In update mode every batch gives the windows it changed, with their whole aggregates; these replace the rows of the same
+    start and name. Only buckets of changed windows are written, as a new version (``current_windows`` reads the last), so a
+    batch that is repeated after a failure changes nothing, and readers never see half a batch.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        changed = materialise(batch, "changed")
+        at = bucket_of(F.col("start"), buckets)
+        touched = sorted(r["b"] for r in changed.select(at.alias("b")).distinct().collect())  # at most ``buckets``
+        if not touched:
+            return
+        base = current_version(spark, root)
+        rows = changed
+        if base:
+            old = read_buckets(spark, root, "windows", touched, base)
+            rows = changed.unionByName(old.join(changed.select("start", "name"), ["start", "name"], "left_anti").select(changed.columns))
+        publish_buckets({"windows": (rows, F.col("start"))}, root, buckets, touched, base)
+        discard(changed)
+
+    return (
+        stream.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def current_windows(spark: SparkSession, root: str) -> DataFrame:
+    """The table that ``run_to_windows`` keeps."""
+    return read_buckets(spark, root, "windows")
+
+
+PAIRED = "event_id long, name string, duration double"
+PAIR_STATE = "start long, end long"
+
+
+def stream_pairs(events: DataFrame, patience: str = LATENESS) -> DataFrame:
+    """(event_id, name, duration in ms) of a stream of starts and ends (event_id, name, phase, ts), one row per completed event.
+
+    The state of an event holds its first start and last end until both are there; then it gives its row and is done. A start or
+    end without the other is dropped by a timer when the watermark has passed its time by ``patience``, so the state
+    stays bounded by what is open. A pair that comes within one batch never waits. Like the batch form it needs ``start`` and
+    ``end`` rows; other phases are ignored.
+    """
+    wait = _milliseconds(patience)
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, end = state.get if state.exists else (None, None)
+        latest = 0
+        for rows in batches:
+            at = rows["us"].to_numpy()
+            latest = max(latest, int(at.max()))
+            for phase, us in zip(rows["phase"], at.tolist(), strict=True):
+                if phase == "start":
+                    start = us if start is None else min(start, us)
+                elif phase == "end":
+                    end = us if end is None else max(end, us)
+        if start is not None and end is not None:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"event_id": [key[0]], "name": [key[1]], "duration": [(end - start) / 1000]})
+        elif start is not None or end is not None:
+            state.update((start, end))
+            state.setTimeoutTimestamp(max(latest // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    marked = events.withWatermark("ts", patience).where(F.col("phase").isin("start", "end")).withColumn("us", F.unix_micros("ts"))
+    return marked.groupBy("event_id", "name").applyInPandasWithState(step, PAIRED, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _milliseconds(interval: str) -> int:
+    number, unit = interval.split()
+    return int(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Drain a stream into Parquet (append mode)."""
     query = (
@@ -114,14 +201,3 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-
-
-def complete_metrics(written: DataFrame, events: DataFrame) -> DataFrame:
-    """The written windows, and those still open when the stream was drained.
-
-    ``written`` is the table of ``run_to_table``, ``events`` the same source as a batch
-    (name, duration, ts). A window stays open until the watermark has passed its
-    end; its rows are what has come so far, and will be replaced when it closes.
-    """
-    open_ = stream_metrics(events).join(written.select("start", "name"), ["start", "name"], "left_anti")
-    return written.unionByName(open_.select(written.columns))
