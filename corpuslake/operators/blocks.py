@@ -14,7 +14,7 @@ refreshes scores as over an index that was built anew, and ``merge`` makes one s
 A search deals the blocks of its terms by shard. In a shard a query's terms are ordered by their bounds; documents that occur only in
 terms whose bounds together stay below the k-th best score known cannot be among the first k, so these terms are
 looked up for candidates only, and a shard or block that stays below it altogether is not decoded. The
-score to beat comes from a search over some shards first, and rises within a task. Results do not depend on it.
+score to beat comes from a first search for each query's rarest terms, and rises within a task. Results do not depend on it.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from corpuslake.sources.versions import current_version, publish, read_current
 
 #: Documents of a shard; rows of query terms, and pairs of query term and index term, of one pass.
 SHARD, ASKED, PAIRS = 2048, 200_000, 8_000_000
-#: One shard in so many is searched first, for a score to beat.
+#: From so many shards on, the rarest terms are searched first, for a score to beat.
 SEED = 16
 #: Scores are compared to nine places, so bounds are widened by this.
 SLACK = 1e-7
@@ -171,7 +171,7 @@ class BlockIndex:
     @property
     def stats(self) -> DataFrame:
         """One row: n_docs, avg_len."""
-        total = self.table("stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("len"), F.sum("shards").alias("shards"))
+        total = self.table("stats").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("n_docs", "n_docs"), ("total_len", "len"), ("shards", "shards"))])
         return total.select("n_docs", (F.col("len") / F.greatest("n_docs", F.lit(1))).alias("avg_len"), "shards")
 
     @property
@@ -299,7 +299,7 @@ class BlockIndex:
         query_terms = np.unique(asked["term"].to_numpy(dtype=object)) if len(asked) else np.zeros(0, object)
         terms = self.spark.createDataFrame([(t,) for t in query_terms], "term string")
         small = is_small(terms)
-        mine, about = None, self.stats.first()
+        mine, about, partial_asked = None, self.stats.first(), pairs is not None
         if pairs is not None:
             mine = pairs.join(hint_small(terms.withColumnRenamed("term", "qterm"), small), "qterm", "left_semi").toArrow()  # about PAIRS rows
             matched = materialise(pairs.select("term").distinct().union(terms).distinct(), "matched")
@@ -317,21 +317,25 @@ class BlockIndex:
             known = self.table("terms").join(hint_small(terms, small), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").collect()
         df = {r["term"]: r["df"] for r in known}
         idf = np.array([np.log((n_docs - df[t] + 0.5) / (df[t] + 0.5) + 1) if t in df else np.log(n_docs + 1) for t in query_terms])
-        code = np.searchsorted(query_terms, asked["term"].to_numpy(dtype=object)) if len(asked) else np.zeros(0, np.int64)
-        order = np.argsort(asked["q"].to_numpy(), kind="stable")
-        plan = {
-            "terms": query_terms.tolist(), "avg": avg_len or 1.0, "k": k, "pairs": _coded(mine, query_terms), "id_type": id_type, "kept": keep is not None,
-            "offsets": np.r_[0, np.cumsum(np.bincount(asked["q"], minlength=len(ids)))].astype(np.int64),
-            "codes": code[order], "weights": asked["qtf"].to_numpy(dtype=float)[order] * (idf[code[order]] if len(code) else 0.0),
-        }
+        asked["code"] = np.searchsorted(query_terms, asked["term"].to_numpy(dtype=object)) if len(asked) else np.zeros(0, np.int64)
+        asked["weight"] = asked["qtf"].to_numpy(dtype=float) * idf[asked["code"].to_numpy(dtype=np.int64)]
+        asked["df"] = [df.get(t, 0) for t in asked["term"]]
+        plan = {"terms": query_terms.tolist(), "avg": avg_len or 1.0, "k": k, "pairs": _coded(mine, query_terms), "id_type": id_type, "kept": keep is not None}
         schema = f"q int, doc_id {id_type}, score double"
         least = np.zeros(len(ids))
-        if about["shards"] >= 2 * SEED:
-            first = given.where(F.pmod(F.xxhash64("segment", "shard"), F.lit(SEED)) == 0)
-            best = lx.top_k(first.mapInArrow(_score(self.spark, plan, least), schema).where("q >= 0"), ["q"], k, [F.desc("score")])
-            for r in best.groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect():
-                least[r["q"]] = r["least"] - SLACK
-        found = given.mapInArrow(_score(self.spark, plan, least), schema).where("q >= 0")
+        if about["shards"] >= SEED and not partial_asked:
+            # a first search for some of the rarest terms: what it finds is scored in part, so the k-th score is a bound from below
+            rare = asked[asked["df"] > 0].sort_values(["q", "df", "code"])
+            before = rare.groupby("q")["df"].cumsum() - rare["df"]
+            several = rare.groupby("q")["code"].transform("size") > 1
+            rare = rare[(before < 2 * k) & several]
+            if len(rare):
+                few = self.spark.createDataFrame([(t,) for t in sorted(set(rare["term"]))], "term string")
+                first = given.join(F.broadcast(few.union(self.spark.createDataFrame([("",)], "term string"))), "term", "left_semi").repartition("segment", "shard").sortWithinPartitions("segment", "shard", "kind") if keep is not None else self._input(few, True, None)
+                best = first.mapInArrow(_score(self.spark, plan | _asked(rare, len(ids)), least), schema).where("q >= 0")
+                for r in lx.top_k(best, ["q"], k, [F.desc("score")]).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect():
+                    least[r["q"]] = r["least"] - SLACK
+        found = given.mapInArrow(_score(self.spark, plan | _asked(asked, len(ids)), least), schema).where("q >= 0")
         named = self.spark.createDataFrame(ids.astype({"q": "int32"}) if len(ids) else [], schema=self._id_schema(wanted, id_cols))
         return found.join(F.broadcast(named), "q").select(*id_cols, "doc_id", "score")
 
@@ -408,6 +412,13 @@ def _asked_blocks(shared):
     return run
 
 
+def _asked(rows, n: int) -> dict:
+    """Terms and weights of the queries 0 to n - 1, one after the other."""
+    rows = rows.sort_values("q", kind="stable")
+    counts = np.bincount(rows["q"].to_numpy(dtype=np.int64), minlength=n)
+    return {"offsets": np.r_[0, np.cumsum(counts)].astype(np.int64), "codes": rows["code"].to_numpy(dtype=np.int64), "weights": rows["weight"].to_numpy(dtype=float)}
+
+
 def _coded(pairs: pa.Table | None, query_terms: np.ndarray):
     """(index terms, query term and index term of each pair, by query term) or None."""
     if pairs is None:
@@ -533,7 +544,7 @@ def _score(spark: SparkSession, plan: dict, least: np.ndarray):
                 code_of.setdefault(t, len(code_of))
             names = np.array([code_of[t] for t in p["pairs"][0]], np.int64)
             to_index = names[p["pairs"][2]] if len(names) else np.zeros(0, np.int64)
-        theta, scored = least.copy(), 0
+        theta, scored, best_of = least.copy(), 0, {}
         by_term = [np.zeros(0, np.int64)] * n_terms
         if len(codes):
             owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -602,8 +613,11 @@ def _score(spark: SparkSession, plan: dict, least: np.ndarray):
                 if len(cand) > k:
                     best = np.lexsort((cand, -np.round(score, 9)))[:k]
                     cand, score = cand[best], score[best]
-                if len(cand) >= k:
-                    theta[q] = max(theta[q], score.min() - SLACK)
+                if len(score):
+                    top_so_far = np.sort(np.r_[best_of.get(q, np.zeros(0)), score])[::-1][:k]
+                    best_of[q] = top_so_far
+                    if len(top_so_far) == k:
+                        theta[q] = max(theta[q], top_so_far[-1] - SLACK)
                 out_q.append(np.full(len(cand), q))
                 out_at.append(cand)
                 out_s.append(score)
