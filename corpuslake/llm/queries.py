@@ -135,24 +135,17 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from d left join counted using (r) left join items using (r)
 """
 
-def _rank_sql(name: str, verdict: str, start: str, end: str, rounds: int = 8) -> str:
-    """CTEs of a personalised PageRank over ``edges``; the last is ``{name}``."""
-    out = [
-        f"{name}_seed as (select host, {verdict}::double / (select sum({verdict}) from hosts) as seed from hosts where {verdict} > 0)",
-        f"{name}_share as (select {start} as host, {end} as dest, weight / sum(weight) over (partition by {start}) as share from edges)",
-        f"{name}_0 as (select host, seed as mass from {name}_seed)",
-    ]
-    out += [
-        f"{name}_{i} as (select host, sum(mass) as mass from ("
-        f"select dest as host, mass * share * 0.85 as mass from {name}_{i - 1} join {name}_share using (host) "
-        f"union all select host, seed * (1 - 0.85::double) from {name}_seed) group by host)"
-        for i in range(1, rounds + 1)
-    ]
-    return ",\n".join([*out, f"{name} as (select * from {name}_{rounds})"])
+def _rank_sql(name: str, verdict: str, start: str, end: str, rounds: int = 120) -> str:
+    """CTEs of a personalised PageRank over ``edges``, as the sum of what walks of each length bring; the last is ``{name}``."""
+    return f"""{name}_seed as (select host, {verdict}::double / (select sum({verdict}) from hosts) as seed from hosts where {verdict} > 0),
+{name}_share as (select {start} as host, {end} as dest, weight / sum(weight) over (partition by {start}) as share from edges),
+{name}_walk as (select 0 as i, host, seed * (1 - 0.85::double) as mass from {name}_seed
+    union all select i + 1, dest, sum(mass * share * 0.85) from {name}_walk join {name}_share using (host) where i < {rounds} group by i, dest),
+{name} as (select host, sum(mass) as mass from {name}_walk group by host)"""
 
 
 OP2_SQL = rf"""
-with p as (select page_id, coalesce(html, '') as html,
+with recursive p as (select page_id, coalesce(html, '') as html,
         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 rules(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),

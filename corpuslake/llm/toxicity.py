@@ -1,21 +1,24 @@
 """Toxicity (1): significant toxic passages by maximum-scoring segments.
 
 Model. A word's score is its log-odds of standing in toxic text, against the
-share of toxic words over all, less ``DRIFT``, so that chance text scores below zero. A word counts once
-a document, and only its first occurrence can score above zero, as words come in bursts. Its counts are smoothed by a Dirichlet prior
+share of toxic words over all, less ``DRIFT``, so that chance text scores below zero. Its counts, once
+a document, are smoothed by a Dirichlet prior
 whose mean comes from words that start alike, first by ``STEMS[-1]`` letters, these from
 words that share fewer, and so on to the overall share; so a rare word scores near
 zero unless its family says more. Words and stems are hashed to ``CELLS`` cells a
 level, which bounds the model whatever the vocabulary.
 
-Search. One linear scan over the word scores of a text finds all its maximal
-scoring segments: disjoint runs that no longer or shorter run betters. By extreme-value
+Search. One linear scan over the word scores of a text, every occurrence of every word, finds all its maximal
+scoring segments: disjoint runs that no longer or shorter run betters. As words come in bursts, a segment's score counts
+a word above zero at its first place in the segment only (a repeat costs ``DRIFT``), whatever stands elsewhere in the text: of two equal
+passages both are found. By extreme-value
 theory the number of segments of chance text of m words that reach score s is about K m exp(-lambda s).
 lambda and K are fitted to the best segments of clean documents that the counts did not use,
 by the mean and variance of the extreme-value distribution. A segment is significant if its expected number is below
 ``ALPHA``. The number of segments of chance text above a score is nearly Poisson; the evidence of a
 text is the best, over r, of the (Chernoff bound of the) log-improbability that r segments
-score as high as its r highest. A logistic curve of it, fitted on labelled rows that the counts did not
+score as high as its r highest; there the segments are taken from the highest down, and a word counts in the first of them only,
+so a text is not toxic for saying one thing often. A logistic curve of it, fitted on labelled rows that the counts did not
 use, is the score of the text.
 
 At most ``FIT_ROWS`` labelled documents, chosen by a hash of their id, take part in fitting (see
@@ -150,17 +153,32 @@ class Scores(dict):
         return out
 
 
-def scan(scores: Scores, texts: list) -> Iterator[tuple[list, int]]:
-    """(segments, number of words) of each text."""
+def scan(scores: Scores, texts: list) -> Iterator[tuple[list, list, int]]:
+    """(segments, scores of evidence from the highest down, number of words) of each text."""
     for text in texts:
         words = words_of(text)
         values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-        seen: set[str] = set()
-        for i in np.flatnonzero(values > 0).tolist():
-            if words[i] in seen:
-                values[i] = -DRIFT
-            seen.add(words[i])
-        yield segments(values), len(words)
+        found = []
+        for start, stop, _ in segments(values):
+            own = _discounted(words, values, start, stop, set())
+            if own > 0:
+                found.append((start, stop, own))
+        used: set[str] = set()
+        fresh = [_discounted(words, values, a, b, used) for a, b, _ in sorted(found, key=lambda x: (-x[2], x[0]))]
+        yield found, sorted((x for x in fresh if x > 0), reverse=True), len(words)
+
+
+def _discounted(words: list[str], values: np.ndarray, start: int, stop: int, used: set) -> float:
+    """Score of a segment where words above zero that were ``used`` before cost ``DRIFT``; its own are used from then on."""
+    total = 0.0
+    for word, value in zip(words[start:stop], values[start:stop].tolist(), strict=True):
+        if value > 0:
+            if word in used:
+                value = -DRIFT
+            else:
+                used.add(word)
+        total += value
+    return total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
         for batch in batches:
             rows = list(scan(scores, as_bytes(batch.column(1))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for _, n in rows], pa.int64()), pa.array([sorted((s for _, _, s in f), reverse=True) for f, _ in rows], pa.list_(pa.float64()))],
+                [batch.column(0), pa.array([n for *_, n in rows], pa.int64()), pa.array([e for _, e, _ in rows], pa.list_(pa.float64()))],
                 names=["y", "n", "segments"],
             )
 
@@ -250,9 +268,9 @@ def scored(spark, model: Model):
         if getattr(rows, "scores", None) is None:
             rows.scores = Scores(model)
         found = list(scan(rows.scores, texts))
-        score = model.probability(np.array([model.evidence(np.array([s for _, _, s in f]), n) for f, n in found]))
+        score = model.probability(np.array([model.evidence(np.array(e), n) for _, e, n in found]))
         out = []
-        for (f, n), p in zip(found, score.tolist(), strict=True):
+        for (f, _, n), p in zip(found, score.tolist(), strict=True):
             passages = model.significant(f, n)
             out.append({"score": p, "predicted": int(p >= 0.5), "n_passages": len(passages), "passages": [{"start": a, "stop": b, "score": s} for a, b, s in passages]})
         return pa.array(out, ARROW)

@@ -7,7 +7,9 @@ Hosts are judged by two personalised PageRanks over host edges (links between pa
 two hosts, weighted by their number). Trust starts at the hosts of allowed pages and follows links;
 distrust starts at the hosts of blocked pages and follows links backwards, as who links
 to bad hosts is suspect. Each round keeps ``DAMPING`` of what flows and adds the rest from the seeds;
-what a host without edges would pass on is left out. A host is blocked if its distrust
+what a host without edges would pass on is left out. Masses only grow from round to round, and what moves shrinks by
+``DAMPING`` at least; rounds go on until all that could still arrive is at most ``TOLERANCE`` of the mass (more than ``ROUNDS``
+raise an error). A host is blocked if its distrust
 is over ``ratio`` times its trust. Hosts that neither reaches stay allowed.
 
 Links: ``href`` values with ``//`` go to the named host; all others stay on the page's own host and make no edge.
@@ -37,7 +39,11 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-ROUNDS, DAMPING, RATIO = 8, 0.85, 1.0
+DAMPING, RATIO = 0.85, 1.0
+#: Share of all mass that may still move when the rounds end, and rounds after which an error is raised.
+TOLERANCE, ROUNDS = 1e-6, 200
+#: Rounds that are planned together; their result is written and measured.
+TOGETHER = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?is)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -78,30 +84,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, start: str, end: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, mass) after ``rounds`` of personalised PageRank along edges from column ``start`` to ``end``.
+def spread(
+    edges: DataFrame, seeds: DataFrame, start: str, end: str, tolerance: float = TOLERANCE, damping: float = DAMPING, rounds: int = ROUNDS
+) -> DataFrame:
+    """(host, mass) of personalised PageRank along edges from column ``start`` to ``end``, to within ``tolerance`` of the mass.
 
-    seeds: (host, seed), adding up to 1. Edges: with ``weight``.
+    seeds: (host, seed), adding up to 1. Edges: with ``weight``. Not settled after ``rounds``, it raises an error.
     """
     out = edges.groupBy(start).agg(F.sum("weight").alias("total"))
     shares = materialise(edges.join(out, start).select(F.col(start).alias("host"), F.col(end).alias("to"), (F.col("weight") / F.col("total")).alias("share")), "shares")
-    mass = seeds.select("host", F.col("seed").alias("mass"))
+    base = materialise(seeds.select("host", (F.col("seed") * (1 - damping)).alias("mass")), "base")
     if shares.isEmpty():
-        return mass.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
-    base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("mass"))
-    for i in range(1, rounds + 1):
-        flow = mass.join(shares, "host").select(F.col("to").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        mass = flow.union(base).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if i % 4 == 0:
-            mass = materialise(mass, "mass")
-    return mass
+        return base
+    mass, before = base, base.agg(F.sum("mass")).first()[0] or 0.0
+    left = damping**TOGETHER / (1 - damping**TOGETHER)  # what may still come, to what came in the last TOGETHER rounds
+    for _ in range(0, rounds, TOGETHER):
+        now = mass
+        for _ in range(TOGETHER):
+            flow = now.join(shares, "host").select(F.col("to").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
+            now = flow.union(base).groupBy("host").agg(F.sum("mass").alias("mass"))
+        mass = materialise(now, "mass")
+        total = mass.agg(F.sum("mass")).first()[0] or 0.0
+        if (total - before) * left <= tolerance:
+            return mass
+        before = total
+    raise RuntimeError(f"the masses did not settle to {tolerance} in {rounds} rounds")
 
 
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
     id_col: str = "page_id",
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     damping: float = DAMPING,
     ratio: float = RATIO,
 ) -> DataFrame:
@@ -119,7 +133,7 @@ def judge_urls(
     for verdict, (start, end), name in (("allow", ("source", "target"), "trust"), ("block", ("target", "source"), "distrust")):
         total = counts.agg(F.sum(verdict)).first()[0] or 1.0
         seeds = counts.where(F.col(verdict) > 0).select("host", (F.col(verdict) / total).alias("seed"))
-        masses.append(spread(edges, seeds, start, end, rounds, damping).select("host", F.col("mass").alias(name)))
+        masses.append(spread(edges, seeds, start, end, tolerance, damping).select("host", F.col("mass").alias(name)))
     hosts = masses[0].join(masses[1], "host", "full")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     by_method = F.when(distrust > ratio * trust, "block").otherwise("allow")

@@ -117,3 +117,24 @@ def test_bound_on_labels_is_kept(spark):
     labels = spark.range(1000).selectExpr("id as doc_id", "id % 2 as toxic")
     a, b = ({r["doc_id"] for r in label_sample(labels.repartition(n), "toxic", F.lit(True), 100).collect()} for n in (1, 5))
     assert a == b and len(a) == 100
+
+
+def test_every_toxic_passage_is_found_whatever_stands_elsewhere():
+    """Equal passages both, and a dense passage whose words were all met singly before."""
+    bad = [f"vile{i}" for i in range(8)]
+    counts = np.zeros((2, X.LEVELS, X.CELLS), np.float32)
+    for word, toxic in [*((w, 400.0) for w in bad), *((f"plain{i}", 0.0) for i in range(50))]:
+        for level, cell in enumerate(X.cells(word)):
+            counts[0, level, cell] += toxic
+            counts[1, level, cell] += 400.0
+    model = X.Model(counts, 0.05, lam=1.0, log_k=-2.0)
+    calm = [f"plain{i % 50}" for i in range(60)]
+    twice = calm + bad + calm + bad + calm
+    late = [x for i, w in enumerate(bad) for x in (*calm[:25], w)] + calm + bad + calm
+    for words, places in ((twice, [60, 128]), (late, [8 * 26 + 60])):
+        (found, evidence, n), = X.scan(X.Scores(model), [" ".join(words).encode()])
+        starts = [a for a, b, _ in model.significant(found, n) if b - a == 8]
+        assert starts == places and n == len(words)
+    (_, once, _), = X.scan(X.Scores(model), [" ".join(calm + bad + calm).encode()])
+    (_, evidence, _), = X.scan(X.Scores(model), [" ".join(twice).encode()])
+    assert len(evidence) == len(once) == 1  # the words of the second passage are no new evidence

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from corpuslake.llm import secret_scan as S
 from corpuslake.llm import token_counts as C
 from corpuslake.llm import url_graph as U
@@ -94,7 +96,7 @@ def test_counts_of_a_table(make, spark):
     assert C.token_counts(make(rows).limit(0)).count() == 0
 
 
-def slow_verdicts(pages, rules, rounds=8, damping=0.85):
+def slow_verdicts(pages, rules, rounds=300, damping=0.85):
     def address(url):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         return (m[1].lower(), m[2]) if m else ("", "")
@@ -117,7 +119,7 @@ def slow_verdicts(pages, rules, rounds=8, damping=0.85):
     def rank(edges, verdict):
         seeds = Counter(h for _, h, _, _, v in judged if h and v == verdict)
         total = sum(seeds.values()) or 1
-        mass = {h: n / total for h, n in seeds.items()}
+        mass = {h: n / total * (1 - damping) for h, n in seeds.items()}
         for _ in range(rounds):
             new = defaultdict(float, {h: n / total * (1 - damping) for h, n in seeds.items()})
             for a, m in mass.items():
@@ -160,3 +162,21 @@ def test_urls_equal_brute_force(spark):
     verdicts = {r["host"]: r["verdict"] for r in U.judge_urls(pages).where("rule is null").collect()}
     assert verdicts["spam.net"] == "block" and verdicts["near.net"] == "allow"
     assert U.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(make, spark):
+    """Twenty hosts from a blocked one, and twenty from an allowed one; a walk that never settles in the rounds given raises."""
+    link = lambda a, b: f'<a href="http://{a}{b}.net/">'
+    pages = [(0, "http://bad.com/de/1", ""), (1, "http://good.org/", link("g", 0))]
+    pages += [(10 + i, f"http://b{i}.net/", link("b", i - 1) if i else '<a href="http://bad.com/">') for i in range(20)]
+    pages += [(50 + i, f"http://g{i}.net/", link("g", i + 1)) for i in range(20)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = U.judge_urls(frame).collect()
+    assert {r["host"] for r in rows if r["verdict"] == "block"} == {"bad.com", *(f"b{i}.net" for i in range(20))}
+    assert all(r["trust"] > 0 for r in rows if r["host"].startswith("g"))
+    ring = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "source string, target string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    mass = {r["host"]: r["mass"] for r in U.spread(ring, seeds, "source", "target").collect()}
+    assert abs(mass["a"] - 1 / 1.85) < 1e-6 and abs(mass["b"] - 0.85 / 1.85) < 1e-6
+    with pytest.raises(RuntimeError):
+        U.spread(ring, seeds, "source", "target", rounds=8)
