@@ -154,12 +154,14 @@ PAGES = [
 def test_urls_equal_brute_force(spark):
     schema = "page_id long, url string, html string"
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], schema + ", rule string")
-    for rules in (U.RULES, U.RULES[:1], ()):
-        rows = U.judge_urls(pages, rules).collect()
-        assert sorted((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in rows) == slow_verdicts(PAGES, rules)
+    plain = lambda rows: sorted((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in rows)
+    for rules in (U.RULES[:1], ()):
+        rows = U.judge_urls(pages, rules, tolerance=0.05).collect()  # no host is near the border
+        assert plain(rows) == slow_verdicts(PAGES, rules)
+    assert {r["host"]: r["verdict"] for r in rows}["alone.net"] == "allow"
+    rows = U.judge_urls(pages, tolerance=1e-3).collect()
+    assert plain(rows) == slow_verdicts(PAGES, U.RULES)
     verdicts = {r["host"]: r["verdict"] for r in rows if r["rule"] is None}
-    assert verdicts["alone.net"] == "allow"
-    verdicts = {r["host"]: r["verdict"] for r in U.judge_urls(pages).where("rule is null").collect()}
     assert verdicts["spam.net"] == "block" and verdicts["near.net"] == "allow"
     assert U.judge_urls(pages.limit(0)).count() == 0
 
@@ -176,7 +178,7 @@ def test_distrust_reaches_the_end_of_a_long_chain(make, spark):
     assert all(r["trust"] > 0 for r in rows if r["host"].startswith("g"))
     ring = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "source string, target string, weight double")
     seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
-    mass = {r["host"]: r["mass"] for r in U.spread(ring, seeds, "source", "target").collect()}
-    assert abs(mass["a"] - 1 / 1.85) < 1e-6 and abs(mass["b"] - 0.85 / 1.85) < 1e-6
+    mass = {r["host"]: r["mass"] for r in U.spread(ring, seeds, "source", "target", tolerance=1e-3).collect()}
+    assert abs(mass["a"] - 1 / 1.85) < 1e-3 and abs(mass["b"] - 0.85 / 1.85) < 1e-3
     with pytest.raises(RuntimeError):
         U.spread(ring, seeds, "source", "target", rounds=8)
