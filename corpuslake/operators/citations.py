@@ -226,15 +226,15 @@ def enrich(cits: DataFrame, files: DataFrame, tags: DataFrame | None = None, max
         F.col("size").alias("_size"),
         *[F.col(c).alias(f"file_{c}") for c in ("created_at", "updated_at", "version") if has(c)],
     )
-    df = cits.withColumn("_np", norm_path("file_path")).join(broadcast_if_small(rec), "_np", "left")
+    df = cits.withColumn("_np", norm_path("file_path")).join(rec, "_np", "left")
     if tags is not None and has("tags"):
         named = (
             files.select(norm_path("path").alias("_np"), F.posexplode("tags").alias("_i", "id"))
-            .join(broadcast_if_small(tags.select("id", "name")), "id")
+            .join(tags.select("id", "name"), "id")
             .groupBy("_np")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "name"))), lambda x: x["name"]).alias("tag_names"))
         )
-        df = df.join(broadcast_if_small(named), "_np", "left")
+        df = df.join(named, "_np", "left")
     body = trim_ws("content")
     related = F.coalesce(_opt(cits, "related", "array<string>"), F.array().cast("array<string>"))
     others = F.transform(

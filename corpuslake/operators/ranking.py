@@ -112,24 +112,20 @@ def scope_filter(df: DataFrame, scopes: DataFrame, suffixes: bool = True) -> Dat
     """Keep rows whose source lies in the query's scope (query_id, path).
 
     Normalised paths match if they are equal or, with ``suffixes``, if one ends
-    with the other, for any number of paths: both sides' suffixes are rows, so
-    each direction is an equi-join. Queries without a scope keep all rows.
+    with the other, for any number of paths. A path that ends with a shorter one of c parts (between slashes) has the same last
+    c - 1 parts, so the shorter one is a row, the longer one a row for each of its parts, and pairs are equi-joined and
+    verified. Only names without a slash are compared with the character suffixes of last parts. Queries without a
+    scope keep all rows.
     """
     src = F.coalesce(norm_path("source"), F.lit(""))
     paths = scopes.select("query_id", norm_path("path").alias("_p")).distinct()
     rows = df.withColumn("_src", src)
     asked = rows.select("query_id", "_src").distinct()
-
-    def suffixes_of(name: str) -> Column:
-        c = F.col(name)
-        if not suffixes:
-            return F.array(c)
-        return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(c, i, F.length(c)))
-
-    by_source = asked.select("query_id", "_src", F.explode(suffixes_of("_src")).alias("_p"))
-    by_path = paths.select("query_id", F.explode(suffixes_of("_p")).alias("_src"))
-    inside = by_source.join(paths, ["query_id", "_p"], "left_semi").select("query_id", "_src")
-    inside = inside.union(asked.join(by_path, ["query_id", "_src"], "left_semi")).distinct()
+    if suffixes:
+        inside = _ends_with(asked, paths, "_src", "_p").union(_ends_with(paths, asked, "_p", "_src").select("query_id", "_src", "_p"))
+    else:
+        inside = asked.join(paths, (asked["query_id"] == paths["query_id"]) & (F.col("_src") == F.col("_p"))).select(asked["query_id"], "_src", "_p")
+    inside = inside.select("query_id", "_src").distinct()
     scoped = paths.select("query_id", F.lit(True).alias("_scoped")).distinct()
     marked = rows.join(scoped, "query_id", "left").join(
         inside.withColumn("_in", F.lit(True)), ["query_id", "_src"], "left"
@@ -137,6 +133,22 @@ def scope_filter(df: DataFrame, scopes: DataFrame, suffixes: bool = True) -> Dat
     return marked.where(F.col("_scoped").isNull() | F.col("_in").isNotNull()).select(*df.columns)
 
 
+def _ends_with(longer: DataFrame, shorter: DataFrame, long_col: str, short_col: str) -> DataFrame:
+    """(query_id, long, short) where a path of ``longer`` ends with one of ``shorter``."""
+    parts = lambda c: F.split(F.col(c), "/")
+    last = lambda c, n: F.array_join(F.slice(parts(c), F.size(parts(c)) - n + 1, F.greatest(n, F.lit(0))), "/")
+    key = longer.select("query_id", long_col, F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts(long_col)) - 1, F.lit(1)))).alias("_n"))
+    key = key.where(F.col("_n") < F.size(parts(long_col))).withColumn("_key", last(long_col, F.col("_n")))
+    named = shorter.where(F.col(short_col).contains("/")).withColumn("_n", F.size(parts(short_col)) - 1).withColumn("_key", last(short_col, F.col("_n")))
+    found = key.join(named, ["query_id", "_n", "_key"]).where(F.col(long_col).endswith(F.col(short_col))).select("query_id", long_col, short_col)
+    bare = shorter.where(~F.col(short_col).contains("/"))
+    tail = F.element_at(parts(long_col), -1)
+    ends = F.transform(F.sequence(F.lit(1), F.length(tail) + 1), lambda i: F.substring(tail, i, F.length(tail)))
+    asking = bare.select("query_id").distinct()
+    by_tail = longer.join(asking, "query_id", "left_semi").select("query_id", long_col, F.explode(ends).alias(short_col))
+    return found.union(by_tail.join(bare, ["query_id", short_col], "left_semi").select("query_id", long_col, short_col))
+
+
 def word_set(text: Column) -> Column:
     """Distinct lower-cased words longer than one character, as 64-bit hashes.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.text import CJK, clip, count_chars, extract_all, let, script_of, trim_ws
+from corpuslake.functions.text import CJK, as_col, clip, count_chars, extract_all, let, script_of, trim_ws
 
 MEANINGFUL = f"{CJK}a-zA-Z0-9"
 PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~！（）【】、，。；：？《》"
@@ -52,27 +52,41 @@ def quality_gate(parts: DataFrame, max_garbled: float = 0.2, min_meaningful: flo
     )
 
 
+def keyword_list(c: Column | str, k: int = 8) -> Column:
+    """The ``k`` most frequent words of a text as structs (term, n), first seen on a tie; row-local.
+
+    Words are sorted with their places once; runs of equal words give the counts and first places.
+    """
+    words = extract_all(F.lower(as_col(c)), WORDS)
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+
+    def counted(rows: Column) -> Column:
+        places = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (rows[i]["term"] != rows[F.greatest(i - 1, F.lit(0))]["term"]))
+
+        def ranked(starts: Column) -> Column:
+            n = lambda j: F.coalesce(F.get(starts, j + 1), F.size(rows)) - F.get(starts, j)
+            runs = F.transform(starts, lambda s, j: F.struct((-n(j)).alias("less"), rows[s]["pos"].alias("pos"), rows[s]["term"].alias("term")))
+            return F.slice(F.sort_array(runs), 1, k)
+
+        return let(first, ranked)
+
+    top = let(placed, counted)
+    return F.coalesce(F.transform(top, lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("n"))), F.array().cast("array<struct<term:string,n:bigint>>"))
+
+
 def keywords(docs: DataFrame, k: int = 8) -> DataFrame:
-    """(doc_id, term, n, rank): most frequent words per document, first seen on a tie."""
-    words = docs.select("doc_id", F.posexplode(extract_all(F.lower("text"), WORDS)).alias("pos", "term"))
-    counted = words.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("_p"))
-    w = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "_p")
-    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_p")
+    """(doc_id, term, n, rank): most frequent words of each row's text, first seen on a tie. Nothing is shuffled."""
+    top = docs.select("doc_id", F.posexplode(keyword_list("text", k)).alias("place", "x"))
+    return top.select("doc_id", "x.term", "x.n", (F.col("place") + 1).alias("rank"))
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, topic, keywords, entities, complexity, questions)."""
-    top = (
-        keywords(docs, 8)
-        .groupBy("doc_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    )
+    """(doc_id, topic, keywords, entities, complexity, questions), row by row."""
     entities = extract_all("text", "[A-Z][a-zA-Z]+")
     size = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.length("text") / 100)))
-    base = docs.select("doc_id", entities.alias("entities"), size.cast("int").alias("complexity"))
-    df = base.join(top, "doc_id", "left").withColumn(
-        "keywords", F.coalesce("keywords", F.array().cast("array<string>"))
-    )
+    words = F.transform(keyword_list("text", 8), lambda x: x["term"])
+    df = docs.select("doc_id", entities.alias("entities"), size.cast("int").alias("complexity"), words.alias("keywords"))
     topic = F.array_join(F.slice("keywords", 1, 2), "、")
     return df.select(
         "doc_id",

@@ -183,13 +183,26 @@ def _final_rank(cands: DataFrame, k: int, id_col: str, query_id: str) -> DataFra
     )
 
 
+#: Column of the normalised source.
+NORM = "source_norm"
+
+
+def with_norm(vectors: DataFrame) -> DataFrame:
+    """Vectors with their normalised source, to be stored in its order."""
+    return vectors.withColumn(NORM, norm_path("source")).repartitionByRange(NORM).sortWithinPartitions(NORM)
+
+
 def filter_vectors(
     vectors: DataFrame, sources: list[str] | None = None, tags: list[str] | None = None
 ) -> DataFrame:
-    """Source in list and any tag in list, applied below the search."""
+    """Source in list and any tag in list, applied below the search.
+
+    Vectors that are stored with their normalised source (``with_norm``) are filtered by that column, so the scan skips row groups.
+    """
     if sources:
         wanted = [s.strip().lower().replace("\\", "/") for s in sources]
-        vectors = vectors.where(norm_path("source").isin(*wanted))
+        stored = F.col(NORM) if NORM in vectors.columns else norm_path("source")
+        vectors = vectors.where(stored.isin(*wanted))
     if tags:
         vectors = vectors.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
     return vectors

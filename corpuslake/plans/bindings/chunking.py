@@ -9,6 +9,9 @@ from corpuslake.operators import chunking as ck
 from corpuslake.operators.textstats import analysis_fn
 from corpuslake.plans.bindings.inputs import CORPUS, corpus, table
 from corpuslake.plans.bindings.pages import rx, trim_sql
+from corpuslake.plans.bindings.text import _garbled as GARBLED
+from corpuslake.plans.bindings.text import _mean as MEANINGFUL
+from corpuslake.plans.ingest import ingest
 
 NL = "chr(10)"
 
@@ -114,6 +117,19 @@ def sentences(spark, sf):
     return _hashed(ck.split_sentences(corpus(spark, sf), 512))
 
 
+def mixed(spark, sf):
+    """Documents, and raw pages as files that the gate should refuse."""
+    pages = table(spark, sf, "pages")
+    raw = pages.select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"), F.concat(F.lit("raw/"), F.col("page_id"), F.lit(".html")).alias("source"))
+    return corpus(spark, sf).select("doc_id", "text", "source").unionByName(raw)
+
+
+def ingested(spark, sf):
+    """The ingest job as it runs by default: quality gate, sentences, metadata, vectors."""
+    out = ingest(mixed(spark, sf))
+    return out.select("source", "chunk_index", F.md5("text").alias("content"), (F.size("embedding") > 0).alias("embedded"))
+
+
 def recursive(spark, sf):
     return _hashed(ck.split_recursive(corpus(spark, sf)))
 
@@ -129,6 +145,7 @@ QUERIES = {
     "c4_overlap": overlap,
     "c5_split_recursive": recursive,
     "c6_split_sentences": sentences,
+    "c8_ingest": ingested,
     "c7_split_fixed": lambda spark, sf: _hashed(fixed(spark, sf)),
     "c8_finish_chunks": finished,
     "c9_paragraphs": paragraphs,
@@ -227,7 +244,18 @@ walk as (
 k as (select t.doc_id, c, {trim_sql("string_agg(s, '' order by t.i)")} as content, cast(sum(n) as integer) as n from t join walk w on w.doc_id = t.doc_id and w.i = t.i group by t.doc_id, c)
 select doc_id, cast(row_number() over (partition by doc_id order by c) - 1 as integer) as chunk_no, md5(content) as content, n as n_tokens from k where content <> ''"""
 
+MIXED = """corpus as (select doc_id, text, source || '/' || doc_id || '.txt' as source from documents
+  union all select -1 - page_id, html, 'raw/' || page_id || '.html' from pages)"""
+_head, _numbered = SENTENCES_SQL.replace(CORPUS, MIXED).rsplit("\nselect doc_id, cast(row_number()", 1)
+INGEST_SQL = f"""{_head},
+paras as (select doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda s: {trim_sql('s')}), lambda s: s <> '')) as text from corpus),
+gate as (select doc_id from (select doc_id, avg(({GARBLED})::int) as g, case when sum(length(text)) > 0 then sum({MEANINGFUL}) / sum(length(text)) else 0.0 end as m
+  from paras group by 1) where not (g > 0.2 or m < 0.4)),
+numbered as (select doc_id, cast(row_number() over (partition by doc_id order by c) - 1 as integer) as chunk_index, content from k where content <> '')
+select source, chunk_index, md5(content) as content, true as embedded from numbered n join corpus c on c.doc_id = n.doc_id where n.doc_id in (select doc_id from gate)"""
+
 ORACLES = {
+    "c8_ingest": INGEST_SQL,
     "c2_pack_blocks": PACK_SQL,
     "c3_split_oversize": OVERSIZE_SQL,
     "c6_split_sentences": SENTENCES_SQL,

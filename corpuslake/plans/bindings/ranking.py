@@ -204,7 +204,7 @@ def search_stored(spark, sf):
 
 def hybrid_job(spark, sf):
     """Variants, adaptive and keyword search, fusion, least score and re-ranking end to end."""
-    cfg = SearchConfig(vector=False, partial=False)
+    cfg = SearchConfig(partial=False)
     out = hybrid_search(corpus(spark, sf), queries(spark, sf), 10, cfg, min_score=0.018)
     return out.withColumn("score", F.round("score", 6))
 
@@ -326,7 +326,7 @@ ORACLES = {
         from l join corpus c on c.doc_id = l.doc_id group by 1, 2)
       select query_id, seen[3] as doc_id, rank, kinds, round(score, 6) as score from (select *, row_number() over
         (partition by query_id order by round(score, 9) desc, seen) as rank from f) where rank <= 20""",
-    "r7_hybrid_job": f"""with s as ({search_sql(vector=False, partial=False)}), {INDEX}, {bm25_sql('h', 'queries', 'query_id', 10)}, {keywords_cte('queries')},
+    "r7_hybrid_job": f"""with s as ({search_sql(vector=True, partial=False)}), {INDEX}, {bm25_sql('h', 'queries', 'query_id', 10)}, {keywords_cte('queries')},
       l as (select query_id, 'vector' as kind, 0 as p, doc_id, rank from s
         union all select query_id, 'keyword', 1, doc_id, rank from h where query_id in (select query_id from s)),
       f as (select l.query_id, md5(source || ':' || text) as k, sum(1.0 / (50 + rank)) as score,
