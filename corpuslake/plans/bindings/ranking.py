@@ -189,15 +189,20 @@ def search_scoped(spark, sf):
     return search(corpus(spark, sf), queries(spark, sf), cfg, s).withColumn("score", F.round("score", 6))
 
 
-def search_stored(spark, sf):
-    """Ingest (gate, chunks, vectors) and index are stored; the search reads them and keeps one tag."""
+def stored_tables(spark, sf):
+    """Chunks with vectors and tags, stored, and their stored index."""
     docs = corpus(spark, sf)
     chunks = ingest(docs.select("doc_id", "text", "source"), "fixed", gate=False)
     tags = docs.select("source", F.array("lang").alias("tags"))
     number = F.regexp_extract("source", r"/([0-9]+)\.txt$", 1).cast("long") * 1_000_000 + F.col("chunk_index")
     rows = chunks.join(tags, "source").select(number.alias("doc_id"), "text", "source", "embedding", "tags")
     rows = materialise(rows, "chunks")
-    index = blocks.build(rows)
+    return rows, blocks.build(rows)
+
+
+def search_stored(spark, sf, ready=None):
+    """The search reads stored chunks, vectors and index (``ready``, or made here) and keeps two tags."""
+    rows, index = ready or stored_tables(spark, sf)
     cfg = SearchConfig(partial=False, tags=("fr", "de"))
     return search(rows, queries(spark, sf), cfg, index=index).withColumn("score", F.round("score", 6))
 

@@ -193,3 +193,39 @@ def test_vector_length_is_checked(spark):
     assert st.to_chunk_schema(df, 2).first().metadata.extra == '{"k":"v"}'
     bad = st.to_chunk_schema(df, 3).first()
     assert bad.vector is None and not bad.vector_ok and st.to_chunk_schema(df, 2).first().vector_ok
+
+
+def test_scopes_equal_endswith_both_ways(spark):
+    """Paths that end with each other at a slash, inside a part, or as bare names."""
+    import random
+
+    from corpuslake.operators import ranking as rk
+
+    rng = random.Random(3)
+    part = lambda: rng.choice(["a", "ba", "aba", "x.md", "ax.md", "dir"])
+    path = lambda: rng.choice(["", "/"]) + "/".join(part() for _ in range(rng.randint(1, 4)))
+    rows = [(q, i, path()) for q in range(6) for i in range(25)] + [(0, 99, None), (1, 99, "")]
+    scopes = [(q, path()) for q in range(5) for _ in range(4)] + [(2, "X.MD"), (3, "dir\\a")]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, source string")
+    asked = spark.createDataFrame(scopes, "query_id long, path string")
+    norm = lambda p: (p or "").strip().lower().replace("\\", "/")
+
+    def inside(q, source):
+        mine = [norm(p) for n, p in scopes if n == q]
+        return not mine or any(norm(source).endswith(p) or p.endswith(norm(source)) for p in mine)
+
+    got = sorted((r["query_id"], r["doc_id"]) for r in rk.scope_filter(df, asked).collect())
+    assert got == sorted((q, i) for q, i, source in rows if inside(q, source))
+
+
+def test_a_source_filter_reaches_the_scan(spark):
+    from corpuslake.functions.scale import shared_dir
+    from corpuslake.operators import vectors as vx
+
+    path = f"{shared_dir(spark)}/vectors"
+    rows = [(i, [float(i), 1.0], f"Dir\\File{i}.txt") for i in range(50)]
+    vx.with_norm(spark.createDataFrame(rows, "vec_id long, embedding array<double>, source string")).write.parquet(path)
+    stored = vx.filter_vectors(spark.read.parquet(path), sources=["dir/file7.txt", "dir/file8.txt"])
+    assert sorted(r["vec_id"] for r in stored.collect()) == [7, 8]
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "In(source_norm" in plan.split("PushedFilters:")[1]
