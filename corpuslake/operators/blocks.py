@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import hint_small, is_small, materialise, shared_dir
+from corpuslake.functions.scale import MAX_BROADCAST_ROWS, hint_small, is_small, materialise, shared_dir
 from corpuslake.operators import lexical as lx
 from corpuslake.sources.versions import current_version, publish, read_current
 
@@ -298,7 +298,7 @@ class BlockIndex:
         asked = asked.merge(ids, on=id_cols)
         query_terms = np.unique(asked["term"].to_numpy(dtype=object)) if len(asked) else np.zeros(0, object)
         terms = self.spark.createDataFrame([(t,) for t in query_terms], "term string")
-        small = is_small(terms)
+        small = len(query_terms) <= MAX_BROADCAST_ROWS
         mine, about, partial_asked = None, self.stats.first(), pairs is not None
         if pairs is not None:
             mine = pairs.join(hint_small(terms.withColumnRenamed("term", "qterm"), small), "qterm", "left_semi").toArrow()  # about PAIRS rows
