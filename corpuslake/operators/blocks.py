@@ -34,8 +34,8 @@ from corpuslake.functions.scale import MAX_BROADCAST_ROWS, hint_small, is_small,
 from corpuslake.operators import lexical as lx
 from corpuslake.sources.versions import current_version, publish, read_current
 
-#: Documents of a shard; rows of query terms, and pairs of query term and index term, of one pass.
-SHARD, ASKED, PAIRS = 2048, 200_000, 8_000_000
+#: Documents of a shard; rows of query terms of one pass.
+SHARD, ASKED = 2048, 200_000
 #: From so many shards on, the rarest terms are searched first, for a score to beat.
 SEED = 16
 #: Scores are compared to nine places, so bounds are widened by this.
@@ -258,7 +258,7 @@ class BlockIndex:
         wanted = materialise(lx.query_terms(queries, id_cols), "wanted")
         rows = wanted.count()
         pairs = materialise(self.partial_pairs(wanted.select("term")), "pairs") if partial else None
-        passes = max(1, -(-rows // ASKED), -(-pairs.count() // PAIRS) if partial else 1)
+        passes = max(1, -(-rows // ASKED))
         out = None
         for i in range(passes):
             mine = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64(*id_cols), F.lit(passes)) == i)
@@ -279,15 +279,15 @@ class BlockIndex:
         return out
 
     def _input(self, terms: DataFrame, small: bool, keep: DataFrame | None) -> DataFrame:
-        """The blocks of the terms and the filters, dealt by shard; filters first."""
-        blocks = self.table("blocks").withColumnRenamed("segment_of", "segment").join(hint_small(terms, small), "term", "left_semi")
-        rows = blocks.select("segment", "shard", F.lit(2).alias("kind"), "term", "ids", "tfs", "lens", "max_tf", "min_len")
+        """The blocks of the terms and the filters, dealt by shard; filters first. A column ``asked`` of the terms stays with their blocks."""
+        more = [c for c in terms.columns if c == "asked"]
+        blocks = self.table("blocks").withColumnRenamed("segment_of", "segment").join(hint_small(terms, small), "term", "inner" if more else "left_semi")
+        rows = blocks.select("segment", "shard", F.lit(2).alias("kind"), "term", "ids", "tfs", "lens", "max_tf", "min_len", *more)
         filters = self._filters(keep)
         if filters is not None:
             none = F.array().cast("array<int>")
-            rows = rows.unionByName(
-                filters.select("segment", "shard", F.col("keep").cast("int").alias("kind"), F.lit("").alias("term"), "ids", none.alias("tfs"), none.alias("lens"), F.lit(0).alias("max_tf"), F.lit(0).alias("min_len"))
-            )
+            filters = filters.select("segment", "shard", F.col("keep").cast("int").alias("kind"), F.lit("").alias("term"), "ids", none.alias("tfs"), none.alias("lens"), F.lit(0).alias("max_tf"), F.lit(0).alias("min_len"), *[none.alias(c) for c in more])
+            rows = rows.unionByName(filters)
         return rows.repartition("segment", "shard").sortWithinPartitions("segment", "shard", "kind")
 
     def _pass(self, wanted: DataFrame, id_cols: list[str], k: int, pairs: DataFrame | None, keep: DataFrame | None) -> DataFrame:
@@ -299,10 +299,13 @@ class BlockIndex:
         query_terms = np.unique(asked["term"].to_numpy(dtype=object)) if len(asked) else np.zeros(0, object)
         terms = self.spark.createDataFrame([(t,) for t in query_terms], "term string")
         small = len(query_terms) <= MAX_BROADCAST_ROWS
-        mine, about, partial_asked = None, self.stats.first(), pairs is not None
+        about, partial_asked = self.stats.first(), pairs is not None
         if pairs is not None:
-            mine = pairs.join(hint_small(terms.withColumnRenamed("term", "qterm"), small), "qterm", "left_semi").toArrow()  # about PAIRS rows
-            matched = materialise(pairs.select("term").distinct().union(terms).distinct(), "matched")
+            # pairs grow with the vocabulary: they stay on the cluster, and an index term's blocks carry the query terms it matches
+            coded = self.spark.createDataFrame([(t, i) for i, t in enumerate(query_terms)], "qterm string, code int")
+            both = pairs.select("qterm", "term").union(terms.select(F.col("term").alias("qterm"), "term"))
+            matched = both.join(hint_small(coded, small), "qterm").groupBy("term").agg(F.collect_set("code").alias("asked"))
+            matched = materialise(matched, "matched")
             given = self._input(matched, is_small(matched), keep)
         else:
             given = self._input(terms, small, keep)
@@ -320,7 +323,7 @@ class BlockIndex:
         asked["code"] = np.searchsorted(query_terms, asked["term"].to_numpy(dtype=object)) if len(asked) else np.zeros(0, np.int64)
         asked["weight"] = asked["qtf"].to_numpy(dtype=float) * idf[asked["code"].to_numpy(dtype=np.int64)]
         asked["df"] = [df.get(t, 0) for t in asked["term"]]
-        plan = {"terms": query_terms.tolist(), "avg": avg_len or 1.0, "k": k, "pairs": _coded(mine, query_terms), "id_type": id_type, "kept": keep is not None}
+        plan = {"terms": query_terms.tolist(), "avg": avg_len or 1.0, "k": k, "partial": partial_asked, "id_type": id_type, "kept": keep is not None}
         schema = f"q int, doc_id {id_type}, score double"
         least = np.zeros(len(ids))
         if about["shards"] >= SEED and not partial_asked:
@@ -419,22 +422,12 @@ def _asked(rows, n: int) -> dict:
     return {"offsets": np.r_[0, np.cumsum(counts)].astype(np.int64), "codes": rows["code"].to_numpy(dtype=np.int64), "weights": rows["weight"].to_numpy(dtype=float)}
 
 
-def _coded(pairs: pa.Table | None, query_terms: np.ndarray):
-    """(index terms, query term and index term of each pair, by query term) or None."""
-    if pairs is None:
-        return None
-    terms, at = np.unique(pairs["term"].to_numpy().astype(object), return_inverse=True) if len(pairs) else (np.zeros(0, object), np.zeros(0, np.int64))
-    q = np.searchsorted(query_terms, pairs["qterm"].to_numpy().astype(object)) if len(pairs) else np.zeros(0, np.int64)
-    order = np.argsort(q, kind="stable")
-    return terms.tolist(), q[order].astype(np.int32), at[order].astype(np.int32)
-
-
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(filters, block rows) of each shard; a block row is (term, ids, tfs, lens, max_tf, min_len) with undecoded lists."""
+    """(filters, block rows) of each shard; a block row is (term, lists, place in these, max_tf, min_len); the lists are undecoded: ids, tfs, lens[, asked]."""
     now, filters, rows = None, [], []
     for batch in batches:
         segment, shard, kind, term = (batch.column(i).to_pylist() for i in range(4))
-        lists = [batch.column(i) for i in (4, 5, 6)]
+        lists = [batch.column(i) for i in (4, 5, 6, *range(9, batch.num_columns))]
         most, least = batch.column(7).to_numpy(), batch.column(8).to_numpy()
         for i in range(len(batch)):
             key = (segment[i], shard[i])
@@ -479,7 +472,7 @@ class _Shard:
     """The decoded postings of a shard by term code: places (in order of the ids) and impacts."""
 
     def __init__(self, rows: list, codes: dict, filters: list, avg: float):
-        parts = [(codes[r[0]], *(_decoded(c, r[2]) for c in r[1])) for r in rows]
+        parts = [(codes[r[0]], *(_decoded(c, r[2]) for c in r[1][:3])) for r in rows]
         sizes = [len(p[1]) for p in parts]
         code = np.repeat(np.array([p[0] for p in parts], np.int64), sizes)
         ids, tf, lens = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
@@ -537,13 +530,6 @@ def _score(spark: SparkSession, plan: dict, least: np.ndarray):
         k, avg, offsets, codes, weights = p["k"], p["avg"], p["offsets"], p["codes"], p["weights"]
         n_terms = len(p["terms"])
         code_of = {t: i for i, t in enumerate(p["terms"])}
-        to_index = None
-        if p["pairs"] is not None:
-            # an index term that is no query term gets a code behind them
-            for t in p["pairs"][0]:
-                code_of.setdefault(t, len(code_of))
-            names = np.array([code_of[t] for t in p["pairs"][0]], np.int64)
-            to_index = names[p["pairs"][2]] if len(names) else np.zeros(0, np.int64)
         theta, scored, best_of = least.copy(), 0, {}
         by_term = [np.zeros(0, np.int64)] * n_terms
         if len(codes):
@@ -556,7 +542,7 @@ def _score(spark: SparkSession, plan: dict, least: np.ndarray):
         for filters, rows in _shards(batches):
             if p["kept"] and not any(keeps for keeps, _ in filters):
                 continue
-            if to_index is None:
+            if not p["partial"]:
                 # bounds alone first: which queries can still gain from this shard, and which blocks these need
                 top = np.zeros(n_terms)
                 for term, _, _, most, shortest in rows:
@@ -572,8 +558,14 @@ def _score(spark: SparkSession, plan: dict, least: np.ndarray):
                 rows = [r for r in rows if needed[code_of[r[0]]]]
                 shard = _Shard(rows, code_of, filters, avg)
             else:
-                shard = _Shard([r for r in rows if r[0] in code_of], code_of, filters, avg)
-                shard.spread(p["pairs"][1], to_index, n_terms, avg)
+                # an index term that is no query term gets a code behind them, within this shard
+                codes_here: dict[str, int] = {}
+                for r in rows:
+                    codes_here.setdefault(r[0], code_of.get(r[0], n_terms + len(codes_here)))
+                shard = _Shard(rows, codes_here, filters, avg)
+                asked = [_decoded(r[1][3], r[2]) for r in rows]
+                of = np.repeat(np.array([codes_here[r[0]] for r in rows], np.int64), [len(a) for a in asked])
+                shard.spread(np.concatenate(asked), of, n_terms, avg)
                 present = [by_term[c] for c in shard.span if c < n_terms]
                 alive = np.unique(np.concatenate(present)) if present else np.zeros(0, np.int64)
             if not len(shard.ids):

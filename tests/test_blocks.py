@@ -121,3 +121,23 @@ def test_an_index_of_nothing(spark, tables):
     index = empty.refresh(docs.where("doc_id < 30"))
     assert found(lx.bm25(index, queries, 5)) == found(lx.bm25(lx.build_index(docs.where("doc_id < 30")), queries, 5))
     assert shared_dir(spark) not in index.root
+
+
+def test_substring_pairs_stay_on_the_cluster(spark, monkeypatch):
+    """The driver gets the query terms only, however many index terms match them."""
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("ab cd ab"), "id", F.lit(" x"), F.col("id") % 7).alias("text"), F.lit("f").alias("source")
+    )
+    queries = spark.createDataFrame([(1, "ab ab99 cdab12"), (2, "b2 x3"), (3, "zz")], "query_id long, text string")
+    index, frame, sizes = B.build(docs), type(docs), []
+    whole = frame.toArrow
+
+    def watched(self):
+        out = whole(self)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(frame, "toArrow", watched)
+    got = found(lx.bm25(index, queries, 40, partial=True))
+    assert sizes and max(sizes) <= 10
+    assert got == found(lx.bm25(lx.build_index(docs), queries, 40, partial=True))
