@@ -150,43 +150,66 @@ def current_windows(spark: SparkSession, root: str) -> DataFrame:
 
 
 PAIRED = "event_id long, name string, duration double"
-PAIR_STATE = "start long, end long"
+PAIR_STATE = "ids array<long>, known array<boolean>, names array<string>, starts array<long>, ends array<long>, until array<long>"
+#: Groups that hold the open events of a pairing stream; a call of Python serves a whole group.
+PAIR_BUCKETS = 1024
+#: What no start and no end stand as, in microseconds.
+NO_START, NO_END = (1 << 63) - 1, -(1 << 63)
 
 
-def stream_pairs(events: DataFrame, patience: str = LATENESS) -> DataFrame:
+def stream_pairs(events: DataFrame, patience: str = LATENESS, buckets: int = PAIR_BUCKETS) -> DataFrame:
     """(event_id, name, duration in ms) of a stream of starts and ends (event_id, name, phase, ts), one row per completed event.
 
     The state of an event holds its first start and last end until both are there; then it gives its row and is done. A start or
     end without the other is dropped by a timer when the watermark has passed its time by ``patience``, so the state
     stays bounded by what is open. A pair that comes within one batch never waits. Like the batch form it needs ``start`` and
-    ``end`` rows; other phases are ignored.
+    ``end`` rows with a time; other phases are ignored. Events are dealt to ``buckets`` by a hash, and a bucket's open events are
+    one state, so the rows of many events are folded at once.
     """
     wait = _milliseconds(patience)
+    key = ["event_id", "known", "name"]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, end = state.get if state.exists else (None, None)
-        latest = 0
+    def fold(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        return rows.groupby(key, sort=False, dropna=False, as_index=False).agg(
+            start=("start", "min"), end=("end", "max"), until=("until", "min"), latest=("latest", "max")
+        )
+
+    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        held = None
         for rows in batches:
-            at = rows["us"].to_numpy()
-            latest = max(latest, int(at.max()))
-            for phase, us in zip(rows["phase"], at.tolist(), strict=True):
-                if phase == "start":
-                    start = us if start is None else min(start, us)
-                elif phase == "end":
-                    end = us if end is None else max(end, us)
-        if start is not None and end is not None:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"event_id": [key[0]], "name": [key[1]], "duration": [(end - start) / 1000]})
-        elif start is not None or end is not None:
-            state.update((start, end))
-            state.setTimeoutTimestamp(max(latest // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-
-    marked = events.withWatermark("ts", patience).where(F.col("phase").isin("start", "end")).withColumn("us", F.unix_micros("ts"))
-    return marked.groupBy("event_id", "name").applyInPandasWithState(step, PAIRED, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            us, start, end = rows["us"], rows["phase"] == "start", rows["phase"] == "end"
+            rows = rows[key].assign(start=us.where(start, NO_START), end=us.where(end, NO_END), until=NO_START, latest=us)
+            held = fold([rows] if held is None else [held, rows])
+        if state.exists:
+            old = pd.DataFrame(dict(zip([*key, "start", "end", "until"], state.get, strict=True))).assign(latest=NO_END)
+            held = old if held is None else fold([old, held])
+        if held is None:
+            return
+        done = (held["start"] != NO_START) & (held["end"] != NO_END)
+        paired, held = held[done], held[~done]
+        # an event with a row in this batch waits from its latest time on; another keeps its timer
+        fresh = held["latest"] != NO_END
+        until = held["until"].where(~fresh, (held["latest"] // 1000 + wait).clip(lower=now + 1))
+        held = held.assign(until=until)[fresh | (until >= now)]
+        if len(held):
+            names = held["name"].astype(object).where(held["name"].notna(), None)
+            state.update((held["event_id"].tolist(), held["known"].tolist(), names.tolist(), *(held[c].tolist() for c in ("start", "end", "until"))))
+            state.setTimeoutTimestamp(max(int(held["until"].min()), now + 1))
+        elif state.exists:
+            state.remove()
+        if len(paired):
+            ids = paired["event_id"].astype("Int64").where(paired["known"].astype(bool))
+            names = paired["name"].astype(object).where(paired["name"].notna(), None)
+            yield pd.DataFrame({"event_id": ids, "name": names, "duration": (paired["end"] - paired["start"]) / 1000})
+
+    marked = events.withWatermark("ts", patience).where(F.col("phase").isin("start", "end") & F.col("ts").isNotNull()).select(
+        F.pmod(F.xxhash64("event_id", "name"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), F.col("event_id").isNotNull().alias("known"),
+        "name", "phase", F.unix_micros("ts").alias("us"), "ts",
+    )
+    return marked.groupBy("bucket").applyInPandasWithState(step, PAIRED, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _milliseconds(interval: str) -> int:

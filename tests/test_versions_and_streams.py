@@ -94,3 +94,26 @@ def test_pairs_across_deliveries_and_starts_that_never_end(spark):
     assert got == [(1, "a", 60000.0), (3, "b", 1000.0), (4, "b", 100000.0)]
     batch = spark.createDataFrame([r for d in deliveries for r in d if r[0] != 2], schema)
     assert sorted(map(tuple, mt.paired(batch).collect())) == got
+
+
+def test_open_events_share_states(spark):
+    """The state of a pairing stream grows with its buckets, not with its events: each state is one call of Python."""
+    base = shared_dir(spark)
+    schema = "event_id long, name string, phase string, ts timestamp"
+    big = 1 << 60
+    starts = [(big + i, f"n{i % 3}", "start", at(i % 50 + n)) for i in range(600) for n in (0, 3)]
+    some = [(None, "x", "start", at(1)), (5, None, "start", at(2)), (6, "y", "start", None), (None, None, "end", at(4))]
+    ends = [(big + i, f"n{i % 3}", "end", at(100 + i % 50 + n)) for i in range(0, 600, 2) for n in (0, 5)]
+    last = [(None, "x", "end", at(3)), (5, None, "end", at(4)), (6, "y", "end", at(5)), (None, None, "start", at(1))]
+    for rows in (starts + some, ends + last):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/inbox")
+        stream = jobs.stream_pairs(jobs.stream_documents(spark, f"{base}/inbox", spark.createDataFrame([], schema).schema), buckets=4)
+        query = (
+            stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
+    got = {(r["event_id"], r["name"]): r["duration"] for r in spark.read.parquet(f"{base}/out").collect()}
+    want = {(big + i, f"n{i % 3}"): 105000.0 for i in range(0, 600, 2)}
+    assert got == want | {(None, "x"): 2000.0, (5, None): 2000.0, (None, None): 3000.0}
