@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import broadcast_if_small, materialise
+from corpuslake.functions.scale import broadcast_if_small, hint_small, is_small, materialise
 from corpuslake.functions.text import CJK, WS, contains_any, extract_all, let, norm_path, script_of, trim_ws
 
 def per_query():
@@ -119,6 +119,8 @@ def scope_filter(df: DataFrame, scopes: DataFrame, suffixes: bool = True) -> Dat
     """
     src = F.coalesce(norm_path("source"), F.lit(""))
     paths = scopes.select("query_id", norm_path("path").alias("_p")).distinct()
+    if not is_small(scopes):
+        paths = hint_small(paths, False)
     rows = df.withColumn("_src", src)
     asked = rows.select("query_id", "_src").distinct()
     if suffixes:

@@ -229,3 +229,17 @@ def test_a_source_filter_reaches_the_scan(spark):
     assert sorted(r["vec_id"] for r in stored.collect()) == [7, 8]
     plan = stored._jdf.queryExecution().executedPlan().toString()
     assert "In(source_norm" in plan.split("PushedFilters:")[1]
+
+
+def test_scopes_of_many_rows_are_not_broadcast(spark):
+    """Repeated paths take few bytes in files, so their stored size must not decide."""
+    from corpuslake.functions.scale import materialise
+
+    paths = spark.range(300_000).select((F.col("id") % 300).alias("query_id"), F.concat(F.lit("dir/"), (F.col("id") / 300).cast("int"), F.lit(".txt")).alias("path"))
+    scopes = materialise(paths.repartition(1).sortWithinPartitions("path"), "scopes")
+    hits = spark.createDataFrame([(1, "x/dir/5.txt"), (1, "dir/2000.txt"), (400, "y")], "query_id long, source string")
+    out = rk.scope_filter(hits, scopes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("_key" in x or "_p#" in x)]
+    assert not joins
+    assert sorted(map(tuple, out.collect())) == [(1, "x/dir/5.txt"), (400, "y")]
