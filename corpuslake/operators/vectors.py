@@ -24,8 +24,10 @@ from corpuslake.functions.vectors import hashed_bag_encoder
 from corpuslake.operators.ranking import rrf
 
 MAX_LOCAL_QUERIES = 20_000  # query vectors one task may hold
-QUERY_BLOCK = 2_048
-VECTOR_BLOCK = 50_000
+#: Rows of a block side. Every vector is shuffled once per query block and every query once per vector block.
+QUERY_BLOCK, LEAST_BLOCK = 16_384, 2_048
+VECTOR_BLOCK = 32_768
+QUERIES_AT_ONCE = 64  # rows of a distance matrix
 DIST_DIGITS = 9  # distances are compared after rounding, ties go to the lower id
 
 
@@ -43,8 +45,8 @@ def unit_rows(mat: np.ndarray) -> np.ndarray:
 def nearest_rows(qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int):
     """Per query the ``k`` nearest rows by (rounded distance, id): index, id and distance arrays."""
     out_q, out_id, out_d = [], [], []
-    for start in range(0, len(qmat), 256):
-        dist = np.round(1.0 - qmat[start : start + 256] @ mat.T, DIST_DIGITS)
+    for start in range(0, len(qmat), QUERIES_AT_ONCE):
+        dist = np.round(1.0 - qmat[start : start + QUERIES_AT_ONCE] @ mat.T, DIST_DIGITS)
         kk = min(k, dist.shape[1])
         edge = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
         for i in range(dist.shape[0]):
@@ -132,7 +134,9 @@ def _map_side(vectors, queries, k, query_id, schema) -> DataFrame:
 def _block_side(vectors, queries, k, query_id, schema) -> DataFrame:
     """Blocks of at most about VECTOR_BLOCK x QUERY_BLOCK rows meet in one task each."""
     n_q = queries.count()
-    q_blocks = max(1, -(-n_q // QUERY_BLOCK))
+    # smaller blocks than QUERY_BLOCK only as long as they give the cores work
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-n_q // QUERY_BLOCK), min(-(-n_q // LEAST_BLOCK), 2 * cores))
     sizes = vectors.groupBy("_cell").agg(
         F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("_parts")
     )

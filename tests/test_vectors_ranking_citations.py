@@ -243,3 +243,17 @@ def test_scopes_of_many_rows_are_not_broadcast(spark):
     joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("_key" in x or "_p#" in x)]
     assert not joins
     assert sorted(map(tuple, out.collect())) == [(1, "x/dir/5.txt"), (400, "y")]
+
+
+def test_distances_are_held_for_few_queries_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    q, v = vx.unit_rows(rng.normal(size=(300, 8))), vx.unit_rows(rng.normal(size=(40_000, 8)))
+    tracemalloc.start()
+    at, ids, dist = vx.nearest_rows(q, np.arange(len(v)), v, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 96 MB would be the distances of all 300 queries alone
+    best = np.argsort(np.round(1 - q[299] @ v.T, vx.DIST_DIGITS), kind="stable")[:5]
+    assert sorted(ids[at == 299]) == sorted(best) and len(dist) == 1500
