@@ -4,7 +4,8 @@ Exact search compares every query with every vector, which is what the
 operator means, but no row pairs are formed: vectors stream through
 ``mapInArrow`` against a query matrix and each task keeps ``k`` rows per query.
 Query sets beyond a checked bound are split into blocks instead and meet the
-vectors block by block (``cogroup``), again keeping ``k`` rows per block.
+vectors block by block (``cogroup``), again keeping ``k`` rows per block. Approximate
+search does the same with blocks of whole cells.
 """
 
 from __future__ import annotations
@@ -42,19 +43,32 @@ def unit_rows(mat: np.ndarray) -> np.ndarray:
     return np.divide(mat, n, out=np.zeros_like(mat), where=n > 0)
 
 
-def nearest_rows(qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int):
-    """Per query the ``k`` nearest rows by (rounded distance, id): index, id and distance arrays."""
-    out_q, out_id, out_d = [], [], []
+def nearest_rows(qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, probed: np.ndarray | None = None, cell: np.ndarray | None = None):
+    """Per query the ``k`` nearest rows by (rounded distance, id): index, id and distance arrays.
+
+    ``probed`` (queries x cells) with ``cell`` (of each row): only rows of a query's own cells count.
+    """
+    none = np.zeros(0, np.int64)
+    out_q, out_id, out_d = [none], [none], [np.zeros(0)]
     for start in range(0, len(qmat), QUERIES_AT_ONCE):
-        dist = np.round(1.0 - qmat[start : start + QUERIES_AT_ONCE] @ mat.T, DIST_DIGITS)
+        here = slice(start, start + QUERIES_AT_ONCE)
+        some_ids, some = ids, mat
+        if probed is not None:
+            rows = np.flatnonzero(probed[here].any(axis=0)[cell])
+            if not len(rows):
+                continue
+            some_ids, some = ids[rows], mat[rows]
+        dist = np.round(1.0 - qmat[here] @ some.T, DIST_DIGITS)
+        if probed is not None:
+            dist[~probed[here][:, cell[rows]]] = np.inf
         kk = min(k, dist.shape[1])
         edge = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
         for i in range(dist.shape[0]):
-            idx = np.nonzero(dist[i] <= edge[i])[0]
+            idx = np.nonzero((dist[i] <= edge[i]) & (dist[i] < np.inf))[0]
             if len(idx) > kk:
-                idx = idx[np.lexsort((ids[idx], dist[i][idx]))[:kk]]
+                idx = idx[np.lexsort((some_ids[idx], dist[i][idx]))[:kk]]
             out_q.append(np.full(len(idx), start + i))
-            out_id.append(ids[idx])
+            out_id.append(some_ids[idx])
             out_d.append(dist[i][idx])
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_d)
 
@@ -78,11 +92,11 @@ def _frame(q, ids, d) -> pd.DataFrame:
 
 
 def _candidates(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_id: str
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_id: str, order: list[int] | None = None
 ) -> DataFrame:
     """(query_id, id, distance) with at most ``k`` rows per query and task.
 
-    ``vectors`` carry ``_cell``; a query meets the cells listed in its ``_cells``.
+    ``vectors`` carry ``_cell``; a query meets the cells whose bits are set in its ``_cells``.
     """
     qtype = queries.schema[query_id].dataType
     schema = T.StructType(
@@ -95,33 +109,38 @@ def _candidates(
     vectors = vectors.select(F.col(id_col).cast("long"), vec_col, F.col("_cell").cast("int"))
     if is_small(queries, MAX_LOCAL_QUERIES):
         return _map_side(vectors, queries, k, query_id, schema)
-    return _block_side(vectors, queries, k, query_id, schema)
+    return _block_side(vectors, queries, k, query_id, schema, order)
+
+
+def _bits(column, n: int) -> np.ndarray:
+    """Packed bits of ``n`` cells -> queries x cells."""
+    rows = [np.frombuffer(b, np.uint8) for b in column]
+    return np.unpackbits(np.stack(rows), axis=1)[:, :n].astype(bool) if rows else np.zeros((0, n), bool)
+
+
+def _limits(probed: np.ndarray, cell: np.ndarray) -> np.ndarray | None:
+    """None where all queries ask for all of these rows' cells."""
+    return None if probed[:, np.unique(cell)].all() else probed
 
 
 def _map_side(vectors, queries, k, query_id, schema) -> DataFrame:
-    small = queries.select(query_id, "embedding", "_cells").toArrow()  # bound checked by the caller
+    # queries of like cells lie together, so that few other cells are looked at with them; bound checked by the caller
+    small = queries.select(query_id, "embedding", "_cells").toArrow().sort_by("_cells")
     qids = small.column(0).combine_chunks()
     qmat = unit_rows(list_matrix(small.column(1)))
-    asking: dict[int, list[int]] = {}  # cell -> queries
-    for i, cells in enumerate(small.column(2).to_pylist()):
-        for cell in cells:
-            asking.setdefault(cell, []).append(i)
+    bits = small.column(2).to_pylist()
+    probed = _bits(bits, 8 * max(map(len, bits), default=0))
 
     def run(batches):
         best = None
         for batch in batches:
+            if not len(batch) or not len(qmat):
+                continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             mat = unit_rows(list_matrix(batch.column(1)))
             cells = batch.column(2).to_numpy(zero_copy_only=False)
-            parts = [] if best is None else [best]
-            for cell in np.unique(cells):
-                rows = np.nonzero(cells == cell)[0]
-                asked = np.array(asking.get(int(cell), []), dtype=np.int64)
-                if len(asked):
-                    q, i, d = nearest_rows(qmat[asked], ids[rows], mat[rows], k)
-                    parts.append(_frame(asked[q], i, d))
-            if parts:
-                best = keep_best(parts, k)
+            found = _frame(*nearest_rows(qmat, ids, mat, k, _limits(probed, cells), cells))
+            best = keep_best([found] if best is None else [best, found], k)
         if best is not None and len(best):
             yield pa.RecordBatch.from_arrays(
                 [qids.take(pa.array(best["q"].to_numpy())), pa.array(best["id"]), pa.array(best["d"])],
@@ -131,46 +150,79 @@ def _map_side(vectors, queries, k, query_id, schema) -> DataFrame:
     return vectors.mapInArrow(run, schema)
 
 
-def _block_side(vectors, queries, k, query_id, schema) -> DataFrame:
-    """Blocks of at most about VECTOR_BLOCK x QUERY_BLOCK rows meet in one task each."""
+def _cell_blocks(sizes: dict[int, int], order: list[int]) -> list[tuple[int, int, int]]:
+    """(cell, first block, blocks): neighbouring cells share a block of about VECTOR_BLOCK rows, a larger cell takes several."""
+    out, block, held = [], 0, 0
+    for cell in order:
+        n = sizes.get(cell, 0)
+        if n and held and held + n > VECTOR_BLOCK:
+            block, held = block + 1, 0
+        parts = -(-n // VECTOR_BLOCK)
+        if parts:
+            out.append((cell, block, parts))
+            held += n
+        if parts > 1:
+            block, held = block + parts, 0
+    return out
+
+
+def _block_side(vectors, queries, k, query_id, schema, order=None) -> DataFrame:
+    """Blocks of at most about VECTOR_BLOCK x QUERY_BLOCK rows meet in one task each.
+
+    A block holds whole cells. A query goes once to each block with a cell of its own, however many of them it holds.
+    """
     n_q = queries.count()
+    spark = queries.sparkSession
     # smaller blocks than QUERY_BLOCK only as long as they give the cores work
-    cores = queries.sparkSession.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
     q_blocks = max(1, -(-n_q // QUERY_BLOCK), min(-(-n_q // LEAST_BLOCK), 2 * cores))
-    sizes = vectors.groupBy("_cell").agg(
-        F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("_parts")
-    )
-    sizes = broadcast_if_small(sizes)  # one row per cell
+    # one row per cell, as many as the model holds on the driver
+    sizes = {r["_cell"]: r["count"] for r in vectors.groupBy("_cell").count().collect()}
+    places = _cell_blocks(sizes, sorted(sizes) if order is None else order)
     c = (
-        vectors.join(sizes, "_cell")
-        .withColumn("_part", F.pmod(F.xxhash64(vectors.columns[0]), "_parts").cast("int"))
+        vectors.join(F.broadcast(spark.createDataFrame(places, "_cell int, _first int, _parts int")), "_cell")
+        .withColumn("_block", F.col("_first") + F.pmod(F.xxhash64(vectors.columns[0]), "_parts").cast("int"))
         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        .drop("_parts")
+        .drop("_first", "_parts")
     )
+    blocks = max((first + parts for _, first, parts in places), default=0)
+    n_cells = 8 * -(-(max(sizes, default=0) + 1) // 8)
+    of_block = np.zeros((n_cells, blocks), bool)
+    for cell, first, parts in places:
+        of_block[cell, first : first + parts] = True
+
+    @F.pandas_udf("array<int>")
+    def wanted(bits: pd.Series) -> pd.Series:
+        asked = _bits(bits, n_cells)
+        meets = asked.astype(np.float32) @ of_block[: asked.shape[1]].astype(np.float32) > 0
+        return pd.Series([np.flatnonzero(m).astype(np.int32) for m in meets], dtype=object)
+
     q = (
         queries.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("int"))
-        .withColumn("_cell", F.explode("_cells"))
-        .join(sizes, "_cell")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn("_block", F.explode(wanted("_cells")))
         # fresh attributes: both sides may stem from one table
-        .select("_cell", "_part", "_qb", F.col(query_id).alias("_qid"), F.col("embedding").alias("_qvec"))
+        .select("_block", "_qb", F.col(query_id).alias("_qid"), F.col("embedding").alias("_qvec"), F.col("_cells").alias("_bits"))
     )
     id_col, vec_col = vectors.columns[0], vectors.columns[1]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: [] for n in schema.names})
+        right = right.sort_values("_bits", kind="stable")  # queries of like cells together
+        cell = left["_cell"].to_numpy()
         qi, ids, d = nearest_rows(
             unit_rows(np.stack(right["_qvec"].to_numpy()).astype(np.float64)),
             left[id_col].to_numpy(),
             unit_rows(np.stack(left[vec_col].to_numpy()).astype(np.float64)),
             k,
+            _limits(_bits(right["_bits"], n_cells), cell),
+            cell,
         )
         return pd.DataFrame(
             {query_id: right["_qid"].to_numpy()[qi], id_col: ids, "distance": d}
         )
 
-    key = ["_cell", "_part", "_qb"]
+    key = ["_block", "_qb"]
     return c.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(run, schema)
 
 
@@ -224,7 +276,7 @@ def knn(
 ) -> DataFrame:
     """Exact cosine k-NN: (query_id, id, distance, rank, score = 1/(1+distance))."""
     v = filter_vectors(vectors, sources, tags).withColumn("_cell", F.lit(0))
-    q = queries.select(query_id, "embedding").withColumn("_cells", F.array(F.lit(0)))
+    q = queries.select(query_id, "embedding").withColumn("_cells", F.unhex(F.lit("80")))
     return _final_rank(_candidates(v, q, k, id_col, vec_col, query_id), k, id_col, query_id)
 
 
@@ -271,24 +323,61 @@ def ann_fit(
     else:
         centroids = np.ones((1, 1))
     feats.unpersist()
-    placed = vectors.withColumn("_cell", _nearest(centroids, 1)(F.col(vec_col))[0])
+    placed = vectors.withColumn("_cell", _nearest(centroids)(F.col(vec_col)))
     placed.repartition("_cell", F.pmod(F.xxhash64(id_col), F.lit(16))).write.mode("overwrite").partitionBy("_cell").parquet(path)
     return CellModel(centroids, path)
 
 
-def _nearest(centroids: np.ndarray, n: int):
-    """Column function: vector -> its ``n`` nearest cells."""
-    cents = unit_rows(centroids)
+def _cells_of(centroids: np.ndarray, vecs: pd.Series, n: int) -> np.ndarray:
+    mat = unit_rows(np.stack(vecs.to_numpy()).astype(np.float64))
+    return np.argsort(-(mat @ unit_rows(centroids).T), axis=1, kind="stable")[:, :n]
 
-    @F.pandas_udf("array<int>")
-    def nearest_cells(vecs: pd.Series) -> pd.Series:
+
+def _nearest(centroids: np.ndarray):
+    """Column function: vector -> its nearest cell."""
+
+    @F.pandas_udf("int")
+    def nearest_cell(vecs: pd.Series) -> pd.Series:
+        return pd.Series(_cells_of(centroids, vecs, 1)[:, 0].astype(np.int32)) if len(vecs) else pd.Series([], dtype="int32")
+
+    return nearest_cell
+
+
+def _probes(centroids: np.ndarray, n: int):
+    """Column function: vector -> its ``n`` nearest cells as packed bits."""
+
+    @F.pandas_udf("binary")
+    def probes(vecs: pd.Series) -> pd.Series:
         if not len(vecs):
             return pd.Series([], dtype=object)
-        mat = unit_rows(np.stack(vecs.to_numpy()).astype(np.float64))
-        order = np.argsort(-(mat @ cents.T), axis=1, kind="stable")[:, :n]
-        return pd.Series(list(order.astype(np.int32)))
+        asked = np.zeros((len(vecs), len(centroids)), bool)
+        np.put_along_axis(asked, _cells_of(centroids, vecs, n), True, axis=1)
+        return pd.Series([row.tobytes() for row in np.packbits(asked, axis=1)], dtype=object)
+
+    return probes
 
-    return nearest_cells
+
+def _asked_cells(queries: DataFrame) -> list[int]:
+    """Cells that at least one query asks for."""
+
+    def run(batches):
+        bits = [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in x.column(0).to_pylist()]) for x in batches if len(x)]
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array([np.bitwise_or.reduce(bits).tobytes()], pa.binary())], names=["bits"])
+
+    rows = queries.select("_cells").mapInArrow(run, "bits binary").collect()  # one row a task
+    return np.flatnonzero(_bits([r["bits"] for r in rows], 8 * len(rows[0]["bits"])).any(axis=0)).tolist() if rows else []
+
+
+def _chain(centroids: np.ndarray) -> list[int]:
+    """Cells in an order in which neighbours are alike: from each to the nearest that is left."""
+    cents = unit_rows(centroids)
+    left, at, out = np.ones(len(cents), bool), 0, []
+    while left.any():
+        left[at] = False
+        out.append(at)
+        at = int(np.argmax(np.where(left, cents @ cents[at], -np.inf)))
+    return out
 
 
 def ann(
@@ -304,12 +393,11 @@ def ann(
 
     With ``nprobe`` of at least the number of cells the result is exact.
     """
-    probes = _nearest(model.centroids, nprobe)(F.col("embedding"))
+    probes = _probes(model.centroids, nprobe)(F.col("embedding"))
     q = materialise(queries.select(query_id, "embedding").withColumn("_cells", probes), "probes")
-    # one number per cell at most, as many as the model holds on the driver
-    wanted = [r["c"] for r in q.select(F.explode("_cells").alias("c")).distinct().collect()]
-    vectors = queries.sparkSession.read.parquet(model.path).where(F.col("_cell").isin(wanted))
-    return _final_rank(_candidates(vectors, q, k, id_col, vec_col, query_id), k, id_col, query_id)
+    vectors = queries.sparkSession.read.parquet(model.path).where(F.col("_cell").isin(_asked_cells(q)))
+    found = _candidates(vectors, q, k, id_col, vec_col, query_id, _chain(model.centroids))
+    return _final_rank(found, k, id_col, query_id)
 
 
 def recall(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -54,6 +54,22 @@ def test_ann_recall(spark, cloud):
     assert some >= 0.9 and every == 1.0
 
 
+def test_ann_queries_go_once_to_a_block_of_cells(spark, cloud, monkeypatch):
+    mat, df = cloud
+    q = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    model = vx.ann_fit(df)
+    got = lambda n: {(r.query_id, r.vec_id, r["rank"]) for r in vx.ann(model, q, 5, n).collect()}
+    near = got(4)
+    monkeypatch.setattr(vx, "MAX_LOCAL_QUERIES", 10)
+    monkeypatch.setattr(vx, "VECTOR_BLOCK", 350)
+    assert got(4) == near
+    assert got(len(model.centroids)) == brute(mat, 5)
+    kept, final = [], vx._final_rank
+    monkeypatch.setattr(vx, "_final_rank", lambda found, *a: kept.append(found.count()) or final(found, *a))
+    got(len(model.centroids))
+    assert kept[0] <= 3 * 5 * len(mat)  # k rows a block, not a cell
+
+
 def words(t):
     return {w for w in t.lower().split() if len(w) > 1}
 
