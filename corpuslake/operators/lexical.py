@@ -11,9 +11,12 @@ so results do not depend on the order in which partial sums meet.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -369,85 +372,119 @@ def filename_search(docs: DataFrame, keywords: DataFrame, limit) -> DataFrame:
     keywords in the text; tier 3: any keyword in the text. Tier order, then
     document order. ``limit`` is an int or a table (query_id, fetch_k).
     """
-    hits = _keyword_hits(docs, keywords)
-    per_query = keywords.groupBy("query_id").agg(F.count("*").alias("n_kw"))
-    lower = keywords.select("query_id", F.lower("keyword").alias("kw")).groupBy("query_id", "kw").agg(
-        F.count("*").alias("n")
-    )
-    asked = lower.join(per_query, "query_id")
-    counted = (
-        hits.join(broadcast_if_small(materialise(asked, "asked")), "kw")
-        .groupBy("query_id", "doc_id")
-        .agg(
-            F.sum(F.when(F.col("in_name"), F.col("n")).otherwise(0)).alias("name_hits"),
-            F.sum(F.when(F.col("in_text"), F.col("n")).otherwise(0)).alias("text_hits"),
-            F.max("n_kw").alias("n_kw"),
-        )
-    )
-    tier = (
-        F.when(F.col("name_hits") > 0, 1)
-        .when((F.col("text_hits") >= F.ceil(F.col("n_kw") * 0.5)) & (F.col("text_hits") >= 2), 2)
-        .when(F.col("text_hits") > 0, 3)
-    )
-    ranked = counted.withColumn("tier", tier).where("tier is not null")
-    order = [F.col("tier"), F.col("doc_id")]
-    return cut(ranked, ["query_id"], limit, order).select("query_id", "doc_id", "tier", "rank")
-
+    kw = F.lower("keyword")
+    asked = keywords.select("query_id", kw.alias("kw")).groupBy("query_id", "kw").agg(F.count("*").alias("n"))
+    n_kw = F.sum("n").over(Window.partitionBy("query_id")).alias("n_kw")
+    asked = materialise(asked.select("query_id", "kw", "n", n_kw).where("kw <> ''"), "asked")
+    if isinstance(limit, int):
+        asked = asked.withColumn("depth", F.lit(limit))
+    else:
+        asked = asked.join(limit.select("query_id", F.col("fetch_k").cast("int").alias("depth")), "query_id")
+    size = asked.agg(F.sum(F.length(F.col("kw").cast("binary")) + ASKED_BYTES)).first()[0] or 0
+    passes = max(1, -(-int(size) // KEYWORD_BYTES))
+    rows = _by_document(docs)
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, tier int"
+    out = None
+    for i in range(passes):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow()
+        found = rows.mapInArrow(_tiers(docs.sparkSession, mine), schema)
+        out = found if out is None else out.union(found)
+    return cut(out, ["query_id"], limit, [F.col("tier"), F.col("doc_id")]).select("query_id", "doc_id", "tier", "rank")
 
-#: Bytes of keywords that are searched for in one pass.
-KEYWORD_BYTES = 8 << 20
 
+#: Bytes of keywords that are searched for in one pass, and what a row of a query's keyword takes beside its text.
+KEYWORD_BYTES, ASKED_BYTES = 8 << 20, 16
+TEXTS_AT_ONCE = 256  # texts that are Python strings at the same time
+KEEP_ROWS = 500_000  # rows found before a task cuts them to each query's depth
 
-def _keyword_hits(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(doc_id, kw, in_name, in_text): every keyword that occurs in a name or text.
 
-    The keywords of a pass are broadcast, bounded in bytes, and each text is
-    scanned once for all of them by an automaton; more keywords take more passes.
-    """
-    kws = materialise(keywords.select(F.lower("keyword").alias("kw")).where("kw <> ''").distinct(), "keywords")
-    size = kws.agg(F.sum(F.length(F.col("kw").cast("binary")))).first()[0] or 0
-    passes = max(1, -(-int(size) // KEYWORD_BYTES))
-    cols = docs.select(
-        "doc_id",
-        F.lower(F.coalesce("text", F.lit(""))).alias("_text"),
-        path_tail(F.lower(F.coalesce("source", F.lit("")))).alias("_name"),
+def _by_document(docs: DataFrame) -> DataFrame:
+    """(doc_id, parts): names and texts of a document, in lower case; only rows of a repeated id are shuffled."""
+    part = F.struct(
+        path_tail(F.lower(F.coalesce("source", F.lit("")))).alias("name"), F.lower(F.coalesce("text", F.lit(""))).alias("text")
     )
-    out = None
-    for i in range(passes):
-        words = [r["kw"] for r in kws.where(F.pmod(F.xxhash64("kw"), F.lit(passes)) == i).collect()]
-        found = cols.select("doc_id", F.explode(_finder(docs.sparkSession, words)("_name", "_text")).alias("_f"))
-        found = found.select("doc_id", "_f.kw", "_f.in_name", "_f.in_text")
-        out = found if out is None else out.union(found)
-    return out
+    twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    twice = materialise(twice, "twice")
+    rows = docs.select("doc_id", part.alias("part"))
+    one = F.array("part").alias("parts")
+    if not twice.limit(1).count():
+        return rows.select("doc_id", one)
+    again, same = hint_small(twice, is_small(twice)), F.col("doc_id").eqNullSafe(F.col("_again"))
+    several = rows.join(again, same, "left_semi").groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    return rows.join(again, same, "left_anti").select("doc_id", one).union(several)
 
 
-def _finder(spark, words: list[str]):
-    """Column function (name, text) -> array of (kw, in_name, in_text)."""
-    shared = spark.sparkContext.broadcast(words)
+def _tiers(spark, asked: pa.Table):
+    """Documents -> (query_id, doc_id, tier), in each task the first ``depth`` of a query by tier and document.
 
-    def run(names: pa.Array, texts: pa.Array) -> pa.Array:
+    Each text is scanned once for all keywords by an automaton, and its hits are counted by query at once.
+    """
+    words = asked["kw"].combine_chunks().dictionary_encode()
+    ids = asked["query_id"].combine_chunks().dictionary_encode()
+    code, query = words.indices.to_numpy(), ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    n_kw, depth = (np.zeros(len(ids.dictionary), np.int64) for _ in range(2))
+    n_kw[query], depth[query] = asked["n_kw"].to_numpy(), asked["depth"].to_numpy()
+    plan = {
+        "words": words.dictionary.to_pylist(), "starts": np.searchsorted(code[order], np.arange(len(words.dictionary) + 1)),
+        "query": query[order], "n": asked["n"].to_numpy()[order].astype(np.int64), "n_kw": n_kw, "depth": depth, "ids": ids.dictionary,
+    }
+    shared = spark.sparkContext.broadcast(plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        machine = getattr(run, "machine", None)
-        if machine is None:
-            machine = run.machine = ahocorasick.Automaton()
-            for w in shared.value:
-                machine.add_word(w, w)
-            machine.make_automaton()
-        if not len(machine):
-            return pa.array([[]] * len(texts), _FOUND)
-        rows = []
-        for name, text in zip(names.to_pylist(), texts.to_pylist(), strict=True):
-            in_name, in_text = ({w for _, w in machine.iter(s)} for s in (name, text))
-            rows.append([{"kw": w, "in_name": w in in_name, "in_text": w in in_text} for w in in_name | in_text])
-        return pa.array(rows, _FOUND)
-
-    run.__annotations__ = {"names": pa.Array, "texts": pa.Array, "return": pa.Array}  # as types, they mark the kind of function
-    # evaluated once a row
-    return F.arrow_udf(run, "array<struct<kw:string,in_name:boolean,in_text:boolean>>").asNondeterministic()
-
-
-_FOUND = pa.list_(pa.struct([("kw", pa.string()), ("in_name", pa.bool_()), ("in_text", pa.bool_())]))
+        p = shared.value
+        machine = ahocorasick.Automaton()
+        for i, w in enumerate(p["words"]):
+            machine.add_word(w, i)
+        machine.make_automaton()
+        starts, query, times, n_kw = p["starts"], p["query"], p["n"], p["n_kw"]
+
+        def hits(text: str) -> np.ndarray:
+            """Places in ``query`` of the keywords that a text holds."""
+            found = np.fromiter({i for _, i in machine.iter(text)}, np.int64)
+            sizes = starts[found + 1] - starts[found]
+            return np.repeat(starts[found] - np.r_[0, np.cumsum(sizes)[:-1]][: len(sizes)], sizes) + np.arange(sizes.sum())
+
+        def tiers(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+            """Queries and tiers of a document."""
+            named = np.concatenate([hits(x["name"]) for x in parts])
+            inside = np.concatenate([hits(x["text"]) for x in parts])
+            qs, at = np.unique(np.r_[query[named], query[inside]], return_inverse=True)
+            in_name = np.bincount(at[: len(named)], times[named], len(qs))
+            in_text = np.bincount(at[len(named) :], times[inside], len(qs))
+            second = (in_text >= np.ceil(n_kw[qs] * 0.5)) & (in_text >= 2)
+            return qs, np.where(in_name > 0, 1, np.where(second, 2, 3))
+
+        def kept(tables: list[pa.Table]) -> pa.Table:
+            table = pa.concat_tables(tables)
+            keys = [("q", "ascending"), ("tier", "ascending"), ("doc_id", "ascending")]
+            table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+            q = table["q"].to_numpy()
+            first = np.searchsorted(q, q)
+            return table.filter(pa.array(np.arange(len(q)) - first < p["depth"][q])).combine_chunks()
+
+        held, size = [], 0
+        for batch in batches if len(machine) else ():
+            for start in range(0, len(batch), TEXTS_AT_ONCE):
+                some = batch.slice(start, TEXTS_AT_ONCE)
+                found = [tiers(parts) for parts in some.column(1).to_pylist()]
+                doc = np.repeat(np.arange(len(some)), [len(q) for q, _ in found])
+                held.append(pa.table({
+                    "q": np.concatenate([q for q, _ in found]), "doc_id": some.column(0).take(pa.array(doc)),
+                    "tier": np.concatenate([t for _, t in found]).astype(np.int32),
+                }))
+                size += len(doc)
+                if size > KEEP_ROWS:
+                    held = [kept(held)]
+                    size = min(KEEP_ROWS // 2, len(held[0]))
+        if held:
+            table = kept(held)
+            table = pa.table({"query_id": p["ids"].take(table["q"]), "doc_id": table["doc_id"], "tier": table["tier"]})
+            yield from table.to_batches(max_chunksize=10_000)
+
+    return run
 
 
 def matched_keywords(docs: DataFrame, keywords: DataFrame) -> DataFrame:

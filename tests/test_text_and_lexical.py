@@ -124,3 +124,36 @@ def test_reasoning_and_steps(spark):
     assert r[2].answer == "ab" and r[3].reasoning is None and r[3].answer == "plain"
     s = ts.steps(df).collect()
     assert [(x.id, x.status, x.content) for x in s] == [("1", "done", "two")]
+
+
+def test_filename_search_cuts_in_the_scan(spark, rows, monkeypatch):
+    """Each task hands on no more rows of a query than its depth; repeated ids and several passes change nothing."""
+    docs = spark.createDataFrame([(i % 90, f"alpha beta text {i}", f"d/gamma{i}.txt" if i % 7 == 0 else f"d/{i}.txt") for i in range(100)], "doc_id long, text string, source string")
+    kws = [(1, 0, "Alpha"), (1, 1, "beta"), (1, 2, "gamma"), (2, 0, "alpha"), (3, 0, "gamma"), (3, 1, "none"), (4, 0, "absent")]
+    kw = spark.createDataFrame(kws, "query_id long, ord int, keyword string")
+
+    def plain(depth):
+        out = []
+        for q in range(1, 5):
+            words, found = [w.lower() for a, _, w in kws if a == q], []
+            for d in range(90):
+                mine = [i for i in range(100) if i % 90 == d]
+                names = sum(w in (f"gamma{i}.txt" if i % 7 == 0 else f"{i}.txt") for i in mine for w in words)
+                texts = sum(w in f"alpha beta text {i}" for i in mine for w in words)
+                if names or texts:
+                    found.append((1 if names else 2 if texts >= max(2, -(-len(words) // 2)) else 3, d))
+            out += [(q, d, t, r) for r, (t, d) in enumerate(sorted(found)[:depth], 1)]
+        return sorted(out)
+
+    assert rows(lx.filename_search(docs, kw, 5), "query_id", "doc_id", "tier", "rank") == plain(5)
+    depths = spark.createDataFrame([(1, 200), (2, 3), (3, 1), (4, 1)], "query_id long, fetch_k long")
+    want = [r for r in plain(200) if r[3] <= {1: 200, 2: 3, 3: 1, 4: 1}[r[0]]]
+    monkeypatch.setattr(lx, "KEYWORD_BYTES", 60)
+    monkeypatch.setattr(lx, "KEEP_ROWS", 20)
+    assert rows(lx.filename_search(docs, kw, depths), "query_id", "doc_id", "tier", "rank") == want
+    seen, cut = [], lx.cut
+    monkeypatch.setattr(lx, "cut", lambda found, *a: seen.append(found) or cut(found, *a))
+    lx.filename_search(docs.repartition(2), kw, 5)
+    tasks = seen[0].rdd.getNumPartitions()
+    assert seen[0].count() <= 4 * 5 * tasks
+    assert "Generate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
