@@ -284,9 +284,11 @@ def bm25_multi(
     hits = found.join(asked, "form").where(F.col("rank") <= limit).select("query_id", "ord", "doc_id", "score", "rank")
     # written once: the size check and the join below both read it
     hits = materialise(hits, "variant_hits")
-    found = broadcast_if_small(hits.select("doc_id").distinct())
-    keys = docs.join(found, "doc_id", "left_semi").select("doc_id", F.md5("text").alias("text_key"))
-    keyed = hits.join(keys, "doc_id").select("query_id", "ord", "rank", "doc_id", "score", "text_key")
+    found = hits.select("doc_id").distinct()
+    small = is_small(found)
+    keys = docs.join(hint_small(found, small), "doc_id", "left_semi").select("doc_id", F.md5("text").alias("text_key"))
+    # millions of hits may take less in files than Spark's bound, so it would broadcast them: the keys go, or a shuffle join stays
+    keyed = hits.join(hint_small(keys, small), "doc_id").select("query_id", "ord", "rank", "doc_id", "score", "text_key")
     best = keyed.groupBy("query_id", "text_key").agg(
         F.max_by(
             F.struct("doc_id", "score", "ord", "rank"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import broadcast_if_small, materialise
+from corpuslake.functions.scale import broadcast_if_small, hint_small, is_small, materialise
 from corpuslake.functions.text import norm_path
 from corpuslake.functions.vectors import cosine
 from corpuslake.operators import blocks
@@ -59,8 +59,9 @@ def search(
         lists = lists.unionByName(_vector_list(docs, plan, cfg, scopes))
     lists = materialise(lists, "lists")
     found = materialise(_hit_docs(docs, lists), "found")
-    fused = rk.fuse_scores(_by_content(found, lists), rrf_k=cfg.rrf_k, limit=plan)
-    hits = fused.withColumnRenamed("key", "doc_id").join(found.select("doc_id", "source"), "doc_id")
+    small = is_small(found)  # else Spark goes by the files' size and may broadcast the lists
+    fused = rk.fuse_scores(_by_content(found, lists, small), rrf_k=cfg.rrf_k, limit=plan)
+    hits = fused.withColumnRenamed("key", "doc_id").join(hint_small(found.select("doc_id", "source"), small), "doc_id")
     if scopes is not None:
         hits = rk.scope_filter(hits, scopes)
     kept = materialise(rk.threshold(hits, cfg.min_relevance), "kept")
@@ -164,9 +165,9 @@ def _hit_docs(docs, lists) -> DataFrame:
     )
 
 
-def _by_content(found, lists) -> DataFrame:
+def _by_content(found, lists, small) -> DataFrame:
     """Equal (source, text) is one result: key = the lowest document id of the content."""
-    rows = lists.join(found.select("doc_id", "content"), "doc_id")
+    rows = lists.join(hint_small(found.select("doc_id", "content"), small), "doc_id")
     same = Window.partitionBy("query_id", "content")
     return rows.select("query_id", "list", F.min("doc_id").over(same).alias("key"), "rank", "distance")
 

@@ -157,3 +157,24 @@ def test_filename_search_cuts_in_the_scan(spark, rows, monkeypatch):
     tasks = seen[0].rdd.getNumPartitions()
     assert seen[0].count() <= 4 * 5 * tasks
     assert "Generate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variant_hits_are_never_broadcast(spark, monkeypatch, rows):
+    """Their files are far below Spark's bound; beyond the checked bound of documents the shuffle join stays."""
+    from corpuslake.functions import scale
+    from corpuslake.operators import blocks
+
+    docs = spark.createDataFrame([(i, f"red fox {i % 3}", "d") for i in range(40)], "doc_id long, text string, source string")
+    variants = spark.createDataFrame([(q, o, t) for q in range(4) for o, t in enumerate(["red fox", "fox"])], "query_id long, ord int, text string")
+    index, seen, cut = blocks.build(docs), [], lx.cut
+    monkeypatch.setattr(lx, "cut", lambda found, *a: seen.append(found) or cut(found, *a))
+
+    def joins():
+        want = rows(lx.bm25_multi(index, variants, docs, 5), "query_id", "doc_id", "rank")
+        plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+        return want, plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+    small = joins()
+    monkeypatch.setattr(lx, "is_small", lambda df: scale.is_small(df, 2))
+    large = joins()
+    assert small == (large[0], 0, 2) and large[1:] == (2, 0)
