@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from corpuslake.functions import fixed_values as fv
 from corpuslake.functions.text import (
-    CJK, WS, count_chars, extension, extract_all, let, map_value, path_tail, trim_ws,
+    CJK, WS, count_chars, extension, let, map_value, path_tail, trim_ws,
 )
 
 NUMERALS = "一二三四五六七八九十"
@@ -377,36 +377,47 @@ def token_count(s: Column) -> Column:
 
 def split_sentences(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
     """(doc_id, chunk_no, content, n_tokens): sentences packed greedily up to ``max_tokens``."""
-    sents = F.transform(
-        extract_all("text", SENTENCE), lambda s: F.struct(s.alias("s"), token_count(s).alias("n"))
-    )
-    chunks = _pack_sentences(max_tokens)(sents)
-    kept = F.filter(
-        F.transform(chunks, lambda c: F.struct(trim_ws(c["content"]).alias("content"), c["n"].alias("n"))),
-        lambda c: c["content"] != "",
-    )
-    return docs.select("doc_id", F.posexplode(kept).alias("chunk_no", "c")).select(
+    return docs.select("doc_id", F.posexplode(_sentence_chunks(max_tokens)("text")).alias("chunk_no", "c")).select(
         "doc_id", "chunk_no", "c.content", F.col("c.n").alias("n_tokens")
     )
 
 
-def _pack_sentences(most: int):
-    """Arrow function: array of (s, n) -> array of (content, n); each sentence is handled once."""
-
-    def run(lists: pa.Array) -> pa.Array:
-        out = []
-        for sentences in lists.to_pylist():
-            done, words, n = [], [], 0
-            for s in sentences or []:
-                if n > 0 and n + s["n"] > most:
-                    done.append({"content": "".join(words), "n": n})
-                    words, n = [], 0
-                words.append(s["s"])
-                n += s["n"]
-            out.append([*done, {"content": "".join(words), "n": n}])
-        return pa.array(out, pa.list_(pa.struct([("content", pa.string()), ("n", pa.int32())])))
-
-    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+SENTENCES = re.compile(SENTENCE)
+TOKENS = re.compile(f"[{CJK}]|[^{WS}{CJK}]+")  # what token_count counts
+BLANKS = "".join(filter(re.compile(f"[{WS}]").match, map(chr, range(0x10000))))
+NOT_PLAIN = re.compile(f"[{CJK}\x1c-\x1f\x85\ufeff]")  # where str.split does not part the tokens
+TEXTS_AT_ONCE = 256
+
+
+def pack_sentences(text: str | None, most: int) -> list[tuple[str, int]]:
+    """(content, tokens) of one text's chunks; blank ones are left out. Each sentence is handled once."""
+    text = text or ""
+    plain = NOT_PLAIN.search(text) is None
+    out, start, at, n = [], 0, 0, 0
+    for m in SENTENCES.finditer(text):
+        s = m.group()
+        size = len(s.split()) if plain else len(TOKENS.findall(s))
+        if n > 0 and n + size > most:
+            out.append((text[start:at], n))
+            start, n = at, 0
+        n += size
+        at = m.end()
+    out.append((text[start:at], n))
+    return [(c, n) for c, n in ((c.strip(BLANKS), n) for c, n in out) if c]
+
+
+def _sentence_chunks(most: int):
+    """Arrow function: text -> array of (content, n)."""
+    kind = pa.list_(pa.struct([("content", pa.string()), ("n", pa.int32())]))
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for start in range(0, max(1, len(texts)), TEXTS_AT_ONCE):
+            rows = [pack_sentences(t, most) for t in texts.slice(start, TEXTS_AT_ONCE).to_pylist()]
+            parts.append(pa.array([[{"content": c, "n": n} for c, n in row] for row in rows], kind))
+        return pa.concat_arrays(parts)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<struct<content:string,n:int>>").asNondeterministic()
 
 
