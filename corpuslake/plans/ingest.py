@@ -19,10 +19,12 @@ STRATEGIES = {
 
 def ingest(docs: DataFrame, strategy: str = "sentences", encoder=None, gate: bool = True) -> DataFrame:
     """Chunk table (text, source, metadata columns, embedding) of documents (doc_id, text, source)."""
+    kept = docs
     if gate:
         keep = ts.quality_gate(ck.paragraphs(docs)).where("keep").select("doc_id")
-        docs = docs.join(keep, "doc_id", "left_semi")
-    chunks = ck.finish_chunks(STRATEGIES[strategy](docs), docs, strategy)
+        kept = docs.join(keep, "doc_id", "left_semi")
+    # only kept documents have chunks, so their columns come from all without a second gate
+    chunks = ck.finish_chunks(STRATEGIES[strategy](kept), docs, strategy)
     return vx.embed(chunks, encoder=encoder).withColumn(
         "chunk_id", F.concat_ws("#", "source", F.col("chunk_index").cast("string"))
     )

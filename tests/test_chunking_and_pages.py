@@ -279,3 +279,12 @@ def test_sentences_of_odd_blanks_count_as_in_columns(spark):
         want = sorted(map(tuple, trimmed.collect()))
         assert sorted((r.doc_id, r.content, r.n_tokens) for r in ck.split_sentences(df, most).collect()) == want
         assert sorted((i, c, n) for i, t in enumerate(texts) for c, n in ck.pack_sentences(t, most)) == want
+
+
+def test_ingest_gates_once(spark):
+    from corpuslake.plans.ingest import ingest
+
+    docs = spark.createDataFrame([(1, "A good text. With words.", "a/1.txt"), (2, "!#!% ### 12", "a/2.txt")], "doc_id long, text string, source string")
+    out = ingest(docs)
+    assert [(r.source, r.text) for r in out.collect()] == [("a/1.txt", "A good text. With words.")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
