@@ -10,6 +10,10 @@ from corpuslake.functions import fixed_values as fv
 # The whitespace class used by trim/split rules: ASCII blanks, no-break space,
 # Unicode space separators, line/paragraph separators and the byte-order mark.
 WS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 CJK = r"\u4e00-\u9fa5"
 
 
@@ -27,8 +31,8 @@ def let(value: Column, body) -> Column:
 
 
 def trim_ws(c: Column | str) -> Column:
-    """Trim every whitespace kind, not only the blank that ``F.trim`` knows."""
-    return F.regexp_replace(as_col(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    """Trim every whitespace kind, not only the blank that ``F.trim`` knows; only the ends are compared."""
+    return F.btrim(as_col(c), F.lit(WS_CHARS))
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -129,7 +129,8 @@ def cut_text(text: str, size: int, least: int) -> list[str]:
     """Cut one text at the last border of the best kind that fits ``size``; only the next ``size`` characters are looked at."""
     if len(text) <= size:
         return [text]
-    zh_left, en_left = len(ZH.findall(text)), len(EN.findall(text))
+    zh_left = len(ZH.findall(text))
+    en_left = len(EN.findall(text)) if zh_left else 0  # without Chinese characters nothing is compared
     out, at, end = [], 0, len(text)
     while end - at > size:
         stop = at
@@ -142,7 +143,8 @@ def cut_text(text: str, size: int, least: int) -> list[str]:
         else:
             stop = at + size
         piece = text[at:stop]
-        zh_left, en_left = zh_left - len(ZH.findall(piece)), en_left - len(EN.findall(piece))
+        if zh_left:
+            zh_left, en_left = zh_left - len(ZH.findall(piece)), en_left - len(EN.findall(piece))
         out.append(piece.strip())
         at, end = stop, len(text.rstrip())
         while at < end and text[at].isspace():

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuslake.operators import chunking as ck
@@ -288,3 +289,24 @@ def test_ingest_gates_once(spark):
     out = ingest(docs)
     assert [(r.source, r.text) for r in out.collect()] == [("a/1.txt", "A good text. With words.")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+
+
+def test_latin_letters_are_counted_only_beside_chinese_ones(monkeypatch):
+    text = "One sentence here. Another, longer one there; and the rest of it without an end " * 5
+    want = ck.cut_text(text, 60, 20)
+    monkeypatch.setattr(ck, "EN", None)
+    assert ck.cut_text(text, 60, 20) == want and all(len(p) <= 60 for p in want)
+
+
+def test_blocks_of_a_document_are_read_by_field():
+    kind = pa.list_(pa.struct([("type", pa.string()), ("content", pa.string())]))
+    rows = [[{"type": "list", "content": "a"}, {"type": "code", "content": None}], None, [], [{"type": "list", "content": "b"}]]
+    lists = pa.array([[{"type": "x", "content": "y"}], *rows], kind).slice(1)
+    assert ck._block_lists(lists) == [r or [] for r in rows]
+
+
+def test_more_documents_than_are_packed_at_once(spark, monkeypatch):
+    monkeypatch.setattr(ck, "DOCS_AT_ONCE", 2)
+    table = ck.split_oversize(ck.blocks(docs(spark, *[f"# H {i}\nbody {i}" for i in range(7)]).coalesce(1)))
+    got = {r.doc_id: r.content for r in ck.pack_blocks(table).collect()}
+    assert got == {i: f"# H {i}\n\nbody {i}" for i in range(7)}

@@ -178,3 +178,11 @@ def test_variant_hits_are_never_broadcast(spark, monkeypatch, rows):
     monkeypatch.setattr(lx, "is_small", lambda df: scale.is_small(df, 2))
     large = joins()
     assert small == (large[0], 0, 2) and large[1:] == (2, 0)
+
+
+def test_trim_takes_every_blank_of_the_class_without_a_scan_of_the_text(spark):
+    blanks = tx.WS_CHARS
+    assert re.fullmatch(f"[{tx.WS}]+", blanks) and len(blanks) == sum(bool(re.match(f"[{tx.WS}]", chr(i))) for i in range(0x10000))
+    df = spark.createDataFrame([(f"{blanks}a {blanks}b.{blanks}",), (blanks,), ("",), (None,), ("数\u00e9",)], "t string").select(tx.trim_ws("t").alias("x"))
+    assert [r.x for r in df.collect()] == [f"a {blanks}b.", "", "", None, "数\u00e9"]
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
