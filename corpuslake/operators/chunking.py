@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -194,8 +195,12 @@ def pack_blocks(
     per_doc = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("_b"))
 
     def run(lists: pa.Array) -> pa.Array:
-        rows = [_pack(_merge_prose(b or [], whole, max_chars), max_chars, min_chars, drop_short) for b in lists.to_pylist()]
-        return pa.array(rows, _CHUNKS)
+        out = []
+        for at in range(0, len(lists), DOCS_AT_ONCE):
+            docs = _block_lists(lists.slice(at, DOCS_AT_ONCE))
+            rows = [_pack(_merge_prose(b, whole, max_chars), max_chars, min_chars, drop_short) for b in docs]
+            out.append(pa.array(rows, _CHUNKS))
+        return pa.concat_arrays(out) if out else pa.array([], _CHUNKS)
 
     run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     kind = "array<struct<content:string,block_types:array<string>,has_heading:boolean,heading_text:string,start:bigint,end:bigint>>"
@@ -203,6 +208,18 @@ def pack_blocks(
     return per_doc.select("doc_id", F.posexplode(packed("_b")).alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.*")
 
 
+DOCS_AT_ONCE = 256  # documents whose blocks are Python objects at the same time
+
+
+def _block_lists(lists: pa.ListArray) -> list[list[dict]]:
+    """The blocks of each document, read field by field."""
+    flat = lists.flatten()
+    names = [f.name for f in flat.type]
+    blocks_ = [dict(zip(names, values, strict=True)) for values in zip(*(flat.field(n).to_pylist() for n in names), strict=True)]
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [blocks_[start:end] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 _CHUNKS = pa.list_(
     pa.struct(
         [("content", pa.string()), ("block_types", pa.list_(pa.string())), ("has_heading", pa.bool_()),
