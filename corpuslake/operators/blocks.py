@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import MAX_BROADCAST_ROWS, hint_small, is_small, materialise, shared_dir
+from corpuslake.functions.scale import MAX_BROADCAST_ROWS, arrow_rows, hint_small, is_small, materialise, shared_dir
 from corpuslake.operators import lexical as lx
 from corpuslake.sources.versions import current_version, publish, read_current
 
@@ -48,13 +48,29 @@ BLOCKS = "shard long, term string, ids array<{id}>, tfs array<int>, lens array<i
 
 
 def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
-    """(shard, doc_id, doc_len, counts), row by row; body, blank and source are indexed."""
+    """(shard, doc_id, doc_len, counts), without a shuffle; body, blank and source are indexed."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     if source_col:
         body = F.concat(body, F.lit(" "), F.coalesce(F.col(source_col), F.lit("")))
-    tok = docs.select(F.col(id_col).alias("doc_id"), lx.index_tokens(body).alias("_tokens"))
-    tok = lx._with_term_counts(tok.withColumn("doc_len", F.size("_tokens").cast("long")), "_tokens")
-    return _sharded(tok.select("doc_id", "doc_len", "counts"))
+    tok = docs.select(F.col(id_col).alias("doc_id"), lx.index_tokens(body).alias("tokens"))
+    schema = f"doc_id {dict(tok.dtypes)['doc_id']}, doc_len long, counts array<struct<term:string,tf:bigint>>"
+    return _sharded(tok.mapInArrow(_counted, schema))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tokens) -> (doc_id, doc_len, counts): how often each term occurs in each document."""
+    for whole in batches:
+        for start in range(0, len(whole), SHARD):
+            batch = whole.slice(start, SHARD)
+            lists = batch.column("tokens")
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(len(batch)), sizes) * n + coded.indices.to_numpy(), return_counts=True)
+            offsets = np.searchsorted(key, np.arange(len(batch) + 1) * n)
+            counts = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % n)), pa.array(tf)], names=["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), counts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), lists], names=["doc_id", "doc_len", "counts"])
 
 
 def _sharded(rows: DataFrame) -> DataFrame:
@@ -112,10 +128,12 @@ def _to_blocks(terms: frozenset | None = None):
 def _write_segment(rows: DataFrame, root: str, name: str, dead: DataFrame | None = None, less: DataFrame | None = None) -> None:
     """rows: (shard, doc_id, doc_len, counts); less: the same of the documents that are dead from now on."""
     spark, at = rows.sparkSession, f"{root}/segments/{name}"
-    rows.write.mode("overwrite").parquet(f"{at}/docs")
+    with arrow_rows(spark, SHARD):
+        rows.write.mode("overwrite").parquet(f"{at}/docs")
     docs = spark.read.schema(rows.schema).parquet(f"{at}/docs")
     schema = BLOCKS.format(id=dict(docs.dtypes)["doc_id"])
-    docs.mapInArrow(_to_blocks(), schema).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/blocks")
+    with arrow_rows(spark, SHARD):
+        docs.mapInArrow(_to_blocks(), schema).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/blocks")
     blocks = spark.read.schema(schema).parquet(f"{at}/blocks")
     df = blocks.select("term", F.size("ids").cast("long").alias("df"))
     size = docs.select(F.lit(1).alias("n"), F.col("doc_len").alias("len"))

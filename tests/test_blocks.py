@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.functions.scale import shared_dir
+from corpuslake.functions.scale import arrow_rows, shared_dir
 from corpuslake.operators import blocks as B
 from corpuslake.operators import lexical as lx
 
@@ -141,3 +141,15 @@ def test_substring_pairs_stay_on_the_cluster(spark, monkeypatch):
     got = found(lx.bm25(index, queries, 40, partial=True))
     assert sizes and max(sizes) <= 10
     assert got == found(lx.bm25(lx.build_index(docs), queries, 40, partial=True))
+
+
+def test_terms_are_counted_from_batches_of_a_bounded_size(spark):
+    docs = spark.createDataFrame([(1, "bb aa aa", ""), (2, "", ""), (3, None, None), (4, "aa", "")], "doc_id long, text string, source string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with arrow_rows(spark, 2):
+        assert spark.conf.get(key) == "2"
+        rows = B.forward(docs).collect()
+    assert spark.conf.get(key) == before
+    got = {r["doc_id"]: (r["doc_len"], sorted((c["term"], c["tf"]) for c in r["counts"])) for r in rows}
+    assert got == {1: (3, [("aa", 2), ("bb", 1)]), 2: (0, []), 3: (0, []), 4: (1, [("aa", 1)])}
