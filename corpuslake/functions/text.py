@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,3 +142,45 @@ def index_tokens(c: Column | str, stop_words: list[str] | None = None) -> Column
         return F.concat(words, cjk, extract_all(low, "[0-9]+"))
 
     return F.filter(let(F.lower(as_col(c)), tokens_of), keep)
+
+
+_BYTES = np.arange(256)
+_LETTER, _DIGIT = (_BYTES >= ord("a")) & (_BYTES <= ord("z")), (_BYTES >= ord("0")) & (_BYTES <= ord("9"))
+_WORD, _CJK_LEAD = _LETTER | _DIGIT | (_BYTES == ord("-")), (_BYTES >= 0xE4) & (_BYTES <= 0xE9)
+_CJK_RUN = re.compile(f"[{CJK}]{{2,}}")
+
+
+def flat_tokens(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``index_tokens`` of texts in lower case, stop words included and in any order: all tokens, and the index of each one's text.
+
+    For Arrow batches: words and digit runs are cut out of the texts' bytes together; only texts with CJK characters are looked at one by one.
+    """
+    ended = pc.binary_join_element_wise(low.cast(pa.string()).fill_null(""), "\n", "")
+    _, offsets, data = ended.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[ended.offset :][: len(ended) + 1]
+    text = np.frombuffer(data or b"", np.uint8)[: offsets[-1]]
+    words, letters = _runs(_WORD[text]), np.append(np.flatnonzero(_LETTER[text]), len(text))
+    late = np.flatnonzero(~_LETTER[text[words[0]]])  # a word begins at the first letter
+    words[0, late] = np.minimum(letters[np.searchsorted(letters, words[0, late])], words[1, late])
+    tokens, owners = [], []
+    for starts, ends in (words, _runs(_DIGIT[text])):
+        long = ends - starts > 1
+        starts, ends = starts[long], ends[long]
+        step = np.zeros(len(text) + 1, np.int8)
+        step[starts], step[ends] = 1, -1
+        kept = text[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+        places = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+        tokens.append(pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(kept)))
+        owners.append(np.searchsorted(offsets, starts, side="right") - 1)
+    for i in np.unique(np.searchsorted(offsets, np.flatnonzero(_CJK_LEAD[text]), side="right") - 1):
+        runs = _CJK_RUN.findall(low[int(i)].as_py())
+        grams = runs + [run[j : j + n] for run in runs for n in (2, 3, 4) for j in range(len(run) - n + 1)]
+        tokens.append(pa.array(grams, pa.string()))
+        owners.append(np.full(len(grams), i))
+    return pa.concat_arrays(tokens), np.concatenate(owners)
+
+
+def _runs(member: np.ndarray) -> np.ndarray:
+    """Starts and ends of the runs of True; the last element is False."""
+    change = np.flatnonzero(np.diff(member, prepend=False))
+    return np.stack([change[::2], change[1::2]])

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
 from corpuslake.functions.scale import MAX_BROADCAST_ROWS, arrow_rows, hint_small, is_small, materialise, shared_dir
+from corpuslake.functions.text import flat_tokens
 from corpuslake.operators import lexical as lx
 from corpuslake.sources.versions import current_version, publish, read_current
 
@@ -40,6 +41,8 @@ SHARD, ASKED = 2048, 200_000
 SEED = 16
 #: Scores are compared to nine places, so bounds are widened by this.
 SLACK = 1e-7
+TEXTS_AT_ONCE = 256  # texts whose tokens are held at the same time
+STOP_WORDS = pa.array(fv.INDEX_STOP_WORDS)
 
 BLOCKS = "shard long, term string, ids array<{id}>, tfs array<int>, lens array<int>, max_tf int, min_len int"
 
@@ -52,21 +55,24 @@ def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     body = F.coalesce(F.col(text_col), F.lit(""))
     if source_col:
         body = F.concat(body, F.lit(" "), F.coalesce(F.col(source_col), F.lit("")))
-    tok = docs.select(F.col(id_col).alias("doc_id"), lx.index_tokens(body).alias("tokens"))
+    tok = docs.select(F.col(id_col).alias("doc_id"), F.lower(body).alias("low"))
     schema = f"doc_id {dict(tok.dtypes)['doc_id']}, doc_len long, counts array<struct<term:string,tf:bigint>>"
     return _sharded(tok.mapInArrow(_counted, schema))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tokens) -> (doc_id, doc_len, counts): how often each term occurs in each document."""
+    """(doc_id, text in lower case) -> (doc_id, doc_len, counts): how often each term occurs in each document."""
     for whole in batches:
-        for start in range(0, len(whole), SHARD):
-            batch = whole.slice(start, SHARD)
-            lists = batch.column("tokens")
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            coded = lists.flatten().dictionary_encode()
+        for start in range(0, len(whole), TEXTS_AT_ONCE):
+            batch = whole.slice(start, TEXTS_AT_ONCE)
+            tokens, doc = flat_tokens(batch.column("low"))
+            coded = tokens.dictionary_encode()
+            code = coded.indices.to_numpy()
+            term = ~pc.is_in(coded.dictionary, value_set=STOP_WORDS).to_numpy(zero_copy_only=False)[code]
+            code, doc = code[term], doc[term]
+            sizes = np.bincount(doc, minlength=len(batch))
             n = max(1, len(coded.dictionary))
-            key, tf = np.unique(np.repeat(np.arange(len(batch)), sizes) * n + coded.indices.to_numpy(), return_counts=True)
+            key, tf = np.unique(doc * n + code, return_counts=True)
             offsets = np.searchsorted(key, np.arange(len(batch) + 1) * n)
             counts = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % n)), pa.array(tf)], names=["term", "tf"])
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), counts)
@@ -389,10 +395,11 @@ def ad_hoc(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
     body = F.coalesce(F.col(text_col), F.lit(""))
     if source_col:
         body = F.concat(body, F.lit(" "), F.coalesce(F.col(source_col), F.lit("")))
-    tokens = docs.select(F.col(id_col).alias("doc_id"), lx.index_tokens(body).alias("tokens"), F.monotonically_increasing_id().alias("place"))
-    schema = BLOCKS.format(id=dict(tokens.dtypes)["doc_id"])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(body).alias("low"), F.monotonically_increasing_id().alias("place"))
+    schema = BLOCKS.format(id=dict(texts.dtypes)["doc_id"])
     root = f"{shared_dir(docs.sparkSession)}/asked"
-    tokens.mapInArrow(_asked_blocks(shared), schema).write.mode("overwrite").parquet(root)
+    with arrow_rows(docs.sparkSession, SHARD):
+        texts.mapInArrow(_asked_blocks(shared), schema).write.mode("overwrite").parquet(root)
     return AdHocIndex(docs.sparkSession, root, ("",))
 
 
@@ -404,15 +411,20 @@ def _asked_blocks(shared):
         for whole in batches:
             for start in range(0, len(whole), SHARD):
                 batch = whole.slice(start, SHARD)
-                ids, lists = batch.column("doc_id"), batch.column("tokens")
-                sizes = np.diff(lists.offsets.to_numpy())
-                code = pc.index_in(lists.flatten(), value_set=wanted).to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(len(ids)), sizes)
-                known = np.flatnonzero(~np.isnan(code)) if code.dtype.kind == "f" else np.arange(len(code))
+                ids, parts = batch.column("doc_id"), []
+                sizes = np.zeros(len(ids), np.int64)
+                for first in range(0, len(ids), TEXTS_AT_ONCE):
+                    tokens, at = flat_tokens(batch.column("low").slice(first, TEXTS_AT_ONCE))
+                    coded = tokens.dictionary_encode()
+                    code = pc.index_in(coded.dictionary, value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
+                    term = ~pc.is_in(coded.dictionary, value_set=STOP_WORDS).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
+                    sizes += np.bincount(at[term] + first, minlength=len(ids))
+                    parts.append((code[code >= 0].astype(np.int64), at[code >= 0] + first))
+                code, doc = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
                 rank = np.empty(len(ids), np.int64)
                 by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
                 rank[by_id] = np.arange(len(ids))
-                key, tf = np.unique(code[known].astype(np.int64) * len(ids) + rank[doc[known]], return_counts=True)
+                key, tf = np.unique(code * len(ids) + rank[doc], return_counts=True)
                 term, doc = key // max(1, len(ids)), by_id[key % max(1, len(ids))]
                 starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
                 offsets = pa.array(np.r_[starts, len(term), len(term)].astype(np.int32))  # the last list, of the row of sums, is empty

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from corpuslake.functions.scale import broadcast_if_small, is_small, materialise, shared_dir
 from corpuslake.functions.text import norm_path
-from corpuslake.functions.vectors import hashed_bag_encoder
+from corpuslake.functions.vectors import bag_of, hashed_bag_encoder
 from corpuslake.operators.ranking import rrf
 
 MAX_LOCAL_QUERIES = 20_000  # query vectors one task may hold
@@ -92,11 +92,11 @@ def _frame(q, ids, d) -> pd.DataFrame:
 
 
 def _candidates(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_id: str, order: list[int] | None = None
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_id: str, order: list[int] | None = None, text_col: str | None = None
 ) -> DataFrame:
     """(query_id, id, distance) with at most ``k`` rows per query and task.
 
-    ``vectors`` carry ``_cell``; a query meets the cells whose bits are set in its ``_cells``.
+    ``vectors`` carry ``_cell``; a query meets the cells whose bits are set in its ``_cells``. ``text_col``: texts in place of vectors.
     """
     qtype = queries.schema[query_id].dataType
     schema = T.StructType(
@@ -106,9 +106,12 @@ def _candidates(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    vectors = vectors.select(F.col(id_col).cast("long"), vec_col, F.col("_cell").cast("int"))
-    if is_small(queries, MAX_LOCAL_QUERIES):
-        return _map_side(vectors, queries, k, query_id, schema)
+    small = is_small(queries, MAX_LOCAL_QUERIES)
+    if text_col and not small:
+        vectors, text_col = embed(vectors, text_col, out=vec_col), None
+    vectors = vectors.select(F.col(id_col).cast("long"), F.lower(text_col) if text_col else vec_col, F.col("_cell").cast("int"))
+    if small:
+        return _map_side(vectors, queries, k, query_id, schema, bag_of() if text_col else None)
     return _block_side(vectors, queries, k, query_id, schema, order)
 
 
@@ -123,7 +126,7 @@ def _limits(probed: np.ndarray, cell: np.ndarray) -> np.ndarray | None:
     return None if probed[:, np.unique(cell)].all() else probed
 
 
-def _map_side(vectors, queries, k, query_id, schema) -> DataFrame:
+def _map_side(vectors, queries, k, query_id, schema, encode=None) -> DataFrame:
     # queries of like cells lie together, so that few other cells are looked at with them; bound checked by the caller
     small = queries.select(query_id, "embedding", "_cells").toArrow().sort_by("_cells")
     qids = small.column(0).combine_chunks()
@@ -137,7 +140,7 @@ def _map_side(vectors, queries, k, query_id, schema) -> DataFrame:
             if not len(batch) or not len(qmat):
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            mat = unit_rows(list_matrix(batch.column(1)))
+            mat = unit_rows(list_matrix(encode(batch.column(1)) if encode else batch.column(1)))
             cells = batch.column(2).to_numpy(zero_copy_only=False)
             found = _frame(*nearest_rows(qmat, ids, mat, k, _limits(probed, cells), cells))
             best = keep_best([found] if best is None else [best, found], k)
@@ -273,11 +276,15 @@ def knn(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     query_id: str = "query_id",
+    text_col: str | None = None,
 ) -> DataFrame:
-    """Exact cosine k-NN: (query_id, id, distance, rank, score = 1/(1+distance))."""
+    """Exact cosine k-NN: (query_id, id, distance, rank, score = 1/(1+distance)).
+
+    With ``text_col`` the default encoder turns these texts into vectors in the worker that compares them.
+    """
     v = filter_vectors(vectors, sources, tags).withColumn("_cell", F.lit(0))
     q = queries.select(query_id, "embedding").withColumn("_cells", F.unhex(F.lit("80")))
-    return _final_rank(_candidates(v, q, k, id_col, vec_col, query_id), k, id_col, query_id)
+    return _final_rank(_candidates(v, q, k, id_col, vec_col, query_id, text_col=text_col), k, id_col, query_id)
 
 
 @dataclass(frozen=True)

@@ -77,9 +77,8 @@ def vector_list_sql(name: str, k: str) -> str:
 
 
 def vector_list(spark, sf, k):
-    d = vx.embed(corpus(spark, sf).select("doc_id", "text")).select("doc_id", "embedding")
     q = vx.embed(queries(spark, sf)).select("query_id", "embedding")
-    return vx.knn(d, q, k, id_col="doc_id")
+    return vx.knn(corpus(spark, sf).select("doc_id", "text"), q, k, id_col="doc_id", text_col="text")
 
 
 def neighbour_cosine(spark, sf):

@@ -106,13 +106,15 @@ def _name_list(docs, queries, kw) -> DataFrame:
 
 
 def _vector_list(docs, plan, cfg, scopes) -> DataFrame:
+    # the default encoder runs where the vectors are compared
+    text_col = None if "embedding" in docs.columns or cfg.encoder else "text"
     vectors = docs if "embedding" in docs.columns else vx.embed(docs, encoder=cfg.encoder)
     vectors = vectors.select("doc_id", "embedding", "source")
     forms = rk.query_variants(plan.where("is_global"), rules=[], suffixes=[])
     asked = vx.embed(forms.withColumnRenamed("variant", "text"), encoder=cfg.encoder)
     asked = asked.select(F.concat_ws(":", "query_id", "ord").alias("_variant"), "embedding")
     depth = plan.agg(F.max("fetch_k")).first()[0] or 1
-    raw = vx.knn(vectors, asked, int(depth), id_col="doc_id", query_id="_variant").select(
+    raw = vx.knn(docs if text_col else vectors, asked, int(depth), id_col="doc_id", query_id="_variant", text_col=text_col).select(
         F.split("_variant", ":")[0].cast("long").alias("query_id"),
         F.split("_variant", ":")[1].cast("int").alias("ord"),
         "doc_id", "rank", "distance",

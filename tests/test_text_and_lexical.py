@@ -1,6 +1,7 @@
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as tx
@@ -186,3 +187,46 @@ def test_trim_takes_every_blank_of_the_class_without_a_scan_of_the_text(spark):
     df = spark.createDataFrame([(f"{blanks}a {blanks}b.{blanks}",), (blanks,), ("",), (None,), ("数\u00e9",)], "t string").select(tx.trim_ws("t").alias("x"))
     assert [r.x for r in df.collect()] == [f"a {blanks}b.", "", "", None, "数\u00e9"]
     assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_tokens_of_arrow_batches_equal_the_column(spark):
+    """The tokens that indexes and the default encoder count in Arrow batches are those of ``index_tokens``, on odd texts too."""
+    import hashlib
+    from collections import Counter
+
+    from corpuslake.functions import fixed_values as fv
+    from corpuslake.functions.text import flat_tokens, index_tokens
+    from corpuslake.functions.vectors import hashed_bag_encoder
+    from corpuslake.operators import blocks
+
+    texts = [
+        "The cat-9 sat a1 x 42 7 007 and-or", "", None, "a b c 1 2", "中文检索 的 和平 一", "前a中文b的了", "İstanbul Kelvin ΣΟΣ straße",
+        "-x --ab a--b 9ab9 ab\ncd\x00ef", "\U00020000中\U00020001文字", "the of 的", "word " * 5_000, "É é ﬁne １２３ ٣٤",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = df.select("doc_id", F.lower("text").alias("low"), index_tokens("text").alias("t"), hashed_bag_encoder()(F.col("text")).alias("e")).collect()
+    tokens, owner = flat_tokens(pa.array([None] + [r["low"] for r in rows])[1:])
+    for i, r in enumerate(rows):
+        want = Counter(r["t"] or [])
+        assert Counter(t for t, o in zip(tokens.to_pylist(), owner) if o == i and t not in fv.INDEX_STOP_WORDS) == want
+        bag = [0.0] * 64
+        for t, n in want.items():
+            bag[int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 64] += n
+        norm = sum(x * x for x in bag) ** 0.5
+        assert list(r["e"]) == [x / norm if norm else 0.0 for x in bag]
+    counted = {r["doc_id"]: r for r in blocks.forward(df, source_col=None).collect()}
+    for r in rows:
+        got = counted[r["doc_id"]]
+        assert {c["term"]: c["tf"] for c in got["counts"]} == Counter(r["t"] or []) and got["doc_len"] == len(r["t"] or [])
+    assert {f.dataType.simpleString() for f in df.select(hashed_bag_encoder()(F.col("text"))).schema} == {"array<double>"}
+
+
+def test_texts_are_encoded_where_they_are_compared(spark, rows):
+    """k-NN over texts is k-NN over their vectors; a task takes one Python worker for both, not two."""
+    from corpuslake.operators import vectors as vx
+
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 11} beta" if i % 5 else None) for i in range(60)], "doc_id long, text string")
+    asked = vx.embed(spark.createDataFrame([(1, "alpha w3"), (2, ""), (3, "w5 w6 beta")], "query_id long, text string"))
+    got = vx.knn(docs, asked, 9, id_col="doc_id", text_col="text")
+    assert rows(got) == rows(vx.knn(vx.embed(docs), asked, 9, id_col="doc_id"))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
