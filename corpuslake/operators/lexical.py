@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -396,7 +397,8 @@ def filename_search(docs: DataFrame, keywords: DataFrame, limit) -> DataFrame:
 
 #: Bytes of keywords that are searched for in one pass, and what a row of a query's keyword takes beside its text.
 KEYWORD_BYTES, ASKED_BYTES = 8 << 20, 16
-TEXTS_AT_ONCE = 256  # texts that are Python strings at the same time
+#: Texts that are Python strings at the same time; counts of documents x queries.
+TEXTS_AT_ONCE, COUNTS_AT_ONCE = 256, 1 << 20
 KEEP_ROWS = 500_000  # rows found before a task cuts them to each query's depth
 
 
@@ -443,21 +445,28 @@ def _tiers(spark, asked: pa.Table):
         machine.make_automaton()
         starts, query, times, n_kw = p["starts"], p["query"], p["n"], p["n_kw"]
 
-        def hits(text: str) -> np.ndarray:
-            """Places in ``query`` of the keywords that a text holds."""
-            found = np.fromiter({i for _, i in machine.iter(text)}, np.int64)
+        width = max(1, len(n_kw))
+
+        def count(texts: list[set[int]]) -> np.ndarray:
+            """Documents x queries: how many of a query's keywords are among those found in a document."""
+            found = np.fromiter(chain.from_iterable(texts), np.int64)
+            doc = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
             sizes = starts[found + 1] - starts[found]
-            return np.repeat(starts[found] - np.r_[0, np.cumsum(sizes)[:-1]][: len(sizes)], sizes) + np.arange(sizes.sum())
-
-        def tiers(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-            """Queries and tiers of a document."""
-            named = np.concatenate([hits(x["name"]) for x in parts])
-            inside = np.concatenate([hits(x["text"]) for x in parts])
-            qs, at = np.unique(np.r_[query[named], query[inside]], return_inverse=True)
-            in_name = np.bincount(at[: len(named)], times[named], len(qs))
-            in_text = np.bincount(at[len(named) :], times[inside], len(qs))
-            second = (in_text >= np.ceil(n_kw[qs] * 0.5)) & (in_text >= 2)
-            return qs, np.where(in_name > 0, 1, np.where(second, 2, 3))
+            at = np.repeat(starts[found] - np.r_[0, np.cumsum(sizes)[:-1]][: len(sizes)], sizes) + np.arange(sizes.sum())
+            return np.bincount(np.repeat(doc, sizes) * width + query[at], times[at], len(texts) * width)
+
+        def tiers(docs: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Places of documents, queries and tiers; a document of several rows counts the keywords of all."""
+            doc = np.repeat(np.arange(len(docs)), [len(parts) for parts in docs])
+            one = doc if len(doc) > len(docs) else None
+            names, texts = ([{i for _, i in machine.iter(x[c])} for parts in docs for x in parts] for c in ("name", "text"))
+            in_name, in_text = count(names), count(texts)
+            if one is not None:
+                in_name, in_text = (np.add.reduceat(x.reshape(-1, width), np.searchsorted(one, np.arange(len(docs))), axis=0).ravel() for x in (in_name, in_text))
+            at = np.flatnonzero((in_name > 0) | (in_text > 0))
+            q, text = at % width, in_text[at]
+            second = (text >= np.ceil(n_kw[q] * 0.5)) & (text >= 2)
+            return at // width, q, np.where(in_name[at] > 0, 1, np.where(second, 2, 3))
 
         def kept(tables: list[pa.Table]) -> pa.Table:
             table = pa.concat_tables(tables)
@@ -469,14 +478,11 @@ def _tiers(spark, asked: pa.Table):
 
         held, size = [], 0
         for batch in batches if len(machine) else ():
-            for start in range(0, len(batch), TEXTS_AT_ONCE):
-                some = batch.slice(start, TEXTS_AT_ONCE)
-                found = [tiers(parts) for parts in some.column(1).to_pylist()]
-                doc = np.repeat(np.arange(len(some)), [len(q) for q, _ in found])
-                held.append(pa.table({
-                    "q": np.concatenate([q for q, _ in found]), "doc_id": some.column(0).take(pa.array(doc)),
-                    "tier": np.concatenate([t for _, t in found]).astype(np.int32),
-                }))
+            step = max(1, min(TEXTS_AT_ONCE, COUNTS_AT_ONCE // width))
+            for start in range(0, len(batch), step):
+                some = batch.slice(start, step)
+                doc, q, tier = tiers(some.column(1).to_pylist())
+                held.append(pa.table({"q": q, "doc_id": some.column(0).take(pa.array(doc)), "tier": tier.astype(np.int32)}))
                 size += len(doc)
                 if size > KEEP_ROWS:
                     held = [kept(held)]

@@ -221,6 +221,31 @@ def test_tokens_of_arrow_batches_equal_the_column(spark):
     assert {f.dataType.simpleString() for f in df.select(hashed_bag_encoder()(F.col("text"))).schema} == {"array<double>"}
 
 
+def test_index_of_query_terms_holds_a_shard_of_texts_at_a_time(spark, monkeypatch, tmp_path):
+    """A Python worker gets ``SHARD`` documents at most in a batch; it used to get as many as Arrow's own bound allows."""
+    from corpuslake.operators import blocks
+
+    made, seen = blocks._asked_blocks, str(tmp_path)
+
+    def counting(shared):
+        run = made(shared)
+
+        def watch(batches):
+            for b in batches:
+                open(f"{seen}/{len(b)}", "w").close()
+                yield from run(iter([b]))
+
+        return watch
+
+    monkeypatch.setattr(blocks, "_asked_blocks", counting)
+    docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("text"), F.lit("s").alias("source")).coalesce(1)
+    index = blocks.ad_hoc(docs, spark.createDataFrame([(1, "alpha")], "query_id long, text string"))
+    assert 0 < max(int(p.name) for p in tmp_path.iterdir()) <= blocks.SHARD
+    assert index.stats.select("n_docs", "avg_len", "shards").first() == (5_000, 2.0, 3)
+    assert index.terms.select("term", "df").collect() == [("alpha", 5_000)]
+
+
+
 def test_texts_are_encoded_where_they_are_compared(spark, rows):
     """k-NN over texts is k-NN over their vectors; a task takes one Python worker for both, not two."""
     from corpuslake.operators import vectors as vx
@@ -230,3 +255,29 @@ def test_texts_are_encoded_where_they_are_compared(spark, rows):
     got = vx.knn(docs, asked, 9, id_col="doc_id", text_col="text")
     assert rows(got) == rows(vx.knn(vx.embed(docs), asked, 9, id_col="doc_id"))
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_name_search_counts_blocks_of_documents(spark, rows, monkeypatch):
+    """Keywords are counted for many documents at once; however few counts are held, tiers stay those of each document (all rows of its id)."""
+    words = ["ab", "b", "cd", "zz", "AB"]
+    docs = spark.createDataFrame(
+        [(i % 37, "".join(w for j, w in enumerate(["ab", "x", "cd", "b", "q"]) if (i >> j) & 1) or None, f"d/{'zz' if i % 9 == 0 else 'n'}{i}.txt") for i in range(45)],
+        "doc_id long, text string, source string",
+    ).coalesce(2)
+    asked = spark.createDataFrame([(q, w) for q in range(6) for j, w in enumerate(words) if (q + j) % 3], "query_id long, keyword string")
+    parts, keywords = {}, {}
+    for r in docs.collect():
+        parts.setdefault(r["doc_id"], []).append((r["source"].split("/")[-1].lower(), (r["text"] or "").lower()))
+    for r in asked.collect():
+        keywords.setdefault(r["query_id"], []).append(r["keyword"].lower())
+    want = []
+    for q, kws in keywords.items():
+        found = []
+        for d, some in parts.items():
+            name, text = (sum(w in x[i] for w in kws for x in some) for i in (0, 1))
+            tier = 1 if name else 2 if text >= max(2, len(kws) / 2) else 3 if text else None
+            found += [(tier, d)] if tier else []
+        want += [(q, d, t, i + 1) for i, (t, d) in enumerate(sorted(found)[:30])]
+    for most in (1 << 20, 13):
+        monkeypatch.setattr(lx, "COUNTS_AT_ONCE", most)
+        assert rows(lx.filename_search(docs, asked, 30)) == sorted(want)
