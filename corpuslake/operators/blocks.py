@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import MAX_BROADCAST_ROWS, arrow_rows, hint_small, is_small, materialise, shared_dir
+from corpuslake.functions.scale import MAX_BROADCAST_ROWS, arrow_rows, delete_folder, discard, hint_small, is_small, materialise, shared_dir
 from corpuslake.functions.text import flat_tokens
 from corpuslake.operators import lexical as lx
 from corpuslake.sources.versions import current_version, publish, read_current
@@ -39,9 +39,13 @@ from corpuslake.sources.versions import current_version, publish, read_current
 SHARD, ASKED = 2048, 200_000
 #: From so many shards on, the rarest terms are searched first, for a score to beat.
 SEED = 16
+#: A partial search in which shards may hand on more rows than this is run over one shard of ``FEW`` first, for the same.
+HANDED, FEW = 1 << 23, 16
 #: Scores are compared to nine places, so bounds are widened by this.
 SLACK = 1e-7
 TEXTS_AT_ONCE = 256  # texts whose tokens are held at the same time
+#: Cells of query terms x documents that are marked, and postings that are looked at, at the same time.
+MARKS, AT_ONCE = 1 << 24, 1 << 21
 STOP_WORDS = pa.array(fv.INDEX_STOP_WORDS)
 
 BLOCKS = "shard long, term string, ids array<{id}>, tfs array<int>, lens array<int>, max_tf int, min_len int"
@@ -245,6 +249,10 @@ class BlockIndex:
         publish({"segments": rows}, self.root)
         return BlockIndex(self.spark, self.root, tuple(names))
 
+    def discard(self) -> None:
+        """Delete an index that was built for one job, once nothing will read it again."""
+        delete_folder(self.spark, self.root)
+
     @property
     def version(self) -> int:
         return current_version(self.spark, self.root)
@@ -257,6 +265,10 @@ class BlockIndex:
         Index terms around a query term are looked up by its rarest triple (or by itself, if it has two characters); those
         inside it are among its own substrings. Neither reads postings.
         """
+        return self._look_up(asked)[0]
+
+    def _look_up(self, asked: DataFrame) -> tuple[DataFrame, ...]:
+        """The pairs, and the stored tables that they are read from."""
         q = materialise(asked.select(F.col("term").alias("qterm")).distinct(), "qterms")
         small = is_small(q)
         parts = q.where("length(qterm) = 2").select("qterm", F.col("qterm").alias("gram")).union(
@@ -272,7 +284,7 @@ class BlockIndex:
         inside = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), sizes - i + 1), lambda n: F.substring("qterm", i, n))))
         subs = q.where("length(qterm) > 2").select("qterm", F.explode(F.array_distinct(inside)).alias("term"))
         known = self.table("terms").select("term").join(hint_small(subs, small), "term").select("qterm", "term")
-        return around.select("qterm", "term").union(known).distinct()
+        return around.select("qterm", "term").union(known).distinct(), q, parts, grams
 
     # ------------------------------------------------------------ search
 
@@ -281,13 +293,18 @@ class BlockIndex:
         id_cols = id_cols or ["query_id"]
         wanted = materialise(lx.query_terms(queries, id_cols), "wanted")
         rows = wanted.count()
-        pairs = materialise(self.partial_pairs(wanted.select("term")), "pairs") if partial else None
+        pairs = None
+        if partial:
+            found, *used = self._look_up(wanted.select("term"))
+            pairs = materialise(found, "pairs")
+            discard(*used)
         passes = max(1, -(-rows // ASKED))
         out = None
         for i in range(passes):
             mine = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64(*id_cols), F.lit(passes)) == i)
             found = self._pass(mine, id_cols, k, pairs, keep)
             out = found if out is None else out.unionByName(found)
+        discard(pairs)  # each pass has stored its share by index term
         return out
 
     def _filters(self, keep: DataFrame | None) -> DataFrame | None:
@@ -362,6 +379,12 @@ class BlockIndex:
                 best = first.mapInArrow(_score(self.spark, plan | _asked(rare, len(ids)), least), schema).where("q >= 0")
                 for r in lx.top_k(best, ["q"], k, [F.desc("score")]).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect():
                     least[r["q"]] = r["least"] - SLACK
+        elif partial_asked and len(ids) * k * about["shards"] > HANDED:
+            # the k-th score within some shards is a bound from below: tasks hand on what may beat it, not k rows a query each
+            some = given.where(F.pmod(F.xxhash64("segment", "shard"), F.lit(FEW)) == 0).repartition("segment", "shard").sortWithinPartitions("segment", "shard", "kind")
+            best = some.mapInArrow(_score(self.spark, plan | _asked(asked, len(ids)), least), schema).where("q >= 0")
+            for r in lx.top_k(best, ["q"], k, [F.desc("score")]).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect():
+                least[r["q"]] = r["least"] - SLACK
         found = given.mapInArrow(_score(self.spark, plan | _asked(asked, len(ids)), least), schema).where("q >= 0")
         named = self.spark.createDataFrame(ids.astype({"q": "int32"}) if len(ids) else [], schema=self._id_schema(wanted, id_cols))
         return found.join(F.broadcast(named), "q").select(*id_cols, "doc_id", "score")
@@ -457,7 +480,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     now, filters, rows = None, [], []
     for batch in batches:
         segment, shard, kind, term = (batch.column(i).to_pylist() for i in range(4))
-        lists = [batch.column(i) for i in (4, 5, 6, *range(9, batch.num_columns))]
+        lists = [_Lists(batch.column(i)) for i in (4, 5, 6, *range(9, batch.num_columns))]
         most, least = batch.column(7).to_numpy(), batch.column(8).to_numpy()
         for i in range(len(batch)):
             key = (segment[i], shard[i])
@@ -466,16 +489,25 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
                     yield filters, rows
                 now, filters, rows = key, [], []
             if kind[i] < 2:
-                filters.append((bool(kind[i]), lists[0][i].values.to_numpy(zero_copy_only=False)))
+                filters.append((bool(kind[i]), _decoded(lists[0], i)))
             else:
                 rows.append((term[i], lists, i, most[i], least[i]))
     if rows:
         yield filters, rows
 
 
-def _decoded(column: pa.ListArray, i: int) -> np.ndarray:
-    start, stop = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
-    return column.values.slice(start, stop - start).to_numpy(zero_copy_only=False)
+class _Lists:
+    """A batch's lists; offsets are read once, and values are numbers at once or decoded list by list."""
+
+    def __init__(self, column: pa.ListArray):
+        self.offsets = column.offsets.to_numpy().tolist()
+        plain = pa.types.is_integer(column.type.value_type) and not column.values.null_count
+        self.values = column.values.to_numpy() if plain else column.values
+
+
+def _decoded(lists: _Lists, i: int) -> np.ndarray:
+    some = lists.values[lists.offsets[i] : lists.offsets[i + 1]]
+    return some if isinstance(some, np.ndarray) else some.to_numpy(zero_copy_only=False)
 
 
 def _allowed(ids: np.ndarray, filters: list) -> np.ndarray:
@@ -524,27 +556,38 @@ class _Shard:
         self.code = code
 
     def spread(self, q: np.ndarray, t: np.ndarray, n_query_terms: int, avg: float) -> None:
-        """Postings of query terms from those of the index terms around or inside them (codes from ``n_query_terms`` on); a part counts once."""
+        """Postings of query terms from those of the index terms around or inside them (codes from ``n_query_terms`` on); a part counts once.
+
+        Documents are marked for some query terms at a time, so memory depends on neither their number nor that of the pairs.
+        """
         n = max(1, len(self.ids))
         first = np.zeros(max([*self.span, *([int(t.max())] if len(t) else [])], default=0) + 1, np.int64)
         size = np.zeros_like(first)
         for c, (s, e) in self.span.items():
             first[c], size[c] = s, e - s
-        here = size[t] > 0
+        here = np.flatnonzero(size[t] > 0)
+        here = here[np.argsort(q[here], kind="stable")]
         q, t = q[here].astype(np.int64), t[here]
-        keys = []
-        total = np.cumsum(size[t])
-        cuts = np.searchsorted(total, np.arange(1 << 21, (total[-1] if len(total) else 0) + (1 << 21), 1 << 21))
-        for part in np.split(np.arange(len(t)), np.unique(cuts)):
-            if len(part):
-                sizes = size[t[part]]
-                at = np.repeat(first[t[part]] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                keys.append(np.unique(np.repeat(q[part], sizes) * n + self.place[at]))
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        tf = np.ones(len(key))
         exact = self.code < n_query_terms
-        own = self.code[exact] * n + self.place[exact]
-        key = np.union1d(key, own)
+        own = self.code[exact] * n + self.place[exact]  # ascending
+        keys, step = [np.zeros(0, np.int64)], max(1, MARKS // n)
+        for low in range(0, n_query_terms, step):
+            mine = slice(*np.searchsorted(q, (low, low + step)))
+            mine_own = slice(*np.searchsorted(own, (low * n, (low + step) * n)))
+            if mine.start == mine.stop and mine_own.start == mine_own.stop:
+                continue
+            marks = np.zeros(min(step, n_query_terms - low) * n, bool)
+            marks[own[mine_own] - low * n] = True
+            terms, asked = t[mine], q[mine] - low
+            total = np.cumsum(size[terms])
+            cuts = np.searchsorted(total, np.arange(AT_ONCE, (total[-1] if len(total) else 0) + AT_ONCE, AT_ONCE))
+            for part in np.split(np.arange(len(terms)), np.unique(cuts)):
+                if len(part):
+                    sizes = size[terms[part]]
+                    at = np.repeat(first[terms[part]] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+                    marks[np.repeat(asked[part] * n, sizes) + self.place[at]] = True
+            keys.append(np.flatnonzero(marks) + low * n)
+        key = np.concatenate(keys)
         tf = np.ones(len(key))
         tf[np.searchsorted(key, own)] = self.tf[exact]
         self.place, self.tf = key % n, tf

@@ -153,3 +153,43 @@ def test_terms_are_counted_from_batches_of_a_bounded_size(spark):
     assert spark.conf.get(key) == before
     got = {r["doc_id"]: (r["doc_len"], sorted((c["term"], c["tf"]) for c in r["counts"])) for r in rows}
     assert got == {1: (3, [("aa", 2), ("bb", 1)]), 2: (0, []), 3: (0, []), 4: (1, [("aa", 1)])}
+
+
+def test_partial_searches_hand_on_few_rows(spark, monkeypatch):
+    """With a score to beat from some shards, tasks do not hand on k rows a query and shard."""
+    rng = np.random.default_rng(5)
+    docs = [(i, words(rng, 12, 400), f"src/file{i % 7}.txt") for i in range(1000)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    monkeypatch.setattr(B, "SHARD", 16)
+    index = B.build(docs)
+    queries = spark.createDataFrame([(q, words(rng, 3, 400)) for q in range(10)], "query_id long, text string")
+    every = index.search(queries, 5, partial=True)
+    monkeypatch.setattr(B, "HANDED", 0, raising=False)
+    monkeypatch.setattr(B, "FEW", 4, raising=False)
+    some = index.search(queries, 5, partial=True)
+    assert some.count() < every.count() / 2
+    best = lambda rows: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in lx.cut(rows, ["query_id"], 5, [F.round("score", 9).desc(), F.col("doc_id")]).collect())
+    assert best(some) == best(every)
+
+
+def test_query_terms_are_marked_in_ranges(monkeypatch):
+    """A query term's postings are those of the terms that match it, however many terms and postings are looked at at once."""
+    rng = np.random.default_rng(3)
+    n_terms, n_docs = 40, 50
+    holds = rng.random((60, n_docs)) < 0.1  # the first 40 of the index terms are query terms
+    pairs = np.array([(q, t) for q in range(n_terms) for t in range(60) if rng.random() < 0.1 or q == t])
+    shard = B._Shard.__new__(B._Shard)
+
+    def spread():
+        code, place = np.nonzero(holds)
+        shard.ids, shard.place, shard.tf, shard.length = np.arange(n_docs), place, 2.0 + code, np.full(n_docs, 7.0)
+        shard._group(code, 7.0)
+        order = rng.permutation(len(pairs))
+        shard.spread(pairs[order, 0], pairs[order, 1], n_terms, 7.0)
+        return {(c, int(shard.place[i])): shard.tf[i] for c, (s, e) in shard.span.items() for i in range(s, e)}
+
+    want = {(q, d): 2.0 + q if holds[q, d] else 1.0 for q, t in pairs.tolist() for d in np.flatnonzero(holds[t]).tolist()}
+    assert spread() == want
+    monkeypatch.setattr(B, "MARKS", 170, raising=False)
+    monkeypatch.setattr(B, "AT_ONCE", 9, raising=False)
+    assert spread() == want
