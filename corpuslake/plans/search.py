@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import fixed_values as fv
-from corpuslake.functions.scale import broadcast_if_small, hint_small, is_small, materialise
+from corpuslake.functions.scale import broadcast_if_small, discard, hint_small, is_small, materialise
 from corpuslake.functions.text import norm_path
 from corpuslake.functions.vectors import cosine
 from corpuslake.operators import blocks
@@ -91,10 +91,14 @@ def _bm25_list(docs, queries, kw, cfg, index, keep) -> DataFrame:
         ),
         "variants",
     )
-    if index is None:
+    given = index is not None
+    if not given:
         index = blocks.build(docs) if cfg.partial else blocks.ad_hoc(docs, variants) or blocks.build(docs)
     depth = queries.select("query_id", "fetch_k")
     hits = lx.bm25_multi(index, variants, docs, depth, cfg.partial, keep)
+    if not given:
+        index.discard()  # the variants' hits are stored, nothing else reads it
+    discard(variants)
     return hits.select(
         "query_id", F.lit("bm25").alias("list"), "doc_id", "rank", (1 / (F.col("score") + 1)).alias("distance")
     )

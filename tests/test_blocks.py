@@ -193,3 +193,17 @@ def test_query_terms_are_marked_in_ranges(monkeypatch):
     monkeypatch.setattr(B, "MARKS", 170, raising=False)
     monkeypatch.setattr(B, "AT_ONCE", 9, raising=False)
     assert spread() == want
+
+
+def test_a_search_deletes_its_own_index(spark, tables, tmp_path, monkeypatch):
+    import uuid
+
+    from corpuslake.functions import scale
+    from corpuslake.plans.search import SearchConfig, search
+
+    docs, queries = tables
+    for module in (scale, B):
+        monkeypatch.setattr(module, "shared_dir", lambda _: f"{tmp_path}/{uuid.uuid4().hex}")
+    search(docs, queries, SearchConfig(vector=False)).collect()
+    assert not [p for p in tmp_path.rglob("*") if p.name in ("segments", "pairs", "qterms")]
+    assert [p for p in tmp_path.rglob("*") if p.name == "lists"]
