@@ -29,6 +29,8 @@ MAX_LOCAL_QUERIES = 20_000  # query vectors one task may hold
 QUERY_BLOCK, LEAST_BLOCK = 16_384, 2_048
 VECTOR_BLOCK = 32_768
 QUERIES_AT_ONCE = 64  # rows of a distance matrix
+#: Rows that a query's first bound is taken from, at least; products in double precision at once. They decide speed, not results.
+BOUND_ROWS, EXACT_AT_ONCE = 2_048, 1 << 16
 DIST_DIGITS = 9  # distances are compared after rounding, ties go to the lower id
 
 
@@ -44,32 +46,50 @@ def unit_rows(mat: np.ndarray) -> np.ndarray:
 
 
 def nearest_rows(qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, probed: np.ndarray | None = None, cell: np.ndarray | None = None):
-    """Per query the ``k`` nearest rows by (rounded distance, id): index, id and distance arrays.
+    """Per query the ``k`` nearest rows by (rounded distance, id): index, id and distance arrays. All rows have unit length or zero.
 
-    ``probed`` (queries x cells) with ``cell`` (of each row): only rows of a query's own cells count.
+    ``probed`` (queries x cells) with ``cell`` (of each row): only rows of a query's own cells count. Products in single precision, with
+    their greatest possible error, only rule rows out: the k-th best of some rows is a bound from below for all. What is left is compared in double precision.
     """
     none = np.zeros(0, np.int64)
     out_q, out_id, out_d = [none], [none], [np.zeros(0)]
+    sound = np.isfinite(mat).all(axis=1)
+    if not sound.all():
+        ids, mat, cell = ids[sound], mat[sound], None if cell is None else cell[sound]
+    single, slack = mat.astype(np.float32), (mat.shape[1] + 4) * 2.0**-22 + 1e-8
     for start in range(0, len(qmat), QUERIES_AT_ONCE):
-        here = slice(start, start + QUERIES_AT_ONCE)
-        some_ids, some = ids, mat
-        if probed is not None:
-            rows = np.flatnonzero(probed[here].any(axis=0)[cell])
-            if not len(rows):
-                continue
-            some_ids, some = ids[rows], mat[rows]
-        dist = np.round(1.0 - qmat[here] @ some.T, DIST_DIGITS)
-        if probed is not None:
-            dist[~probed[here][:, cell[rows]]] = np.inf
-        kk = min(k, dist.shape[1])
-        edge = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-        for i in range(dist.shape[0]):
-            idx = np.nonzero((dist[i] <= edge[i]) & (dist[i] < np.inf))[0]
-            if len(idx) > kk:
-                idx = idx[np.lexsort((some_ids[idx], dist[i][idx]))[:kk]]
-            out_q.append(np.full(len(idx), start + i))
-            out_id.append(some_ids[idx])
-            out_d.append(dist[i][idx])
+        some = qmat[start : start + QUERIES_AT_ONCE]
+        own = None if probed is None else probed[start : start + QUERIES_AT_ONCE]
+        rows = np.arange(len(mat)) if own is None else np.flatnonzero(own.any(axis=0)[cell])
+        if not len(rows):
+            continue
+        near = some.astype(np.float32) @ (single.T if len(rows) == len(mat) else single[rows].T)
+        step = max(1, len(rows) // max(BOUND_ROWS, 4 * k))
+        part = near[:, ::step]
+        if own is not None:
+            part = np.where(own[:, cell[rows[::step]]], part, -np.inf)
+        kk = min(k, part.shape[1])
+        least = np.partition(part, part.shape[1] - kk, axis=1)[:, part.shape[1] - kk] - slack
+        q, at = np.divmod(np.flatnonzero(near >= least[:, None]), len(rows))
+        if own is not None:
+            mine = own[q, cell[rows[at]]]
+            q, at = q[mine], at[mine]
+        # the k-th best of these is that of all rows
+        value = near[q, at]
+        order = np.lexsort((-value, q))
+        q, at, value = q[order], at[order], value[order]
+        first = np.searchsorted(q, np.arange(len(some) + 1))
+        last = np.minimum(first[:-1] + k, first[1:]) - 1
+        left = value >= value[last][q] - slack if len(value) else np.zeros(0, bool)
+        q, at = q[left], rows[at[left]]
+        exact = [np.einsum("ij,ij->i", some[q[i : i + EXACT_AT_ONCE]], mat[at[i : i + EXACT_AT_ONCE]]) for i in range(0, len(q), EXACT_AT_ONCE)]
+        dist = np.round(1.0 - np.concatenate([np.zeros(0), *exact]), DIST_DIGITS)
+        order = np.lexsort((ids[at], dist, q))
+        q, at, dist = q[order], at[order], dist[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out_q.append(start + q[best])
+        out_id.append(ids[at[best]])
+        out_d.append(dist[best])
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_d)
 
 
@@ -337,7 +357,8 @@ def ann_fit(
 
 def _cells_of(centroids: np.ndarray, vecs: pd.Series, n: int) -> np.ndarray:
     mat = unit_rows(np.stack(vecs.to_numpy()).astype(np.float64))
-    return np.argsort(-(mat @ unit_rows(centroids).T), axis=1, kind="stable")[:, :n]
+    near = mat @ unit_rows(centroids).T
+    return near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
 
 
 def _nearest(centroids: np.ndarray):
@@ -420,14 +441,14 @@ def knn_multi(vectors: DataFrame, variants: DataFrame, k: int, rrf_k: int = 50,
 
     ``variants``: query_id, ord, embedding. Result distance is 1/(1+fused score).
     """
-    key = F.concat_ws(":", F.col("query_id"), F.col("ord")).alias("_variant")
-    v = variants.select(key, "embedding")
-    lists = knn(vectors, v, k, id_col=id_col, query_id="_variant").select(
-        F.split("_variant", ":")[0].cast("long").alias("query_id"),
-        F.split("_variant", ":")[1].cast("long").alias("list"),
-        F.col(id_col).alias("key"),
-        "rank",
-    )
+    # variants of one vector are searched once and dealt to their queries
+    asked = variants.select(F.col("query_id").cast("long").alias("query_id"), F.col("ord").cast("long").alias("list"), "embedding", F.xxhash64("embedding").alias("_hash"))
+    forms = asked.groupBy("embedding").agg(F.min("_hash").alias("_hash")).withColumn("_form", F.monotonically_increasing_id())
+    forms = materialise(forms, "forms")
+    same = (F.col("a._hash") == F.col("f._hash")) & F.col("a.embedding").eqNullSafe(F.col("f.embedding"))
+    dealt = asked.alias("a").join(forms.alias("f"), same).select("query_id", "list", "_form")
+    found = knn(vectors, forms.select("_form", "embedding"), k, id_col=id_col, query_id="_form").select("_form", F.col(id_col).alias("key"), "rank")
+    lists = found.join(dealt, "_form").select("query_id", "list", "key", "rank")
     fused = rrf(lists, rrf_k).where(F.col("rank") <= k)
     return fused.select(
         "query_id", F.col("key").alias(id_col), "score", "rank", (1 / (1 + F.col("score"))).alias("distance")
